@@ -1,0 +1 @@
+"""Every operator is a batch job over any DataFrame; no streaming operator belongs to this feature set."""

@@ -41,14 +41,17 @@ def slug(text: Column, default: str = "sheet") -> Column:
 
 
 def query_slug(text: Column, default: str = "query", chars: int = 80) -> Column:
-    """Slug of a question, lowercased words only, cut to ``chars``."""
-    clean = F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
-    return F.coalesce(F.nullif(F.left(clean, F.lit(chars)), F.lit("")), F.lit(default))
+    """Runs of other characters of a question become ``_``; none at the ends; cut to ``chars``."""
+    return _cut_slug(F.regexp_replace(F.lower(text), "[^a-zA-Z0-9_-]+", "_"), default, chars)
 
 
-def char_slug(text: Column, chars: int = 80) -> Column:
-    """Each character that is no letter or digit becomes ``_`` by itself; cut to ``chars``."""
-    return F.left(F.regexp_replace(F.lower(text), r"(?U)[^\p{Alnum}]", "_"), F.lit(chars))
+def char_slug(text: Column, default: str = "query", chars: int = 80) -> Column:
+    """As ``query_slug``, but each other character becomes one ``_`` and letters of any script stay."""
+    return _cut_slug(F.regexp_replace(F.lower(text), r"(?U)[^\p{Alnum}_-]", "_"), default, chars)
+
+
+def _cut_slug(clean: Column, default: str, chars: int) -> Column:
+    return F.coalesce(F.nullif(F.left(F.btrim(clean, F.lit("_")), F.lit(chars)), F.lit("")), F.lit(default))
 
 
 def excerpt(text: Column, chars: int = EXCERPT_CHARS) -> Column:

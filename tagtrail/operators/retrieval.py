@@ -1,0 +1,405 @@
+"""Nearest chunks, sensors named by a question, and look-ups in the graph tables."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from tagtrail.functions.text import tokens
+from tagtrail.session import small_or_none
+
+# Fixed values of the look-ups.
+LOOKUP_LIMIT = 20
+EVENTS_PER_ENTITY = 10
+GRAM = 3
+
+QUESTION_BLOCK = 4096
+CORPUS_SLICE = 50_000
+SCORE_DIGITS = 9
+
+
+# --- vectors ------------------------------------------------------------------------------------------------------
+
+
+def join_index_metadata(vectors: DataFrame, metadata: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Embedding rows with their metadata, by key."""
+    return vectors.join(metadata, key)
+
+
+def index_mismatch(vectors: DataFrame, metadata: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """How many keys have only a vector or only metadata; both must be 0 for a sound index."""
+    both = vectors.select(key, F.lit(True).alias("v")).join(
+        metadata.select(key, F.lit(True).alias("m")), key, "full_outer"
+    )
+    return both.agg(
+        F.count_if("v").alias("vectors"), F.count_if("m").alias("metadata"),
+        F.count_if(F.col("m").isNull()).alias("without_metadata"),
+        F.count_if(F.col("v").isNull()).alias("without_vector"),
+    )
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Per row of ``scores`` the places of its ``k`` largest; equal scores by id."""
+    scores = np.round(scores, SCORE_DIGITS)
+    for row, values in enumerate(scores):
+        if len(values) > k:
+            places = np.flatnonzero(values >= np.partition(values, -k)[-k])
+        else:
+            places = np.arange(len(values))
+        yield row, places[np.lexsort((ids[places], -values[places]))[:k]]
+
+
+def _merge_best(kept: pa.Table | None, found: pa.Table, k: int) -> pa.Table:
+    if kept is None:
+        return found
+    frame = pa.concat_tables([kept, found]).to_pandas()
+    frame = frame.sort_values(["question", "score", "chunk_id"], ascending=[True, False, True])
+    return pa.Table.from_pandas(frame.groupby("question").head(k), schema=found.schema, preserve_index=False)
+
+
+def top_k_chunks(
+    questions: DataFrame, corpus: DataFrame, k: int, block: int = QUESTION_BLOCK, corpus_slice: int = CORPUS_SLICE
+) -> DataFrame:
+    """The ``k`` chunks of largest dot product with each question: ``question_id, chunk_id, doc_id, rank, score``.
+
+    Both sides hold unit vectors in ``embedding``. Scores count to nine digits; equal ones go by chunk id. At most
+    ``block`` questions travel to every task and the corpus is scanned in place; more questions than that meet the
+    corpus block by block. Either way a task keeps only ``k`` chunks per question.
+    """
+    corpus = corpus.where(F.col("embedding").isNotNull()).select("chunk_id", "doc_id", "embedding")
+    questions = questions.select("question_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    few = small_or_none(questions, block)
+    scored = _scan(questions, corpus, few, k) if few is not None else _grid(questions, corpus, k, block, corpus_slice)
+    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+        "question_id", "chunk_id", "doc_id", "rank", "score"
+    )
+
+
+def _scored_schema(questions: DataFrame, corpus: DataFrame) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("question_id", questions.schema["question_id"].dataType),
+            T.StructField("chunk_id", corpus.schema["chunk_id"].dataType),
+            T.StructField("doc_id", corpus.schema["doc_id"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+
+
+def _scan(questions: DataFrame, corpus: DataFrame, few: list, k: int) -> DataFrame:
+    schema = _scored_schema(questions, corpus)
+    if not few:
+        return questions.sparkSession.createDataFrame([], schema)
+    sent = questions.sparkSession.sparkContext.broadcast(
+        ([r.question_id for r in few], np.array([r.embedding for r in few], dtype=float))
+    )
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = sent.value
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            vectors = flat.reshape(batch.num_rows, -1).astype(float)
+            ids = np.asarray(batch.column("chunk_id").to_pylist(), dtype=object)
+            scores = matrix @ vectors.T
+            rows = list(_best(scores, ids, k))
+            who = np.concatenate([np.full(len(p), q) for q, p in rows])
+            where = np.concatenate([p for _, p in rows])
+            found = pa.table(
+                {
+                    "question": who,
+                    "chunk_id": batch.column("chunk_id").take(pa.array(where)),
+                    "doc_id": batch.column("doc_id").take(pa.array(where)),
+                    "score": np.round(scores[who, where], SCORE_DIGITS),
+                }
+            )
+            kept = _merge_best(kept, found, k)
+        if kept is not None:
+            asked = pa.array([names[q] for q in kept.column("question").to_pylist()])
+            out = kept.drop_columns(["question"]).add_column(0, "question_id", asked)
+            yield from out.combine_chunks().to_batches()
+
+    return corpus.mapInArrow(nearest, schema)
+
+
+def _grid(questions: DataFrame, corpus: DataFrame, k: int, block: int, corpus_slice: int) -> DataFrame:
+    """Question blocks against corpus slices; every (block, slice) is one bounded task."""
+    blocks = max(1, -(-questions.count() // block))
+    slices = max(1, -(-corpus.count() // corpus_slice))
+
+    def spread(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64(key), F.lit(own_n)).alias(own)
+        return df.select("*", mine, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other))
+
+    left = spread(questions, "question_id", "block", blocks, "slice", slices)
+    right = spread(corpus, "chunk_id", "slice", slices, "block", blocks)
+    keys = [F.col("block").cast("bigint"), F.col("slice").cast("bigint")]
+
+    def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"question_id": [], "chunk_id": [], "doc_id": [], "score": []})
+        scores = np.stack(q["embedding"]).astype(float) @ np.stack(c["embedding"]).astype(float).T
+        ids = c["chunk_id"].to_numpy(dtype=object)
+        parts = [
+            pd.DataFrame(
+                {
+                    "question_id": q["question_id"].iloc[row], "chunk_id": ids[places],
+                    "doc_id": c["doc_id"].to_numpy()[places], "score": np.round(scores[row, places], SCORE_DIGITS),
+                }
+            )
+            for row, places in _best(scores, ids, k)
+        ]
+        return pd.concat(parts)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        nearest, _scored_schema(questions, corpus)
+    )
+
+
+def encode_chunks(chunks: DataFrame, encoder, batch: int = 32) -> DataFrame:
+    """``chunk_id, embedding`` by a plugged-in encoder (pandas series of text to series of float lists), unit length.
+
+    An empty text is an error; the encoder gets at most ``batch`` texts at a time.
+    """
+
+    @F.pandas_udf("array<float>")
+    def encode(texts: pd.Series) -> pd.Series:
+        if texts.isna().any() or (texts.str.strip() == "").any():
+            raise ValueError("a chunk without text cannot be encoded")
+        parts = []
+        for i in range(0, len(texts), batch):
+            found = np.array(encoder(texts.iloc[i : i + batch]).tolist(), dtype=float)
+            length = np.linalg.norm(found, axis=1, keepdims=True)
+            parts += list((found / np.where(length == 0, 1.0, length)).astype(np.float32))
+        return pd.Series(parts)
+
+    return chunks.select("chunk_id", encode("text").alias("embedding"))
+
+
+# --- substrings by equality joins ---------------------------------------------------------------------------------
+
+
+def question_tokens(questions: DataFrame) -> DataFrame:
+    """``question_id, token, times``; a token repeated in the question counts each time."""
+    return (
+        questions.select("question_id", F.explode(tokens(F.col("question"))).alias("token"))
+        .groupBy("question_id", "token")
+        .agg(F.count("*").alias("times"))
+    )
+
+
+def token_hits(words: DataFrame, values: DataFrame) -> DataFrame:
+    """Distinct ``token, value`` pairs where the token occurs inside the lowercased value.
+
+    Tokens have at least three characters: they meet values on their first three, then are checked in full.
+    """
+    grams = F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.length("value") - (GRAM - 1)), lambda i: F.substring("value", i, F.lit(GRAM)))
+    )
+    pieces = (
+        values.select(F.lower("value").alias("value")).distinct().where(F.length("value") >= GRAM)
+        .select("value", F.explode(grams).alias("gram"))
+    )
+    wanted = words.select("token").distinct().withColumn("gram", F.substring("token", 1, GRAM))
+    return pieces.join(wanted, "gram").where(F.col("value").contains(F.col("token"))).select("token", "value")
+
+
+def _named_in(questions: DataFrame, tags: DataFrame) -> DataFrame:
+    """``question_id, tag`` where the whole tag occurs in the question, any case."""
+    named = tags.select("tag").distinct().withColumn("key", F.lower("tag"))
+    lengths = named.agg(F.array_sort(F.collect_set(F.length("key"))).alias("lengths")).scalar()
+    q = questions.select("question_id", F.lower("question").alias("text")).withColumn("lengths", lengths)
+    pieces = F.flatten(
+        F.transform(
+            F.filter("lengths", lambda n: n <= F.length("text")),
+            lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring("text", i, n)),
+        )
+    )
+    return (
+        q.select("question_id", F.explode(F.array_distinct(pieces)).alias("key"))
+        .join(named, "key")
+        .select("question_id", "tag")
+    )
+
+
+def identify_sensors(questions: DataFrame, tags: DataFrame, limit: int = 10) -> DataFrame:
+    """Sensors of each question, best first: those named in full, then by number of token hits, then by tag."""
+    named = _named_in(questions, tags).select("question_id", "tag", F.lit(0).alias("tier"), F.lit(0).alias("score"))
+    words = question_tokens(questions)
+    keyed = tags.select("tag").distinct().withColumn("value", F.lower("tag"))
+    scored = (
+        words.join(token_hits(words, keyed), "token")
+        .join(keyed, "value")
+        .groupBy("question_id", "tag")
+        .agg(F.sum("times").alias("score"))
+        .select("question_id", "tag", F.lit(1).alias("tier"), "score")
+    )
+    best = Window.partitionBy("question_id").orderBy("tier", F.desc("score"), "tag")
+    return (
+        named.unionByName(scored)
+        .groupBy("question_id", "tag")
+        .agg(F.min(F.struct("tier", "score")).alias("s"))
+        .select("question_id", "tag", "s.tier", "s.score")
+        .withColumn("rank", F.row_number().over(best))
+        .where(F.col("rank") <= limit)
+        .select("question_id", "tag", "rank", F.when(F.col("tier") == 0, "named").otherwise("token").alias("found_by"))
+    )
+
+
+def explicit_sensors(questions: DataFrame, tags: DataFrame, fallback_limit: int = 4) -> DataFrame:
+    """Sensors named in full; a question that names none gets its best ``fallback_limit`` by token hits."""
+    named = _named_in(questions, tags)
+    by_tag = Window.partitionBy("question_id").orderBy("tag")
+    ranked = named.select("question_id", "tag", F.row_number().over(by_tag).alias("rank"), F.lit("named").alias("found_by"))
+    others = questions.join(named.select("question_id").distinct(), "question_id", "left_anti")
+    return ranked.unionByName(identify_sensors(others, tags, fallback_limit))
+
+
+def resolve_sensors(asked: DataFrame, tags: DataFrame) -> DataFrame:
+    """Asked tags in any case to canonical tags; ``known`` is false where there is none."""
+    canonical = tags.groupBy(F.lower("tag").alias("key")).agg(F.min("tag").alias("canonical"))
+    return (
+        asked.withColumn("key", F.lower("asked"))
+        .join(canonical, "key", "left")
+        .select("asked", "canonical", F.col("canonical").isNotNull().alias("known"))
+    )
+
+
+# --- graph look-ups -----------------------------------------------------------------------------------------------
+
+EVENT_FIELDS = ["event_id", "event_type", "status", "start", "end", "peak_value", "peak_robust_z", "interpretation"]
+
+
+def _values_of(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    values = F.array(*(F.lower(F.coalesce(c, F.lit(""))) for c in columns))
+    return rows.select(*key, F.explode(F.array_distinct(values)).alias("value"))
+
+
+def graph_lookup(questions: DataFrame, entities: DataFrame, limit: int = LOOKUP_LIMIT) -> DataFrame:
+    """Entities with a question token inside their id, column, family or class; the first ``limit`` ids per question.
+
+    Only the first ``limit`` ids of each distinct field value can be among them, so a class shared by very many
+    entities gives no more than ``limit`` rows to the joins.
+    """
+    values = _values_of(entities, ["entity_id"], ["entity_id", "source_column", "tag_family", "candidate_class"])
+    first = Window.partitionBy("value").orderBy("entity_id")
+    kept = values.withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit).drop("n")
+    words = question_tokens(questions)
+    by_id = Window.partitionBy("question_id").orderBy("entity_id")
+    return (
+        words.join(token_hits(words, values), "token")
+        .select("question_id", "value").distinct()
+        .join(kept, "value")
+        .select("question_id", "entity_id").distinct()
+        .withColumn("rank", F.row_number().over(by_id))
+        .where(F.col("rank") <= limit)
+        .join(entities, "entity_id")
+        .select("question_id", "rank", "entity_id", "source_column", "candidate_class", "tag_family")
+    )
+
+
+def entity_events(events: DataFrame, per_entity: int = EVENTS_PER_ENTITY) -> DataFrame:
+    """The first ``per_entity`` distinct events of each entity, by event id."""
+    by_id = Window.partitionBy("entity_id").orderBy("event_id")
+    return (
+        events.where(F.col("event_id").isNotNull())
+        .select("entity_id", *EVENT_FIELDS)
+        .dropDuplicates(["entity_id", "event_id"])
+        .withColumn("n", F.row_number().over(by_id))
+        .where(F.col("n") <= per_entity)
+    )
+
+
+def graph_lookup_events(found: DataFrame, events: DataFrame, per_entity: int = EVENTS_PER_ENTITY) -> DataFrame:
+    """Events of the entities found, each event once per question under its first entity."""
+    wanted = events.join(found.select("entity_id").distinct(), "entity_id", "left_semi")
+    once = Window.partitionBy("question_id", "event_id").orderBy("rank")
+    return (
+        found.select("question_id", "rank", "entity_id")
+        .join(entity_events(wanted, per_entity), "entity_id")
+        .withColumn("seen", F.row_number().over(once))
+        .where(F.col("seen") == 1)
+        .drop("seen")
+    )
+
+
+def newest_first(extra: list[str] = ()) -> list[Column]:
+    """Events without a start come first, then the latest start; ties by id."""
+    return [F.desc_nulls_first("start"), F.asc("event_id"), *(F.asc(c) for c in extra)]
+
+
+def event_lookup(questions: DataFrame, events: DataFrame, limit: int = LOOKUP_LIMIT) -> DataFrame:
+    """The newest ``limit`` events with a question token in their type, sensor id, column or interpretation.
+
+    ``events`` holds one row per event and sensor (``event_id, entity_id, source_column, ...``). A question without
+    tokens gets the newest events of all. As in ``graph_lookup``, each distinct value contributes ``limit`` rows.
+    """
+    order = ["event_id", "entity_id", "start"]
+    values = _values_of(events, order, ["event_type", "entity_id", "source_column", "interpretation"])
+    newest = Window.partitionBy("value").orderBy(*newest_first(["entity_id"]))
+    kept = values.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= limit).drop("n")
+    words = question_tokens(questions)
+    matched = (
+        words.join(token_hits(words, values), "token").select("question_id", "value").distinct().join(kept, "value")
+        .select("question_id", *order)
+    )
+    silent = questions.where(F.size(tokens(F.col("question"))) == 0).select("question_id", F.lit(0).alias("all"))
+    latest = events.select(*order).orderBy(*newest_first(["entity_id"])).limit(limit).withColumn("all", F.lit(0))
+    ranked = Window.partitionBy("question_id").orderBy(*newest_first(["entity_id"]))
+    return (
+        matched.unionByName(silent.join(latest, "all").drop("all"))
+        .distinct()
+        .withColumn("rank", F.row_number().over(ranked))
+        .where(F.col("rank") <= limit)
+        .drop("start")
+        .join(events, ["event_id", "entity_id"])
+    )
+
+
+def event_timeline(events: DataFrame, limit: int) -> DataFrame:
+    """The latest ``limit`` events of the graph (1 to 500)."""
+    if not 1 <= limit <= 500:
+        raise ValueError("limit must be between 1 and 500")
+    return events.orderBy(*newest_first(["entity_id"])).limit(limit)
+
+
+def graph_evidence(
+    hits: DataFrame, edges: DataFrame, entities: DataFrame, events: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Entities mentioned by the chunks found (once per chunk) and their events (once per entity)."""
+    found = (
+        hits.select("question_id", "chunk_id").join(edges.distinct(), "chunk_id").join(entities, "entity_id")
+        .dropDuplicates(["question_id", "chunk_id", "entity_id"])
+    )
+    detected = (
+        found.select("question_id", "entity_id").distinct()
+        .join(events.where(F.col("event_id").isNotNull()), "entity_id")
+        .dropDuplicates(["question_id", "entity_id", "event_id"])
+    )
+    return found, detected
+
+
+def hybrid_context(hits: DataFrame, edges: DataFrame, entities: DataFrame, events: DataFrame) -> DataFrame:
+    """Chunks to the tags they mention, to every entity of those tags, to their events.
+
+    One row per entity and event; an entity without events keeps one row with a null event.
+    """
+    keyed = entities.withColumn("tag", F.lower(F.coalesce("source_column", "entity_id")))
+    tags = (
+        hits.select("question_id", "chunk_id").join(edges, "chunk_id").join(keyed.select("entity_id", "tag"), "entity_id")
+        .select("question_id", "tag").distinct()
+    )
+    fields = ["event_id", "event_type", "start", "end", "status", "interpretation"]
+    return (
+        tags.join(keyed, "tag")
+        .join(events.select("entity_id", *fields), "entity_id", "left")
+        .dropDuplicates(["question_id", "entity_id", "event_id"])
+        .select("question_id", "entity_id", "source_column", "candidate_class", *fields)
+    )

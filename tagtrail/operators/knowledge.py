@@ -63,6 +63,9 @@ def domain_hypothesis(datasets: DataFrame) -> DataFrame:
     def points(condition: Column, amount: float) -> Column:
         return F.when(condition, F.lit(amount)).otherwise(F.lit(0.0))
 
+    def statement(condition: Column, strength: str, text: Column) -> Column:
+        return F.when(condition, F.struct(text.alias("statement"), F.lit(strength).alias("strength")))
+
     scores = {
         "industrial_process": points(hinted, 0.55) + points(regular, 0.20) + points(ranged, 0.05),
         "rotating_equipment": points(regular, 0.10) + points(named, 0.25),
@@ -88,20 +91,17 @@ def domain_hypothesis(datasets: DataFrame) -> DataFrame:
         F.round(F.least(best["score"], F.lit(CONFIDENCE_CAP)), 2).alias("confidence"),
         F.array_compact(
             F.array(
-                F.when(hinted, F.struct(
-                    F.concat(F.lit("The dataset contains industrial instrument-tag family hints: "),
-                             F.array_join(matched, ", "), F.lit(".")).alias("statement"),
-                    F.lit("medium").alias("strength"))),
-                F.when(regular, F.struct(
-                    F.concat(F.lit("The dataset contains "), F.col("numeric_columns").cast("string"),
-                             F.lit(" numeric measurement columns organized as timestamped observations.")),
-                    F.lit("medium"))),
-                F.when(named, F.struct(
-                    F.concat(F.lit("The source filename '"), F.col("file_name"),
-                             F.lit("' contains a rotating-equipment/compressor-related naming hint.")),
-                    F.lit("weak"))),
-                F.when(ranged, F.struct(
-                    F.lit("The source contains a continuous time-indexed measurement record."), F.lit("weak"))),
+                statement(hinted, "medium", F.concat(
+                    F.lit("The dataset contains industrial instrument-tag family hints: "),
+                    F.array_join(matched, ", "), F.lit("."))),
+                statement(regular, "medium", F.concat(
+                    F.lit("The dataset contains "), F.col("numeric_columns").cast("string"),
+                    F.lit(" numeric measurement columns organized as timestamped observations."))),
+                statement(named, "weak", F.concat(
+                    F.lit("The source filename '"), F.col("file_name"),
+                    F.lit("' contains a rotating-equipment/compressor-related naming hint."))),
+                statement(ranged, "weak", F.lit(
+                    "The source contains a continuous time-indexed measurement record.")),
             )
         ).alias("evidence"),
         F.transform(others, lambda r: F.struct(r["domain"].alias("domain"), F.round(r["score"], 2).alias("score")))

@@ -403,3 +403,14 @@ def hybrid_context(hits: DataFrame, edges: DataFrame, entities: DataFrame, event
         .dropDuplicates(["question_id", "entity_id", "event_id"])
         .select("question_id", "entity_id", "source_column", "candidate_class", *fields)
     )
+
+
+def first_summary(tags: DataFrame, summary: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """Each tag with the first summary row, in ``order``, that holds it in any of ``columns``; nulls if none does."""
+    rows = F.struct(*(F.col(c) for c in summary.columns))
+    named = summary.select(
+        F.explode(F.array_distinct(F.array(*(F.lower(F.col(c).cast("string")) for c in columns)))).alias("key"),
+        rows.alias("row"), F.struct(*order).alias("place"),
+    )
+    first = named.groupBy("key").agg(F.min_by("row", "place").alias("row"))
+    return tags.withColumn("key", F.lower("tag")).join(first, "key", "left").select("tag", "row.*")

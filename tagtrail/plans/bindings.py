@@ -152,7 +152,7 @@ SQL["detected"] = """select tag as sensor_tag, user_id, event_type, "start", "en
     case when spike then 'statistical_spike' else 'change_point_candidate' end as event_type,
     case when spike then iso end as "start", case when spike then iso end as "end",
     case when not spike then iso end as timestamp, case when spike then iso end as peak_timestamp,
-    case when spike then value end as peak_value, case when spike then round(value / 20, 2) end as peak_robust_z,
+    case when spike then value end as peak_value, case when spike then round(value / 25, 4) end as peak_robust_z,
     case when spike then 'high_spike' end as direction, 'candidate' as status,
     case when spike then 'outlier needs validation' else 'shift is not proof of a fault' end as interpretation
     from (select *, rid % 4 <> 3 as spike, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as iso
@@ -190,7 +190,7 @@ def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(spike, iso).alias("start"), F.when(spike, iso).alias("end"),
             F.when(~spike, iso).alias("timestamp"), F.when(spike, iso).alias("peak_timestamp"),
             F.when(spike, F.col("value")).alias("peak_value"),
-            F.when(spike, F.round(F.col("value") / 20, 2)).alias("peak_robust_z"),
+            F.when(spike, F.round(F.col("value") / 25, 4)).alias("peak_robust_z"),
             F.when(spike, "high_spike").alias("direction"), F.lit("candidate").alias("status"),
             F.when(spike, "outlier needs validation").otherwise("shift is not proof of a fault").alias(
                 "interpretation"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tagtrail.functions.text import strip
+
 
 def _joined(sep: str, parts: list[Column]) -> Column:
     # concat_ws would drop nulls and so shift the parts.
@@ -36,7 +38,7 @@ def example_id(prefix: str, *parts: Column) -> Column:
 
 def pair_key(instruction: Column, response: Column) -> Column:
     """SHA-256 of the trimmed, lowercased instruction and response; equal for exact duplicates."""
-    clean = [F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (instruction, response)]
+    clean = [F.lower(strip(F.coalesce(c, F.lit("")))) for c in (instruction, response)]
     return F.sha2(F.concat_ws("\n", *clean), 256)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tagtrail.operators import graph
 from tagtrail.session import scratch_path
 
-__all__ = ["scratch_path", "upsert_table", "write_csv", "write_graph", "write_jsonl", "write_table", "write_vector_index"]
+__all__ = ["scratch_path", "upsert_table", "write_csv", "write_graph", "write_jsonl", "write_splits", "write_table", "write_vector_index"]
 
 
 def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -59,3 +59,9 @@ def upsert_table(
     version = scratch_path(spark, path.rstrip("/").rsplit("/", 1)[-1].split("-", 1)[0])
     write_table(graph.upsert(spark.read.parquet(path), incoming, keys, order), version)
     return spark.read.parquet(version) if read else version
+
+
+def write_splits(split: DataFrame, path: str) -> None:
+    """JSON lines in one folder per ``split``, each file sorted by id."""
+    ordered = split.sortWithinPartitions("split", "id")
+    write_jsonl(ordered, path, ["split"])

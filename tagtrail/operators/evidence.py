@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tagtrail.functions import citations as c, routing
 from tagtrail.functions.text import contains_any, strip
 from tagtrail.operators import correlation, retrieval, timeseries
+from tagtrail.session import staged
 
 # Headings and closing line of each prompt layout.
 LAYOUTS = {
@@ -179,7 +180,7 @@ def needing(questions: DataFrame, tool: str) -> DataFrame:
 
 def question_sensors(questions: DataFrame, tags: DataFrame) -> DataFrame:
     """Sensors of the questions that need readings, with their rank."""
-    return retrieval.explicit_sensors(needing(questions, "timeseries"), tags)
+    return staged(retrieval.explicit_sensors(needing(questions, "timeseries"), tags), "sensors-asked")
 
 
 def sensor_evidence(
@@ -247,11 +248,10 @@ def series_lines(sensors: DataFrame, found: dict[str, DataFrame], questions: Dat
 
 
 def routed_evidence(
-    questions: DataFrame, documents: DataFrame, entities: DataFrame, events: DataFrame, agent: bool = True
+    questions: DataFrame, documents: DataFrame, entities: DataFrame, events: DataFrame
 ) -> dict[str, DataFrame]:
     """Documents, entities, their events, and event search results for routed questions ``(…, tools)``."""
-    graph_questions = needing(questions, "graph_lookup")
-    found = retrieval.graph_lookup(graph_questions, entities)
+    found = staged(retrieval.graph_lookup(needing(questions, "graph_lookup"), entities), "entities-found")
     return {
         "documents": documents,
         "entities": found,

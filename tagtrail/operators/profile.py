@@ -147,17 +147,22 @@ def family_counts(sensors: DataFrame) -> DataFrame:
 
 
 def intervals(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Microseconds between neighbouring non-null timestamps, per group, with their counts."""
-    placed = with_position(df.where(F.col(ts).isNotNull()).select(*keys, ts), keys, [ts])
+    """Microseconds between neighbouring non-null timestamps, per group, with their counts.
+
+    Equal timestamps are counted first and give intervals of 0; only distinct ones are put in order.
+    """
+    times = df.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.count("*").alias("copies"))
+    placed = with_position(times, keys, [ts])
     by_pos = Window.partitionBy(*keys, "block").orderBy("pos")
     gap = F.timestamp_diff("MICROSECOND", F.lag(ts).over(by_pos), F.col(ts))
-    return (
+    steps = (
         with_blocks(placed, 1)
         .withColumn("interval_us", gap)
         .where(~F.col("halo") & F.col("interval_us").isNotNull())
-        .groupBy(*keys, "interval_us")
-        .agg(F.count("*").alias("n"))
+        .select(*keys, "interval_us", F.lit(1).cast("bigint").alias("n"))
     )
+    same = placed.where("copies > 1").select(*keys, F.lit(0).cast("bigint").alias("interval_us"), (F.col("copies") - 1).alias("n"))
+    return steps.unionByName(same).groupBy(*keys, "interval_us").agg(F.sum("n").alias("n"))
 
 
 def sampling(counted: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from tagtrail.operators import correlation, documents, retrieval
 from tagtrail.plans import bindings as b
 from tagtrail.plans.registry import query
 from tagtrail.plans.series_queries import rounded
+from tagtrail.session import staged
 from tagtrail.sources import files
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -157,7 +158,7 @@ def join_mentions_phrases(spark, d):
         b.table(spark, d, "benchmark").where(F.col("text").rlike("^[A-Za-z]+ [A-Za-z]+ ") & (F.size(words) > 2))
         .select(F.lower(F.concat_ws(" ", words[0], words[1])).alias("tag")).distinct()
     )
-    return documents.phrase_mentions(b.chunks(spark, d), pairs).select("chunk_id", "tag")
+    return documents.phrase_mentions(staged(b.chunks(spark, d), "chunks"), pairs).select("chunk_id", "tag")
 
 
 @query("join_mention_edges", b.ctes("mention_edges") + "select chunk_id, entity_id from mention_edges")
@@ -169,7 +170,7 @@ def join_mention_edges(spark, d):
   coalesce((select string_agg(m.tag, ',' order by m.tag) from mentions m where m.chunk_id = c.chunk_id), '') as tags
   from chunks c""")
 def join_chunk_links(spark, d):
-    chunks = b.chunks(spark, d)
+    chunks = staged(b.chunks(spark, d), "chunks")
     links = documents.chunk_links(chunks, documents.mentions(chunks, b.tag_dictionary(spark, d)))
     tags = F.array_join(F.array_sort(F.transform("matched_sensor_tags", F.lower)), ",")
     return links.select("chunk_id", "document_id", "file_name", "page", tags.alias("tags"))
@@ -224,7 +225,7 @@ def fn_round_score(spark, d):
   (select count(*) from chunks x left join embeddings e on e.vec_id = x.doc_id where e.vec_id is null) as without_vector
   from chunks c join embeddings v on v.vec_id = c.doc_id""")
 def join_index_metadata(spark, d):
-    chunks = b.chunks(spark, d)
+    chunks = staged(b.chunks(spark, d), "chunks")
     index = b.chunk_vectors(spark, d, chunks).select("chunk_id", "embedding")
     gap = retrieval.index_mismatch(index, chunks).select("without_vector").scalar()
     joined = retrieval.join_index_metadata(index, chunks).withColumn("without_vector", gap)

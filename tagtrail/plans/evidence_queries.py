@@ -9,6 +9,7 @@ from tagtrail.operators import evidence, retrieval
 from tagtrail.plans import bindings as b, knowledge_queries as k
 from tagtrail.plans.document_queries import IDENTIFY_SQL, ROUTE_SQL
 from tagtrail.plans.registry import query
+from tagtrail.session import staged
 
 # --- graph evidence of chunks found -------------------------------------------------------------------------------
 
@@ -25,15 +26,15 @@ b.NEEDS["found_events"] = ["found_entities", "dict_events"]
 
 def grounded_parts(spark, d):
     """Documents, entities and events of every question."""
-    chunks = b.chunks(spark, d)
-    hits = retrieval.top_k_chunks(b.question_vectors(spark, d), b.chunk_vectors(spark, d, chunks), 8)
+    chunks = staged(b.chunks(spark, d), "chunks")
+    hits = staged(retrieval.top_k_chunks(b.question_vectors(spark, d), b.chunk_vectors(spark, d, chunks), 8), "hits")
     docs = hits.drop("doc_id").join(chunks.select("chunk_id", "file_name", "page", "text"), "chunk_id")
     words = b.dict_entities(spark, d)
     from tagtrail.operators.documents import mention_edges, mentions
 
     edges = mention_edges(mentions(chunks, b.tag_dictionary(spark, d)), words)
     entities, events = retrieval.graph_evidence(hits, edges, words.drop("user_id"), b.dict_events(spark, d))
-    return docs, entities, events
+    return docs, staged(entities, "entities-found"), events
 
 
 @query("join_graph_evidence", b.ctes("found_entities", "found_events") + """select question_id, 'entity' as kind, chunk_id as a,
@@ -184,10 +185,12 @@ ROUTE1_SQL = f"""concat('document_search', case when {terms(routing.GRAPH_TERMS)
 
 def routed_parts(spark, d, agent):
     questions = evidence.routed(b.questions(spark, d), agent)
-    chunks = b.chunks(spark, d)
+    chunks = staged(b.chunks(spark, d), "chunks")
     hits = retrieval.top_k_chunks(b.question_vectors(spark, d), b.chunk_vectors(spark, d, chunks), 6)
     docs = hits.drop("doc_id").join(chunks.select("chunk_id", "file_name", "page", "text"), "chunk_id")
-    return questions, evidence.routed_evidence(questions, docs, k.graph_entities(spark, d), k.graph_events(spark, d), agent)
+    entities = staged(k.entities(spark, d), "entities")
+    events = staged(k.graph_events(spark, d, entities), "events")
+    return questions, evidence.routed_evidence(questions, docs, k.graph_entities(spark, d, entities), events)
 
 
 @query("ev_render_tools", routed_sql("tools", ROUTE1_SQL) + TEXT_SELECT)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tagtrail.functions.tags import FAMILIES, SENSOR_CLASSES, class_confidence, family_by_pattern, sensor_class
 from tagtrail.operators import graph, knowledge as kg, package, retrieval
 from tagtrail.plans import bindings as b
+from tagtrail.operators.documents import mention_edges, mentions
 from tagtrail.plans.registry import query
+from tagtrail.session import staged
 from tagtrail.sources import sinks
 
 SOURCE = "plant.xlsx"
@@ -519,12 +521,11 @@ def sink_upsert(spark, d):
 
 
 def whole_graph(spark, d):
-    ents, rels, events = entities(spark, d), relations(spark, d), b.detected(spark, d)
+    ents, events = staged(entities(spark, d), "entities"), b.detected(spark, d)
+    rels = kg.structural_relations(ents)
     resolved = kg.resolve_event_sensors(events, ents).where("unresolved is null")
-    chunks = b.chunks(spark, d)
+    chunks = staged(b.chunks(spark, d), "chunks")
     words = b.dict_entities(spark, d)
-    from tagtrail.operators.documents import mentions, mention_edges
-
     links = mention_edges(mentions(chunks, b.tag_dictionary(spark, d)), words).join(
         chunks.select("chunk_id", "file_name", "page"), "chunk_id"
     )
@@ -612,15 +613,16 @@ b.SQL["event_found"] = """select * from (select question_id, row_number() over (
 b.NEEDS["event_found"] = ["toks", "graph_events"]
 
 
-def graph_entities(spark, d):
-    return entities(spark, d).select(
+def graph_entities(spark, d, ents=None):
+    return (entities(spark, d) if ents is None else ents).select(
         F.col("id").alias("entity_id"), F.col("provenance.location.column").alias("source_column"), "candidate_class",
         F.col("attributes.tag_family").alias("tag_family"),
     )
 
 
-def graph_events(spark, d):
-    found = kg.resolve_event_sensors(b.detected(spark, d), entities(spark, d)).where("unresolved is null")
+def graph_events(spark, d, ents=None):
+    ents = entities(spark, d) if ents is None else ents
+    found = kg.resolve_event_sensors(b.detected(spark, d), ents).where("unresolved is null")
     return found.withColumn("source_column", F.col("sensor_tag"))
 
 

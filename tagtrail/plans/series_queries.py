@@ -445,9 +445,7 @@ HOUR_SQL = "hourly as (select date_trunc('hour', ts) as ts, tag, avg(value) as v
   count(*) as n, round(corr(a.value, b.value), 6) as correlation from hourly a join hourly b on a.ts = b.ts and
   a.tag < b.tag group by 1, 2""")
 def join_sensor_pairs(spark, d):
-    wide = correlation.hourly_wide(b.read5(spark, d), correlation.sensor_names(b.read5(spark, d)))
-    tags = [c for c in wide.columns if c != "ts"]
-    return rounded(correlation.pair_correlations(wide, tags).where("n > 0"), "correlation")
+    return rounded(correlation.sensor_pair_correlations(b.read5(spark, d), "hour"), "correlation")
 
 
 @query("join_sensor_pairs_many", b.ctes("read150").rstrip() + """, daily as (select date_trunc('day', ts) as ts, tag,
@@ -455,10 +453,8 @@ def join_sensor_pairs(spark, d):
   round(case when isnan(corr(a.value, b.value)) then null else corr(a.value, b.value) end, 6) as correlation
   from daily a join daily b on a.ts = b.ts and a.tag < b.tag group by 1, 2 having count(*) >= 3""")
 def join_sensor_pairs_many(spark, d):
-    readings = b.read150(spark, d)
-    wide = correlation.hourly_wide(readings, correlation.sensor_names(readings), "day")
-    tags = [c for c in wide.columns if c != "ts"]
-    return rounded(correlation.pair_correlations(wide, tags).where("n >= 3"), "correlation")
+    pairs = correlation.sensor_pair_correlations(b.read150(spark, d), "day")
+    return rounded(pairs.where("n >= 3"), "correlation")
 
 
 @query("agg_compare_sensors", b.ctes("wide") + """, last as (select ts, gross as x, case when l_orderkey % 5 = 0 then null

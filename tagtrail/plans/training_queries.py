@@ -11,6 +11,7 @@ from tagtrail.operators.documents import chunk_links, mentions
 from tagtrail.plans import bindings as b, knowledge_queries as k
 from tagtrail.plans.registry import query
 from tagtrail.plans.series_queries import rounded
+from tagtrail.session import staged
 from tagtrail.sources import files, sinks, tables
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -46,6 +47,10 @@ b.SQL["tr_event"] = f"""select {ex_id('event', 'event_id')} as id, 'timeseries_e
 b.NEEDS["tr_event"] = ["detected"]
 
 
+def staged_chunks(spark, d):
+    return staged(b.chunks(spark, d), "chunks")
+
+
 def links(spark, d, chunks):
     return chunk_links(chunks, mentions(chunks, b.tag_dictionary(spark, d)))
 
@@ -63,7 +68,7 @@ def tr_entity_examples(spark, d):
   (select count(*) from mentions m where concat('doc_evidence_', substring(sha1(m.chunk_id), 1, 12)) = t.id) as tags
   from tr_document t""")
 def tr_document_examples(spark, d):
-    chunks = b.chunks(spark, d)
+    chunks = staged_chunks(spark, d)
     made = tr.document_examples(chunks, links(spark, d, chunks), limit=None)
     tags = F.from_json(F.col("context")[0]["mentioned_sensor_tags"], "array<string>")
     return made.select("id", "task_type", "difficulty", "instruction", "response", F.size(tags).cast("bigint").alias("tags"))
@@ -90,13 +95,13 @@ def tr_hard_negatives(spark, d):
 @query("limit_examples", b.ctes("tr_document", "tr_event") + """select id from (select id from tr_document order by document_id, page,
   chunk_index limit 25) union all select id from (select id from tr_event order by event_id limit 50)""")
 def limit_examples(spark, d):
-    chunks = b.chunks(spark, d)
+    chunks = staged_chunks(spark, d)
     docs = tr.document_examples(chunks, links(spark, d, chunks))
     return docs.select("id").unionByName(tr.event_examples(b.detected(spark, d)).select("id"))
 
 
 def every_example(spark, d):
-    chunks = b.chunks(spark, d)
+    chunks = staged_chunks(spark, d)
     return tr.all_examples(k.entities(spark, d), chunks, links(spark, d, chunks), b.detected(spark, d), None, None)
 
 
@@ -435,7 +440,7 @@ def agg_model_comparison(spark, d):
   union all select 'has_labels', (select count(*) from labels where doc_id < 0) > 0,
     case when (select count(*) from labels where doc_id < 0) > 0 then 0 else 1 end""")
 def qa_consistency(spark, d):
-    chunks = b.chunks(spark, d)
+    chunks = staged_chunks(spark, d)
     ents = kg.validate_entities(k.faulty_entities(spark, d), k.source_catalog(spark, d))
     report = kg.validation_report(ents, kg.validate_relations(k.relations(spark, d), k.entities(spark, d)))
     examples = tr.validate_examples(planted(spark, d), *known_ids(spark, d))
@@ -523,7 +528,7 @@ def sink_vector_index(spark, d):
 def kg_manifest(spark, d):
     """A package of three parts: its files with digests, and the required parts it lacks."""
     at = sinks.scratch_path(spark, "package")
-    chunks = b.chunks(spark, d)
+    chunks = staged_chunks(spark, d)
     sinks.write_jsonl(chunks, f"{at}/document_chunks")
     sinks.write_jsonl(links(spark, d, chunks), f"{at}/document_entity_links")
     sinks.write_table(b.chunk_vectors(spark, d, chunks), f"{at}/embeddings")

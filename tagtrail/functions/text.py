@@ -13,7 +13,6 @@ MIN_TOKEN_CHARS = 3
 
 # The characters that count as white space.
 WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-_NOT_PLAIN_SPACE = WHITESPACE.replace(" ", "")
 
 
 def strip(text: Column) -> Column:
@@ -23,8 +22,7 @@ def strip(text: Column) -> Column:
 
 def collapse_ws(text: Column) -> Column:
     """Every run of white space becomes one space; none at the ends."""
-    # Single plain spaces, nearly all there is, are not touched.
-    return F.btrim(F.regexp_replace(text, f"[{WHITESPACE}]{{2,}}|[{_NOT_PLAIN_SPACE}]", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def normalize_lines(text: Column) -> Column:

@@ -54,9 +54,11 @@ def chunk_pages(
     """Pages to chunks with stable ids; pages without text give none."""
     flat = pages.select("document_id", "file_name", "page", *keep, collapse_ws(F.col("text")).alias("text"))
     pieces = flat.withColumn("pieces", split_chunks(F.col("text"), max_chars, overlap_chars)).drop("text")
-    return pieces.select(
-        "*", F.size("pieces").alias("chunk_count_on_page"), F.posexplode("pieces").alias("chunk_index", "text")
-    ).select(
+    # The outer form keeps the optimizer from running the split once more to drop pages without pieces.
+    numbered = pieces.select(
+        "*", F.size("pieces").alias("chunk_count_on_page"), F.posexplode_outer("pieces").alias("chunk_index", "text")
+    )
+    return numbered.where(F.col("text").isNotNull()).select(
         chunk_id(F.col("document_id"), F.col("page"), F.col("chunk_index")).alias("chunk_id"),
         "document_id", "file_name", "page", *keep, "chunk_index", "chunk_count_on_page", "text",
         F.length("text").alias("char_count"),
@@ -99,7 +101,9 @@ def mentions(chunks: DataFrame, tags: DataFrame) -> DataFrame:
     ``matched`` is the spelling first seen and ``place`` where. Tags made only of tag characters are whole words of
     the text, so this is an equality join; see ``phrase_mentions`` for others.
     """
-    keys = tags.where(F.col("tag").rlike(TAG_CHARS_ONLY)).select(F.lower("tag").alias("key")).distinct()
+    # Decided per key by an aggregate, so that the pattern is not also tried on every word of the text.
+    whole = F.max(F.col("tag").rlike(TAG_CHARS_ONLY))
+    keys = tags.groupBy(F.lower("tag").alias("key")).agg(whole.alias("whole")).where("whole").select("key")
     return (
         _words(chunks)
         .withColumn("key", F.lower("word"))

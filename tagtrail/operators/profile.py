@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tagtrail.functions.tags import family_by_pattern, family_by_pattern_or_prefix
 from tagtrail.operators.ordering import exact_quantiles, with_blocks, with_position
-from tagtrail.session import finite
+from tagtrail.session import finite, staged
 
 # Fixed values of the profile.
 TIMESTAMP_NAMES = ["timestamp", "time", "datetime", "date"]
 SAMPLE_VALUES = 5
+HEAD_ROWS = 1000
 TOP_INTERVALS = 5
 MEAN_FLOOR = 1e-12
 
@@ -46,22 +47,11 @@ def numeric_profile(readings: DataFrame) -> DataFrame:
 def column_profile(df: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column: type, missing and distinct counts, first values in ``order``, family hint."""
     columns = list(columns or df.columns)
-    ids = [f"_o{i}" for i in range(len(order))]
-    cells = df.select(
-        *(F.col(c).alias(i) for c, i in zip(order, ids)), *(F.col(c).cast("string").alias(c) for c in columns)
-    ).unpivot(ids, columns, "column", "cell")
+    cells = df.select(*(F.col(c).cast("string").alias(c) for c in columns)).unpivot([], columns, "column", "cell")
     counts = cells.groupBy("column").agg(
         F.count("*").alias("rows"), F.count("cell").alias("filled"), F.countDistinct("cell").alias("unique_count")
     )
-    first = Window.partitionBy("column").orderBy(*ids)
-    samples = (
-        cells.where(F.col("cell").isNotNull())
-        .withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= SAMPLE_VALUES)
-        .groupBy("column")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "cell"))).alias("found"))
-        .select("column", F.col("found.cell").alias("sample_values"))
-    )
+    samples = _first_values(df, order, columns)
     kinds = {f.name: f.dataType for f in df.schema}
     dtype = F.create_map(*(F.lit(x) for c in columns for x in (c, kinds[c].simpleString())))
     numeric = F.array(*(F.lit(c) for c in columns if isinstance(kinds[c], T.NumericType)), F.lit(""))
@@ -79,6 +69,27 @@ def column_profile(df: DataFrame, order: Sequence[str], columns: Sequence[str] |
     )
 
 
+def _first_values(df: DataFrame, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``column, sample_values``: the first non-null values of each column as text, in ``order``.
+
+    The first rows of the table hold them for most columns; only a column with too few there is searched by itself.
+    """
+    text = df.select(
+        F.struct(*order).alias("_at"), *(F.col(c).cast("string").alias(c) for c in columns)
+    )
+    head = staged(text.orderBy("_at").limit(HEAD_ROWS), "head")
+    filled = head.agg(F.count("*").alias("_rows"), *(F.count(F.col(f"`{c}`")).alias(c) for c in columns)).first()
+    cells = head.unpivot(["_at"], list(columns), "column", "cell").where(F.col("cell").isNotNull())
+    for c in columns:
+        if filled["_rows"] == HEAD_ROWS and filled[c] < SAMPLE_VALUES:
+            found = text.where(F.col(f"`{c}`").isNotNull()).orderBy("_at").limit(SAMPLE_VALUES)
+            cells = cells.where(F.col("column") != c).unionByName(
+                found.select("_at", F.lit(c).alias("column"), F.col(f"`{c}`").alias("cell"))
+            )
+    first = F.slice(F.array_sort(F.collect_list(F.struct("_at", "cell"))), 1, SAMPLE_VALUES)
+    return cells.groupBy("column").agg(first.alias("found")).select("column", F.col("found")["cell"].alias("sample_values"))
+
+
 def timestamp_candidates(profile: DataFrame) -> DataFrame:
     """Columns whose trimmed, lowercased name says they hold the time."""
     return profile.where(F.lower(F.trim("column")).isin(TIMESTAMP_NAMES)).select("column")

@@ -88,7 +88,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, stric
 def read_events(spark: SparkSession, path: str, event_schema: str) -> DataFrame:
     """Events from JSON files holding a bare list or an object with the list under one of ``EVENT_KEYS``."""
     listed = f"array<struct<{event_schema}>>"
-    text = spark.read.option("wholetext", "true").text(path).select(F.trim("value").alias("value"))
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
     wrapped = F.from_json("value", "struct<" + ", ".join(f"{k}: {listed}" for k in EVENT_KEYS) + ">")
     bare = F.when(F.col("value").startswith("["), F.from_json("value", listed))
     found = F.coalesce(bare, *(wrapped[k] for k in EVENT_KEYS))

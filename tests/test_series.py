@@ -147,7 +147,7 @@ def test_recent_values_keep_nulls_and_trend_points_drop_them_after(spark):
 def test_pairs_with_nulls_and_no_variance(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(1e6, 1, 200)
-    frame = pd.DataFrame({"a": x, "b": x * 2 + rng.normal(0, 0.1, 200), "c": 4.0, "d.e": rng.normal(0, 1, 200)})
+    frame = pd.DataFrame({"a": x, "b": x * 2 + rng.normal(0, 0.1, 200), "c": 0.1, "d.e": rng.normal(0, 1, 200)})
     frame.loc[::3, "b"] = None
     wide = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "a double, b double, c double, `d.e` double")
     got = {(r.sensor_a, r.sensor_b): r for r in correlation.pair_correlations(wide, list(frame.columns)).collect()}
@@ -160,13 +160,14 @@ def test_pairs_with_nulls_and_no_variance(spark):
     assert correlation.correlated_pairs(wide.limit(0), list(frame.columns)).count() == 0
 
 
-def test_long_pairs_match_pandas(spark):
+@pytest.mark.parametrize("tile", [2, 4, 100])
+def test_long_pairs_match_pandas(spark, tile):
     rng = random.Random(5)
     rows = [
         (f"s{k}", T0 + dt.timedelta(hours=h, minutes=rng.randrange(60)), h * 10 + k, rng.random())
         for h in range(80) for k in range(6) if rng.random() < 0.7
     ]
-    got = correlation.sensor_pair_correlations(spark.createDataFrame(rows, SCHEMA), "hour").collect()
+    got = correlation.sensor_pair_correlations(spark.createDataFrame(rows, SCHEMA), "hour", tile).collect()
     frame = pd.DataFrame(rows, columns=["tag", "ts", "rid", "value"])
     wide = frame.assign(h=frame["ts"].dt.floor("h")).pivot_table(index="h", columns="tag", values="value")
     want = wide.corr(min_periods=2)

@@ -71,8 +71,12 @@ def exact_quantiles(
     values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     margin = 5.0 / accuracy
     bounds = [p for q in named.values() for p in (max(0.0, q - margin), min(1.0, q + margin))]
-    sketch = values.groupBy(*keys).agg(
-        F.percentile_approx("_v", bounds, accuracy).alias("_b"), F.count("*").alias("_size")
+    # Staged: as a written table its size is known, so a small one is sent to the values and they need no shuffle.
+    sketch = staged(
+        values.groupBy(*keys).agg(
+            F.percentile_approx("_v", bounds, accuracy).alias("_b"), F.count("*").alias("_size")
+        ),
+        "sketch",
     )
     v, b = F.col("_v"), F.col("_b")
     inside = F.lit(False)

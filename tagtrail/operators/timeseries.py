@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagtrail.functions.tags import family_by_substring
 from tagtrail.operators.ordering import BLOCK_ROWS, exact_quantiles, with_blocks, with_position
+from tagtrail.session import staged
 
 # Fixed values of the analysis.
 MAD_FACTOR = 0.6745
@@ -34,14 +35,14 @@ def positioned(readings: DataFrame) -> DataFrame:
 
 def robust_center(readings: DataFrame) -> DataFrame:
     """Per sensor: exact median and exact median absolute deviation."""
-    medians = exact_quantiles(readings, ["tag"], "value", {"median": 0.5})
+    medians = staged(exact_quantiles(readings, ["tag"], "value", {"median": 0.5}), "medians")
     deviations = readings.join(medians, "tag").select("tag", F.abs(F.col("value") - F.col("median")).alias("dev"))
     return medians.join(exact_quantiles(deviations, ["tag"], "dev", {"mad": 0.5}), "tag")
 
 
 def robust_zscore(readings: DataFrame, center: DataFrame | None = None) -> DataFrame:
     """Add ``robust_z``: 0.6745 (x - median) / MAD; 0 on every row of a sensor whose MAD is null or 0."""
-    center = robust_center(readings) if center is None else center
+    center = staged(robust_center(readings), "center") if center is None else center
     scaled = F.lit(MAD_FACTOR) * (F.col("value") - F.col("median")) / F.nullif(F.col("mad"), F.lit(0.0))
     flat = F.col("mad").isNull() | (F.col("mad") == 0)
     return (

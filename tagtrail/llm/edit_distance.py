@@ -25,7 +25,7 @@ def within(a: list[str], b: list[str], most: int) -> np.ndarray:
     m, n = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     band = 2 * most + 1
     columns = int(n.max(initial=0))
-    rows = _codes(a, columns + band + most, -1, most)
+    rows = _codes(a, max(int(m.max()), columns + band), -1, most)
     cols = _codes(b, columns, -2, 0)
     one, top = np.uint64(1), np.uint64(2 * most)
     full = np.uint64((1 << band) - 1)

@@ -7,7 +7,7 @@ t / (2 - t) <= |A| / |B| <= (2 - t) / t. Whole texts are passed over when they h
 chosen so that they touch over 1 - t / (2 - t) of each template's bigrams, of which any match has that share at least.
 
 Only DataFrame functions run, row by row: nothing is shuffled. Null or empty text: no row. A licence that stands twice
-gives two rows; repeated rows of the table are reported each.
+gives two rows, and a third if both together still match as a run; repeated rows of the table are reported each.
 """
 
 from __future__ import annotations

@@ -67,7 +67,8 @@ def _rates(rows: DataFrame, per: DataFrame, measure: Callable[[Column], Column],
     """``per`` with c, the factor from measure to expected copies. A round takes documents at the cap out of the sum."""
     sized = rows.select("_source", "_words", measure(F.col("_words")).alias("_m"))
     joined = lambda table: sized.join(table, sized["_source"].eqNullSafe(table["source"]))
-    per = per.withColumn("c", F.lit(0.0))
+    # A source that is wanted whole, as often as it may be, needs no search.
+    per = per.withColumn("c", F.when(F.col("target") >= copies * F.col("source_size"), F.lit(1e15)).otherwise(F.lit(0.0)))
     before = None
     while True:
         full = F.col("c") * F.col("_m") >= copies

@@ -88,12 +88,14 @@ def bags(texts: list[str], words: list[list[bytes]]) -> list[tuple[np.ndarray, n
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     gap = b"\n" * (max(WINDOWS) - 1)
     data = np.frombuffer(gap.join(raw) + gap, dtype=np.uint8).astype(np.uint64)
-    begins = offsets_of([len(r) + len(gap) for r in raw])
+    begins = offsets_of([len(r) for r in raw])
+    own = np.ones(len(data), dtype=bool)  # windows that begin in a gap may reach into the next text
+    own[(begins[1:] + len(gap) * np.arange(len(raw)))[:, None] + np.arange(len(gap))] = False
     for n in WINDOWS:
         h = np.zeros(len(data), dtype=np.uint64)
         for k in range(n):
             h[: len(data) - k] = h[: len(data) - k] * np.uint64(257) + data[k:]
-        out.append((spread(h), begins))
+        out.append((spread(h[own]), begins))
     return [((p + np.uint64(k << BITS)).astype(np.int64), o) for k, (p, o) in enumerate(out)]
 
 

@@ -76,7 +76,9 @@ def tiles(pattern: list[str], stretches: list[list[str]], shortest: int) -> list
     for part in stretches:
         text += [*part, None]
     size = max(len(pattern), len(text)) + 1
-    powers = np.cumprod(np.concatenate([[1], np.full(size, _PRIME)]).astype(np.uint64), dtype=np.uint64)
+    powers = np.full(size + 1, _PRIME, dtype=np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
     a, b = _Windows(pattern, powers), _Windows(text, powers)
     found: list[tuple[int, int, int]] = []
 
@@ -90,9 +92,7 @@ def tiles(pattern: list[str], stretches: list[list[str]], shortest: int) -> list
             middle = (low + high + 1) // 2
             low, high = (middle, high) if common(middle) else (low, middle - 1)
         found += _mark(a, b, low)
-        longest = low - 1 if not common(low) else low
-        if longest == low and not _free(a, b, low):
-            longest = low - 1  # only unequal words with equal hashes are left
+        longest = low - 1  # one pass marks all it can of a length
     return found
 
 
@@ -120,12 +120,6 @@ def _mark(a: _Windows, b: _Windows, length: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def _free(a: _Windows, b: _Windows, length: int) -> bool:
-    at = _places(b, length)
-    starts, hashes = a.unmarked(length)
-    return any(a.words[s : s + length] == b.words[t : t + length] for s, h in zip(starts.tolist(), hashes.tolist()) for t in at.get(h, []))
-
-
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     """(item, item_hash, words, seeds, seed_words) of each item with words."""
 
@@ -155,7 +149,7 @@ def _covered(documents: DataFrame, doc_id: str, text: str, held: np.ndarray, len
                 starts = offsets_of([len(d) for d in docs])
                 flat = token_hashes([w for d in docs for w in d])
                 cover = np.zeros(len(flat) + 1, dtype=np.int64)
-                hits: list[tuple[np.ndarray, np.ndarray]] = []
+                hits = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))]
                 for k in sizes:
                     hashed = window_hashes(flat, k)
                     at = np.flatnonzero(may_hold(bits, hashed))

@@ -9,7 +9,9 @@ banded bit-parallel edit distance.
 
 A key that more than HOT index entries share would pair them all. Its entries and probes take a longer key instead: the
 longer side of the line, beside the shared segment, is split into DISTANCE + 1 parts again, of which one must be
-unchanged too. Which keys are hot is told by a bitmap, alike for both sides.
+unchanged too. Which keys are hot is told by a bitmap, alike for both sides. Entries and probes carry counts of their
+line's characters, and the join passes on only pairs whose counts allow so few edits: variants of one line with other
+words in other places share keys, but meet no further.
 
 A line is kept if it is the first of its class, by (doc_id, line number), and no class linked to it begins earlier.
 Null or empty text has no lines that take part. Null ids come last. Rows that agree in id and text are one document.
@@ -94,13 +96,29 @@ def longer_keys(key: int, line: str, start: int, there: int, size: int, of: int,
     return out
 
 
-def line_id(line: str) -> tuple[int, int]:
-    whole = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
-    return whole >> 64, whole & ((1 << 64) - 1)
+def line_ids(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hi, lo) of each line: a 64-bit hash, and how often each of 16 classes of characters occurs, modulo 16.
+
+    Together they are the identity of a line. The counts also tell lines apart before any text is read: an edit changes
+    two of them at most.
+    """
+    hi = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), dtype=np.uint64, count=len(lines))
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4") & np.uint32(15)
+    owner = np.repeat(np.arange(len(lines), dtype=np.int64) * 16, [len(x) for x in lines])
+    counts = np.bincount(owner + codes, minlength=16 * len(lines)).reshape(-1, 16).astype(np.uint64) & np.uint64(15)
+    return hi, (counts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
+
+
+def _similar(a: Column, b: Column, most: int) -> Column:
+    """No more than twice ``most`` of the 16 counts differ."""
+    differ = a.bitwiseXOR(b)
+    for width in (1, 2):
+        differ = differ.bitwiseOR(F.shiftrightunsigned(differ, width))
+    return F.bit_count(differ.bitwiseAND(F.lit(0x1111111111111111))) <= 2 * most
 
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+def _signed(values: list[int] | np.ndarray) -> pa.Array:
+    return pa.array(np.asarray(values, dtype=np.uint64).view(np.int64))
 
 
 def _lines(documents: DataFrame, text: str, columns: str, rows, carry: list[Column] = ()) -> DataFrame:
@@ -120,9 +138,9 @@ def _occurrences(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     kind = documents.schema[doc_id].dataType.simpleString()
 
     def rows(lines, part):
-        ids = [line_id(line) for _, _, line in lines]
+        hi, lo = line_ids([line for _, _, line in lines])
         keys = part.select(["doc_id", "doc_hash"]).take(pa.array([k for k, _, _ in lines], pa.int64()))
-        return [*keys.columns, pa.array([n for _, n, _ in lines], pa.int32()), _signed([a for a, _ in ids]), _signed([b for _, b in ids])]
+        return [*keys.columns, pa.array([n for _, n, _ in lines], pa.int32()), _signed(hi), _signed(lo)]
 
     carry = [F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("doc_hash")]
     return _lines(documents, text, f"doc_id {kind}, doc_hash bigint, line_no int, hi bigint, lo bigint", rows, carry)
@@ -134,8 +152,10 @@ def _fresh(lines):
 
 
 def _rows(found: list[tuple[int, str]]) -> list[pa.Array]:
-    ids = {line: line_id(line) for _, line in found}
-    return [_signed([k for k, _ in found]), _signed([ids[line][0] for _, line in found]), _signed([ids[line][1] for _, line in found])]
+    nth = {line: n for n, line in enumerate(dict.fromkeys(line for _, line in found))}
+    hi, lo = line_ids(list(nth))
+    at = np.fromiter((nth[line] for _, line in found), dtype=np.int64, count=len(found))
+    return [_signed([k for k, _ in found]), _signed(hi[at]), _signed(lo[at])]
 
 
 _KEYED = "key bigint, hi bigint, lo bigint"
@@ -167,7 +187,7 @@ def candidates(documents: DataFrame, text: str, most: int, hot: int) -> DataFram
         entries = index.join(heated, "key", "left_anti").unionByName(_lines(documents, text, _KEYED, rekeyed).distinct())
     probes = _lines(documents, text, _KEYED, probe)
     a, b = (x.select("key", F.col("hi").alias(f"{n}_hi"), F.col("lo").alias(f"{n}_lo")) for x, n in ((entries, "x"), (probes, "y")))
-    met = a.join(b, "key").where("x_hi <> y_hi or x_lo <> y_lo")
+    met = a.join(b, "key").where(F.expr("x_hi <> y_hi or x_lo <> y_lo") & _similar(F.col("x_lo"), F.col("y_lo"), most))
     first = (F.col("x_hi") < F.col("y_hi")) | ((F.col("x_hi") == F.col("y_hi")) & (F.col("x_lo") < F.col("y_lo")))
     side = lambda one, other, n: F.when(first, F.col(f"{one}_{n}")).otherwise(F.col(f"{other}_{n}"))
     return met.select(*[side(*xy, n).alias(f"{to}_{n}") for to, xy in (("a", ("x", "y")), ("b", ("y", "x"))) for n in ("hi", "lo")]).distinct()
@@ -179,10 +199,9 @@ def _texts(documents: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
     def rows(lines, part):
         fresh = _fresh(lines)
-        ids = [line_id(line) for line in fresh]
-        held = may_hold(shared.value, np.array([a for a, _ in ids], dtype=np.uint64)) if ids else []
-        found = [(line, *i) for line, i, h in zip(fresh, ids, held) if h]
-        return [_signed([f[1] for f in found]), _signed([f[2] for f in found]), pa.array([f[0] for f in found], pa.string())]
+        hi, lo = line_ids(fresh)
+        at = np.flatnonzero(may_hold(shared.value, hi))
+        return [_signed(hi[at]), _signed(lo[at]), pa.array([fresh[k] for k in at], pa.string())]
 
     return _lines(documents, text, "hi bigint, lo bigint, line string", rows).groupBy("hi", "lo").agg(F.first("line").alias("line"))
 

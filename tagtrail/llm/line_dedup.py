@@ -19,6 +19,7 @@ Null or empty text has no lines that take part. Null ids come last. Rows that ag
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagtrail.llm.bitmap import bitmap, may_hold
 from tagtrail.llm.edit_distance import within
-from tagtrail.llm.texts import slices
+from tagtrail.llm.texts import offsets_of, slices
 from tagtrail.session import staged
 
 DISTANCE = 2
@@ -66,24 +67,32 @@ def places(length: int, of: int, number: int, start: int, size: int, most: int)
     return range(low, high + 1)
 
 
-def _key(length: int, number: int, piece: str) -> int:
-    return xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass"), length * 64 + number)
+@functools.lru_cache(maxsize=8192)
+def index_plan(length: int, most: int) -> list[tuple[int, int, int, int, int]]:
+    """(seed, start, start, size, length) of each segment of a line of this length."""
+    return [(length * 64 + k, a, a, n, length) for k, (a, n) in enumerate(segments(length, most + 1))]
 
 
-def index_keys(line: str, most: int = DISTANCE) -> list[tuple[int, int, int]]:
-    """(key, start, size) of each segment."""
-    return [(_key(len(line), k, line[a : a + n]), a, n) for k, (a, n) in enumerate(segments(len(line), most + 1))]
-
-
-def probe_keys(line: str, most: int = DISTANCE) -> list[tuple[int, int, int, int, int]]:
-    """(key, start here, start there, size, length there) of each substring that can be a segment of a line."""
+@functools.lru_cache(maxsize=8192)
+def probe_plan(length: int, most: int) -> list[tuple[int, int, int, int, int]]:
+    """(seed, start here, start there, size, length there) of what can be a segment of a line that is not longer."""
     out = []
-    for of in range(max(MIN_CHARS, len(line) - most), len(line) + 1):
+    for of in range(max(MIN_CHARS, length - most), length + 1):
         for k, (a, n) in enumerate(segments(of, most + 1)):
-            out += [(_key(of, k, line[p : p + n]), p, a, n, of) for p in places(len(line), of, k, a, n, most)]
+            out += [(of * 64 + k, p, a, n, of) for p in places(length, of, k, a, n, most)]
     return out
 
 
+def planned_keys(lines: list[str], plan, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that ``plan`` gives for each line, in a row, and where each line's begin."""
+    keys, sizes, digest = [], [], xxhash.xxh64_intdigest
+    for line in lines:
+        data, steps = line.encode("utf-32-le", "surrogatepass"), plan(len(line), most)
+        keys += [digest(data[4 * p : 4 * (p + n)], seed) for seed, p, _, n, _ in steps]
+        sizes.append(len(steps))
+    return np.array(keys, dtype=np.uint64), offsets_of(sizes)
+
+
 def longer_keys(key: int, line: str, start: int, there: int, size: int, of: int, most: int, probe: bool) -> list[int]:
     """Keys that a hot key gives way to; of the index side if not ``probe``. The side is chosen by the line of the index."""
     right = of - there - size >= there
@@ -151,11 +160,11 @@ def _fresh(lines):
     return list(dict.fromkeys(line for _, _, line in lines))
 
 
-def _rows(found: list[tuple[int, str]]) -> list[pa.Array]:
-    nth = {line: n for n, line in enumerate(dict.fromkeys(line for _, line in found))}
-    hi, lo = line_ids(list(nth))
-    at = np.fromiter((nth[line] for _, line in found), dtype=np.int64, count=len(found))
-    return [_signed([k for k, _ in found]), _signed(hi[at]), _signed(lo[at])]
+def _rows(lines: list[str], keys: np.ndarray, offsets: np.ndarray, more: list[tuple[int, int]] = ()) -> list[pa.Array]:
+    """Columns key, hi, lo of the keys of each line, and of ``more``, pairs of a key and the number of its line."""
+    hi, lo = line_ids(lines)
+    at = np.concatenate([np.repeat(np.arange(len(lines)), np.diff(offsets)), np.array([n for _, n in more], dtype=np.int64)])
+    return [_signed(np.concatenate([keys, np.array([k for k, _ in more], dtype=np.uint64)])), _signed(hi[at]), _signed(lo[at])]
 
 
 _KEYED = "key bigint, hi bigint, lo bigint"
@@ -164,23 +173,34 @@ _KEYED = "key bigint, hi bigint, lo bigint"
 def candidates(documents: DataFrame, text: str, most: int, hot: int) -> DataFrame:
     """Pairs of different classes that share a key: (a_hi, a_lo, b_hi, b_lo), each once, a < b."""
     context = documents.sparkSession.sparkContext
-    index = staged(_lines(documents, text, _KEYED, lambda lines, part: _rows([(k, line) for line in _fresh(lines) for k, _, _ in index_keys(line, most)])).distinct(), "segments")
+
+    def entry(lines, part):
+        fresh = _fresh(lines)
+        return _rows(fresh, *planned_keys(fresh, index_plan, most))
+
+    index = staged(_lines(documents, text, _KEYED, entry).distinct(), "segments")
     heated = staged(index.groupBy("key").count().where(F.col("count") > hot).select("key"), "hot")
     bits = bitmap(heated, "key")
     shared = context.broadcast(bits)
 
-    def heat(found: list[tuple]) -> list[tuple]:
-        is_hot = may_hold(shared.value, np.array([f[0] for f in found], dtype=np.uint64)) if found else []
-        return [f for f, h in zip(found, is_hot) if h]
+    def longer(lines: list[str], keys: np.ndarray, offsets: np.ndarray, plan, probe: bool) -> list[tuple[int, int]]:
+        """The longer keys in place of the hot ones, each with the number of its line."""
+        out = {}
+        at = np.flatnonzero(may_hold(shared.value, keys))
+        for k, n in zip(at.tolist(), (np.searchsorted(offsets, at, side="right") - 1).tolist()):
+            _, here, there, size, of = plan(len(lines[n]), most)[k - offsets[n]]
+            out |= dict.fromkeys((x, n) for x in longer_keys(int(keys[k]), lines[n], here, there, size, of, most, probe))
+        return list(out)
 
     def probe(lines, part):
-        found = [(k, p, a, n, of, line) for line in _fresh(lines) for k, p, a, n, of in probe_keys(line, most)]
-        longer = [(x, line) for k, p, a, n, of, line in heat(found) for x in longer_keys(k, line, p, a, n, of, most, True)]
-        return _rows([(f[0], f[5]) for f in found] + list(dict.fromkeys(longer)))
+        fresh = _fresh(lines)
+        keys, offsets = planned_keys(fresh, probe_plan, most)
+        return _rows(fresh, keys, offsets, longer(fresh, keys, offsets, probe_plan, True))
 
     def rekeyed(lines, part):
-        found = [(k, a, n, line) for line in _fresh(lines) for k, a, n in index_keys(line, most)]
-        return _rows([(x, line) for k, a, n, line in heat(found) for x in longer_keys(k, line, a, a, n, len(line), most, False)])
+        fresh = _fresh(lines)
+        keys, offsets = planned_keys(fresh, index_plan, most)
+        return _rows(fresh, keys[:0], np.zeros(len(fresh) + 1, dtype=np.int64), longer(fresh, keys, offsets, index_plan, False))
 
     entries = index
     if bits.any():  # what the bitmap takes for hot without need gets longer keys besides its own

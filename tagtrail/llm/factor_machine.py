@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagtrail.llm.texts import hash_words, labelled_sample, map_texts, offsets_of, segment_sums, split_words
+from tagtrail.llm.texts import flat_rows, hash_words, labelled_sample, map_texts, offsets_of, segment_sums, split_words
 
 BITS = 14
 RANK = 8
@@ -98,7 +98,8 @@ def fit(documents: DataFrame, labels: DataFrame, where: Column | None = None, ro
         return {"at": np.split(at.astype(np.int32), cut), "value": np.split(value.astype(np.float32), cut)}
 
     got = map_texts(sample, run, "at array<int>, value array<float>", carry=["doc_id", "label", METADATA]).toArrow().sort_by("doc_id")
-    return fit_rows(got["at"].to_pylist(), got["value"].to_pylist(), np.array(got["label"], dtype=float), epochs)
+    at, value, offsets = flat_rows(got)
+    return fit_rows(np.split(at, offsets[1:-1]), np.split(value, offsets[1:-1]), np.array(got["label"], dtype=float), epochs)
 
 
 def fit_rows(at: list, value: list, label: np.ndarray, epochs: int, batch: int = 64) -> Machine:

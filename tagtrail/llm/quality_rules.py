@@ -18,14 +18,14 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tagtrail.llm.texts import hash_words, labelled_sample, map_texts, offsets_of, segment_sums, split_words
+from tagtrail.llm.texts import flat_rows, hash_words, labelled_sample, map_texts, offsets_of, segment_sums, split_words
 
 BITS = 15
 WINDOWS = (3, 5)
 BAGS = 2 + len(WINDOWS)
 MIN_WORDS = 50
 KEEP_AT = 0.5
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2000
 SYMBOLS = "#*$%&|<>"
 #: Weight of a bag's average; averages over hundreds of entries are small numbers.
 SCALE = 30.0
@@ -125,21 +125,16 @@ def sparse_rows(texts: list[str], part) -> dict:
 def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, rounds: int = 120) -> Model:
     """Fit on at most ``rows`` labelled rows; tenths 8 and 9 of them only calibrate."""
     sample = labelled_sample(documents, labels, "quality", rows)
-    got = map_texts(sample, sparse_rows, "at array<int>, value array<float>", carry=["doc_id", "label", "part"]).toArrow()
-    got = got.sort_by("doc_id")
-    return fit_rows(
-        got["at"].to_pylist(), got["value"].to_pylist(), np.array(got["label"], dtype=float), np.array(got["part"]), rounds
-    )
+    got = map_texts(sample, sparse_rows, "at array<int>, value array<float>", carry=["doc_id", "label", "part"]).toArrow().sort_by("doc_id")
+    return fit_rows(*flat_rows(got), np.array(got["label"], dtype=float), np.array(got["part"]), rounds)
 
 
-def fit_rows(at: list, value: list, label: np.ndarray, part: np.ndarray, rounds: int) -> Model:
+def fit_rows(column: np.ndarray, entry: np.ndarray, offsets: np.ndarray, label: np.ndarray, part: np.ndarray, rounds: int) -> Model:
+    rows = len(label)
     size = BAGS << BITS
     if len(set(label.tolist())) < 2:
         return Model(np.zeros(size, dtype=np.float32), 0.0, 1.0, 0.0, known=False)
-    offsets = offsets_of([len(a) for a in at])
-    column = np.fromiter((x for a in at for x in a), dtype=np.int64, count=offsets[-1])
-    entry = np.fromiter((x for v in value for x in v), dtype=np.float64, count=offsets[-1])
-    row = np.repeat(np.arange(len(at)), np.diff(offsets))
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(offsets))
     learn = part < 8
     if len(set(label[learn].tolist())) < 2 or len(set(label[~learn].tolist())) < 2:
         learn = np.ones(len(label), dtype=bool)
@@ -147,13 +142,13 @@ def fit_rows(at: list, value: list, label: np.ndarray, part: np.ndarray, rounds:
     w, b = np.zeros(size), 0.0
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, rounds + 1):
-        z = np.bincount(row, entry * w[column], minlength=len(at)) + b
+        z = np.bincount(row, entry * w[column], minlength=rows) + b
         pull = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label)
         grad = np.append(np.bincount(column, entry * pull[row], minlength=size) + 1e-5 * w, pull.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    z = np.bincount(row, entry * w[column], minlength=len(at)) + b
+    z = np.bincount(row, entry * w[column], minlength=rows) + b
     held = ~learn if not learn.all() else learn
     slope, shift = calibrate(z[held], label[held])
     return Model(w.astype(np.float32), float(b), slope, shift)

@@ -100,3 +100,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     order = F.xxhash64(F.lit(seed), "doc_id")
     chosen = one.orderBy(order, "doc_id").limit(rows).withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(10)).cast("int"))
     return documents.drop("label", "part").join(chosen, "doc_id")
+
+
+def flat_rows(table: pa.Table, at: str = "at", value: str = "value") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and values of all rows in a row, and where each row begins, without Python numbers."""
+    whole = table.combine_chunks()
+    lists = [pa.concat_arrays(whole[c].chunks) if whole[c].num_chunks else pa.array([], whole[c].type) for c in (at, value)]
+    sizes = lists[0].value_lengths().to_numpy(zero_copy_only=False)
+    return lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy(), offsets_of(sizes)

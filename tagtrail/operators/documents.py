@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,16 +28,23 @@ def split_chunks(text: Column, max_chars: int = MAX_CHARS, overlap_chars: int =
     if not 0 <= overlap_chars < max_chars:
         raise ValueError("overlap_chars must be >= 0 and < max_chars")
 
+    half = max_chars // 2
+
+    def cuts(line: str) -> list[tuple[int, int]]:
+        """(start, end) of each piece. The last space before a limit is looked up in the sorted places of all spaces."""
+        spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4") == 32)
+        bounds = [(0, len(line))]
+        while (start := bounds[-1][0]) + max_chars < len(line):
+            nth = np.searchsorted(spaces, start + max_chars) - 1
+            at_space = nth >= 0 and spaces[nth] >= start + max(half, 1)
+            end = int(spaces[nth]) if at_space else start + max_chars
+            bounds[-1] = (start, end)
+            bounds.append((max(end - overlap_chars, start + 1), len(line)))
+        return bounds
+
     def pieces(line: str | None) -> list[str]:
-        found, start, size = [], 0, len(line or "")
-        while start < size:
-            end = min(start + max_chars, size)
-            space = line.rfind(" ", start + max_chars // 2, end) if end < size else -1
-            if space > start:
-                end = space
-            found.append(line[start:end].strip())
-            start = size if end == size else max(end - overlap_chars, start + 1)
-        return [piece for piece in found if piece]
+        stripped = (line[a:b].strip() for a, b in cuts(line)) if line else ()
+        return [piece for piece in stripped if piece]
 
     @F.pandas_udf("array<string>")
     def split(lines: pd.Series) -> pd.Series:

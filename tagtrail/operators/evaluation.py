@@ -44,16 +44,23 @@ def shown_counts(shown: DataFrame, case: str) -> DataFrame:
     )
 
 
+def _with_shown(checked: DataFrame, shown: DataFrame, case: str) -> DataFrame:
+    """Counts of what the case was shown; a case that was shown nothing has zeros."""
+    names = ["document_count", "entity_count", "event_count"]
+    joined = checked.join(shown_counts(shown, case), case, "left")
+    return joined.withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
+
+
 def grounding_evaluation(answers: DataFrame, shown: DataFrame, case: str, keys: Sequence[str]) -> DataFrame:
     """Citations, sections, insufficiency language and retrieval counts per answer; review fields stay null."""
     checked = citation_checks(answers, shown, case, keys)
-    return checked.join(shown_counts(shown, case), case, "left").withColumns(c.grounding_flags(F.col("answer")))
+    return _with_shown(checked, shown, case).withColumns(c.grounding_flags(F.col("answer")))
 
 
 def system_evaluation(answers: DataFrame, shown: DataFrame, case: str, keys: Sequence[str]) -> DataFrame:
     """As ``grounding_evaluation`` with the benchmark's flags; citations of readings count and are never valid."""
     checked = citation_checks(answers, shown, case, keys, with_series=True)
-    return checked.join(shown_counts(shown, case), case, "left").withColumns(c.system_flags(F.col("answer")))
+    return _with_shown(checked, shown, case).withColumns(c.system_flags(F.col("answer")))
 
 
 def pass_rates(rows: DataFrame, flags: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

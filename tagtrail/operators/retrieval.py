@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -163,8 +163,8 @@ def _grid(questions: DataFrame, corpus: DataFrame, k: int, block: int, corpus_sl
     )
 
 
-def encode_chunks(chunks: DataFrame, encoder, batch: int = 32) -> DataFrame:
-    """``chunk_id, embedding`` by a plugged-in encoder (pandas series of text to series of float lists), unit length.
+def encode_chunks(chunks: DataFrame, encoder, batch: int = 32, keep: Sequence[str] = ()) -> DataFrame:
+    """``chunk_id, embedding``, and the columns ``keep``, by a plugged-in encoder (pandas series of text to series of float lists), unit length.
 
     An empty text is an error; the encoder gets at most ``batch`` texts at a time.
     """
@@ -180,7 +180,7 @@ def encode_chunks(chunks: DataFrame, encoder, batch: int = 32) -> DataFrame:
             parts += list((found / np.where(length == 0, 1.0, length)).astype(np.float32))
         return pd.Series(parts)
 
-    return chunks.select("chunk_id", encode("text").alias("embedding"))
+    return chunks.select("chunk_id", *keep, encode("text").alias("embedding"))
 
 
 # --- substrings by equality joins ---------------------------------------------------------------------------------

@@ -5,6 +5,10 @@ Each binding exists as a DataFrame and as SQL of the same name, used as a common
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagtrail.functions.ids import prefixed_sha1
@@ -106,7 +110,7 @@ SQL["chunks"] = """select concat('chunk_', substring(sha1(concat(p.document_id,
 NEEDS["chunks"] = ["cuts"]
 SQL["dict"] = r"""select tag, cast(('0x' || substring(sha1(tag), 1, 6)) as bigint) % 100 as user_id from (
   select distinct lower(t) as tag from
-    (select unnest(string_split_regex(text, '[^A-Za-z0-9_.-]+')) as t from benchmark) where length(t) >= 9)"""
+    (select unnest(string_split_regex(text, '[^A-Za-z0-9_.-]+')) as t from benchmark) where t <> '')"""
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,12 +129,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long words of the benchmark texts play the tags; ``user_id`` ties a tag to readings."""
+    """The words of the benchmark texts play the tags; ``user_id`` ties a tag to readings."""
     words = table(spark, sf_dir, "benchmark").select(
         F.explode(F.split("text", r"[^A-Za-z0-9_.-]+")).alias("word")
     )
     return (
-        words.where(F.length("word") >= 9)
+        words.where(F.col("word") != "")
         .select(F.lower("word").alias("tag"))
         .distinct()
         .withColumn("user_id", F.conv(F.substring(F.sha1("tag"), 1, 6), 16, 10).cast("bigint") % 100)
@@ -241,23 +245,36 @@ def mention_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- questions, hits, answers, examples -------------------------------------------------------------------------
 
-SQL["questions"] = """select item_id as question_id, concat(substring(text, 1, 60), case item_id % 8
+SQL["questions"] = """select item_id as question_id, concat(text, case item_id % 8
   when 0 then ' recent pressure values' when 1 then ' which sensor spike happened'
   when 2 then ' compare 75PI801.pv and 75TI802.pv' when 3 then ' manual section'
   when 4 then ' trend before the fault' when 5 then ' bearing temperature' when 6 then ' statistical_spike'
   else ' latest measurement of 75ZI805.pv' end) as question from benchmark"""
+# The stand-in encoder: counts of hashed words, at unit length, in single precision.
+DIMS = 64
+
+
+def _dims_sql(keys: str, text: str, table: str) -> str:
+    return f"""select *, (n / sqrt(sum(n * n) over (partition by {keys})))::float::double as v from (
+  select {keys}, cast(concat('0x', substring(sha1(w), 1, 4)) as bigint) % {DIMS} as dim, count(*)::double as n
+  from (select {keys}, unnest(string_split({text}, ' ')) as w from {table}) where w <> '' group by all)"""
+
+
+SQL["question_dims"] = _dims_sql("question_id", "question", "questions")
+NEEDS["question_dims"] = ["questions"]
+SQL["chunk_dims"] = _dims_sql("chunk_id, doc_id", "text", "chunks")
+NEEDS["chunk_dims"] = ["chunks"]
 SQL["hits"] = """select question_id, chunk_id, doc_id, rank, score from (
   select question_id, chunk_id, doc_id, score,
     row_number() over (partition by question_id order by score desc, chunk_id) as rank
-  from (select b.item_id as question_id, c.chunk_id, c.doc_id,
-      list_dot_product(q.embedding::double[], v.embedding::double[]) as score
-    from benchmark b join embeddings q on q.vec_id = b.item_id, embeddings v
-    join chunks c on c.doc_id = v.vec_id)) where rank <= 8"""
-NEEDS["hits"] = ["chunks"]
+  from (select q.question_id, c.chunk_id, c.doc_id,
+      round(sum(q.v * c.v), 9) as score
+    from question_dims q join chunk_dims c on c.dim = q.dim group by 1, 2, 3)) where rank <= 8"""
+NEEDS["hits"] = ["question_dims", "chunk_dims"]
 SQL["examples"] = """select concat('ex_', cast(doc_id as varchar)) as id, concat('Summarise the ', lang, ' passage') as
   instruction, text as response, source as task_type, case when n_chars > 2000 then 'hard' else 'standard' end as
   difficulty from documents"""
-SQL["answers"] = """select conv_id, turn, concat('Answer: ', substring(text, 1, 80), case turn % 4 when 1 then
+SQL["answers"] = """select conv_id, turn, concat('Answer: ', text, case turn % 4 when 1 then
   concat(' Evidence: [ENTITY:e', cast(conv_id % 5 as varchar), '] [DOC:src1 p.2 chunk:c', cast(conv_id % 3 as varchar),
   ']') else ' Evidence: [EVENT:x1] [TS:SUMMARY:a] [EVENT:x1]' end, case when conv_id % 2 = 0
   then ' Uncertainty: evidence is insufficient.' else ' ASSESSMENT: bearing failure' end) as answer
@@ -276,24 +293,40 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("question_id"),
-        F.concat(F.substring("text", 1, 60), F.array(*map(F.lit, ends))[(F.col("item_id") % 8).cast("int")]).alias(
-            "question"
-        ),
+        F.concat("text", F.array(*map(F.lit, ends))[(F.col("item_id") % 8).cast("int")]).alias("question"),
     )
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _dim(word: str) -> int:
+    return int(hashlib.sha1(word.encode()).hexdigest()[:4], 16) % DIMS
+
+
+def hashed_words(texts: pd.Series) -> pd.Series:
+    """Counts of hashed words: a stand-in for a sentence encoder that SQL can follow."""
+
+    def encode(text: str) -> list[float]:
+        out = [0.0] * DIMS
+        for word in filter(None, text.split(" ")):
+            out[_dim(word)] += 1.0
+        return out
+
+    return texts.map(encode)
+
+
 def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embedding row ``item_id`` plays the encoded question."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"))
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("question_id"), "embedding")
-    return items.join(vectors, "question_id")
+    """The encoded questions."""
+    from tagtrail.operators.retrieval import encode_chunks
+
+    named = questions(spark, sf_dir).select(F.col("question_id").alias("chunk_id"), F.col("question").alias("text"))
+    return encode_chunks(named, hashed_words).withColumnRenamed("chunk_id", "question_id")
 
 
 def chunk_vectors(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
-    """Embedding row ``doc_id`` plays the encoded chunks of a document."""
-    found = chunks(spark, sf_dir) if found is None else found
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return found.select("chunk_id", "doc_id").join(vectors, "doc_id")
+    """Every chunk, encoded."""
+    from tagtrail.operators.retrieval import encode_chunks
+
+    return encode_chunks(chunks(spark, sf_dir) if found is None else found, hashed_words, keep=["doc_id"])
 
 
 def hits(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
@@ -317,7 +350,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'assistant'").select(
         "conv_id", "turn",
         F.concat(
-            F.lit("Answer: "), F.substring("text", 1, 80),
+            F.lit("Answer: "), F.col("text"),
             F.when(
                 F.col("turn") % 4 == 1,
                 F.concat(

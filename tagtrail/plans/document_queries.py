@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tagtrail.functions import routing, text, vectors
@@ -221,9 +218,9 @@ def fn_round_score(spark, d):
     )
 
 
-@query("join_index_metadata", b.ctes("chunks") + """select c.chunk_id, c.document_id, c.page, round(v.embedding[1]::double, 6) as first,
-  (select count(*) from chunks x left join embeddings e on e.vec_id = x.doc_id where e.vec_id is null) as without_vector
-  from chunks c join embeddings v on v.vec_id = c.doc_id""")
+@query("join_index_metadata", b.ctes("chunk_dims") + """select c.chunk_id, c.document_id, c.page,
+  round(coalesce(max(case when v.dim = 0 then v.v end), 0), 6) as first, (select count(*) from chunks where chunk_id not in
+  (select chunk_id from chunk_dims)) as without_vector from chunks c join chunk_dims v on v.chunk_id = c.chunk_id group by 1, 2, 3""")
 def join_index_metadata(spark, d):
     chunks = staged(b.chunks(spark, d), "chunks")
     index = b.chunk_vectors(spark, d, chunks).select("chunk_id", "embedding")
@@ -235,22 +232,15 @@ def join_index_metadata(spark, d):
     )
 
 
-def hashing_encoder(texts: pd.Series, dims: int = 64) -> pd.Series:
-    """Counts of hashed words: a stand-in for a sentence encoder."""
-
-    def encode(line: str) -> list[float]:
-        out = [0.0] * dims
-        for word in line.split():
-            out[zlib.crc32(word.encode()) % dims] += 1.0
-        return out
-
-    return texts.map(encode)
-
-
-@query("ev_encode_chunks")
+@query("ev_encode_chunks", b.ctes("chunk_dims") + f"""select chunk_id, {b.DIMS} as dims, 1.0::double as length,
+  round(sum(dim * v), 6) as moment from chunk_dims group by chunk_id""")
 def ev_encode_chunks(spark, d):
-    encoded = retrieval.encode_chunks(b.chunks(spark, d), hashing_encoder)
-    return encoded.select("chunk_id", F.size("embedding").alias("dims"), F.round(vectors.norm(F.col("embedding")), 4).alias("length"))
+    v = F.col("embedding")
+    weighed = F.transform(v, lambda x, i: x.cast("double") * i)
+    return b.chunk_vectors(spark, d).select(
+        "chunk_id", F.size(v).alias("dims"), F.round(vectors.norm(v), 4).alias("length"),
+        F.round(F.aggregate(weighed, F.lit(0.0), lambda s, x: s + x), 6).alias("moment"),
+    )
 
 
 # --- questions ----------------------------------------------------------------------------------------------------

@@ -258,10 +258,9 @@ def ev_render_agent(spark, d):
     return evidence.render_text(agent_lines(spark, d))
 
 
-@query("ev_bundle_routed", AGENT_SQL + """ select question_id, section, place, n, line from lines where section in (3, 4, 5, 6)
-  and line <> '' """)
+@query("ev_bundle_routed", AGENT_SQL + """ select question_id, section, place, n, line from lines where line <> '' """)
 def ev_bundle_routed(spark, d):
-    return agent_lines(spark, d).where("section in (3, 4, 5, 6) and line <> ''")
+    return agent_lines(spark, d).where("line <> ''")
 
 
 # --- summary rows that name a sensor anywhere ---------------------------------------------------------------------

@@ -451,10 +451,9 @@ def join_sensor_pairs(spark, d):
 @query("join_sensor_pairs_many", b.ctes("read150").rstrip() + """, daily as (select date_trunc('day', ts) as ts, tag,
   avg(value) as value from read150 group by 1, 2) select a.tag as sensor_a, b.tag as sensor_b, count(*) as n,
   round(case when isnan(corr(a.value, b.value)) then null else corr(a.value, b.value) end, 6) as correlation
-  from daily a join daily b on a.ts = b.ts and a.tag < b.tag group by 1, 2 having count(*) >= 3""")
+  from daily a join daily b on a.ts = b.ts and a.tag < b.tag group by 1, 2""")
 def join_sensor_pairs_many(spark, d):
-    pairs = correlation.sensor_pair_correlations(b.read150(spark, d), "day")
-    return rounded(pairs.where("n >= 3"), "correlation")
+    return rounded(correlation.sensor_pair_correlations(b.read150(spark, d), "day"), "correlation")
 
 
 @query("agg_compare_sensors", b.ctes("wide") + """, last as (select ts, gross as x, case when l_orderkey % 5 = 0 then null

@@ -405,7 +405,7 @@ def agg_pass_rates(spark, d):
     )
 
 
-b.SQL["two_models"] = """select conv_id, turn, answer as tuned, case when turn % 3 = 0 then '' else substring(answer, 1, 60) end as base
+b.SQL["two_models"] = """select conv_id, turn, answer as tuned, case when turn % 3 = 0 then '' else replace(answer, 'Evidence:', '') end as base
   from answers"""
 b.NEEDS["two_models"] = ["answers"]
 LONG_SQL = f"""long as (select conv_id, turn, model, answer from two_models unpivot (answer for model in (base, tuned))),
@@ -413,7 +413,7 @@ checked as (select conv_id, turn, model, {MODEL_SQL} from long)"""
 
 
 def two_models(spark, d):
-    base = F.when(F.col("turn") % 3 == 0, "").otherwise(F.substring("answer", 1, 60))
+    base = F.when(F.col("turn") % 3 == 0, "").otherwise(F.replace(F.col("answer"), F.lit("Evidence:"), F.lit("")))
     return b.answers(spark, d).select("conv_id", "turn", F.col("answer").alias("tuned"), base.alias("base"))
 
 
@@ -431,23 +431,21 @@ def agg_model_comparison(spark, d):
     return rounded(ev.model_comparison(ev.model_checks(two_models(spark, d), ["base", "tuned"], KEYS)), "rate")
 
 
-@query("qa_consistency", b.ctes("chunks", "checked", "planted_errors") + """select 'vectors_match_metadata' as "check",
-    count(*) = 0 as passed, count(*) as detail from chunks where doc_id not in (select vec_id from embeddings)
+@query("qa_consistency", b.ctes("chunk_dims", "checked", "planted_errors") + """select 'vectors_match_metadata' as "check",
+    count(*) = 0 as passed, count(*) as detail from chunks where chunk_id not in (select chunk_id from chunk_dims)
   union all select 'knowledge_validation_passed', (select count(*) from checked where issues like '%error%') = 0,
     case when (select count(*) from checked where issues like '%error%') = 0 then 0 else 1 end
   union all select 'no_invalid_examples', count(*) = 0, count(*) from planted_errors where errors <> ''
   union all select 'has_chunks', (select count(*) from chunks) > 0, case when (select count(*) from chunks) > 0 then 0 else 1 end
-  union all select 'has_labels', (select count(*) from labels where doc_id < 0) > 0,
-    case when (select count(*) from labels where doc_id < 0) > 0 then 0 else 1 end""")
+  union all select 'has_labels', (select count(*) from labels) > 0, case when (select count(*) from labels) > 0 then 0 else 1 end
+  union all select 'has_drafts', false, 1""")
 def qa_consistency(spark, d):
     chunks = staged_chunks(spark, d)
     ents = kg.validate_entities(k.faulty_entities(spark, d), k.source_catalog(spark, d))
     report = kg.validation_report(ents, kg.validate_relations(k.relations(spark, d), k.entities(spark, d)))
     examples = tr.validate_examples(planted(spark, d), *known_ids(spark, d))
-    none = b.table(spark, d, "labels").where("doc_id < 0")
-    return ev.consistency_checks(
-        b.chunk_vectors(spark, d, chunks), chunks, report, examples, {"chunks": chunks, "labels": none}
-    )
+    parts = {"chunks": chunks, "labels": b.table(spark, d, "labels"), "drafts": spark.createDataFrame([], "id string")}
+    return ev.consistency_checks(b.chunk_vectors(spark, d, chunks), chunks, report, examples, parts)
 
 
 # --- sources and sinks --------------------------------------------------------------------------------------------

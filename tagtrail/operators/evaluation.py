@@ -63,6 +63,32 @@ def system_evaluation(answers: DataFrame, shown: DataFrame, case: str, keys: Seq
     return _with_shown(checked, shown, case).withColumns(c.system_flags(F.col("answer")))
 
 
+def prediction_evaluation(answers: DataFrame) -> DataFrame:
+    """The checks of a tuned model's answers; ``required_structure`` holds if all three sections are there."""
+    return with_structure(answers.withColumns(c.prediction_flags(F.col("answer"))))
+
+
+def with_structure(checked: DataFrame) -> DataFrame:
+    sections = F.col("has_answer_section") & F.col("has_evidence_section") & F.col("has_uncertainty_section")
+    return checked.withColumn("required_structure", sections)
+
+
+def retrieval_summary(checked: DataFrame, scores: DataFrame, case: str) -> DataFrame:
+    """One row: the mean of the best document score over the cases that have one, mean documents and entities per row.
+
+    ``scores`` holds ``(case, score)``, any number per case.
+    """
+    top = scores.groupBy(case).agg(F.max("score").alias("top_document_score"))
+
+    def mean(name: str, out: str) -> Column:
+        return F.coalesce(F.avg(name), F.lit(0.0)).alias(out)
+
+    return checked.join(top, case, "left").agg(
+        mean("top_document_score", "average_top_document_score"), mean("document_count", "average_documents"),
+        mean("entity_count", "average_entities"),
+    )
+
+
 def pass_rates(rows: DataFrame, flags: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Share of rows on which each flag holds, and the number of rows; 0.0 for an empty table."""
     rates = [F.coalesce(F.avg(F.coalesce(F.col(f), F.lit(False)).cast("int")), F.lit(0.0)).alias(f"{f}_rate") for f in flags]

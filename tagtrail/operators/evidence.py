@@ -35,7 +35,7 @@ LAYOUTS = {
     },
 }
 AGENT_SENSORS, AGENT_RECENT, AGENT_EVENTS, COMPARE_ROWS = 3, 12, 12, 500
-SECTION = {"question": 0, "tools": 1, "documents": 2, "entities": 3, "events": 4, "found": 5, "series": 6, "closing": 9}
+SECTION = {"question": 0, "tools": 1, "documents": 2, "entities": 3, "events": 4, "found": 5, "series": 6, "policies": 7, "closing": 9}
 
 
 def _text(value: Column | str) -> Column:
@@ -166,6 +166,19 @@ def grounded_bundle(documents: DataFrame, entities: DataFrame, events: DataFrame
     return docs.unionByName(ents).unionByName(found)
 
 
+def policy_rows(questions: DataFrame, policy: list[str]) -> DataFrame:
+    """The rules every bundle carries, in the shape of ``grounded_bundle``."""
+    return questions.select(
+        "question_id", F.lit("policy").alias("kind"), F.explode(F.array(*map(F.lit, policy))).alias("key"),
+        F.lit(None).cast("string").alias("parent"), F.lit(None).cast("double").alias("score"),
+    )
+
+
+def policy_lines(questions: DataFrame, policy: list[str]) -> DataFrame:
+    """The rules as lines of a routed bundle; prompts leave them out."""
+    return _lines(questions, "policies", [], *map(F.lit, policy))
+
+
 # --- routed evidence ----------------------------------------------------------------------------------------------
 
 

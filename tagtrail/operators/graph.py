@@ -90,9 +90,17 @@ def class_nodes(relations: DataFrame) -> DataFrame:
     )
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``existing`` with ``incoming`` merged in by ``keys``; of several incoming rows the last in ``order`` wins."""
+def upsert(
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str], create_only: bool = False
+) -> DataFrame:
+    """``existing`` with ``incoming`` merged in by ``keys``; of several incoming rows the last in ``order`` wins.
+
+    With ``create_only``, rows that exist stay as they are and only new keys are added.
+    """
     latest = latest_per_key(incoming, keys, order)
+    if create_only:
+        new = latest.join(existing.select(*keys), list(keys), "left_anti")
+        return existing.unionByName(new, allowMissingColumns=True)
     return existing.join(latest.select(*keys), list(keys), "left_anti").unionByName(
         latest, allowMissingColumns=True
     )
@@ -118,21 +126,34 @@ def _properties(df: DataFrame, skip: Sequence[str]) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
+def node_rows(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Rows as nodes ``id, labels, properties``."""
+    return df.select(F.col(key).alias("id"), F.array(F.lit(label)).alias("labels"), _properties(df, [key]).alias("properties"))
+
+
 def graph_nodes(
     entities: DataFrame, classes: DataFrame, events: DataFrame, chunks: DataFrame, source_id: str
 ) -> DataFrame:
     """All nodes as ``id, labels, properties``."""
+    return (
+        node_rows(node_properties(entities), "id", "Entity")
+        .unionByName(node_rows(classes, "name", "Class"))
+        .unionByName(node_rows(event_properties(events, source_id), "id", "Event"))
+        .unionByName(node_rows(chunks.select("chunk_id", "document_id", "file_name", "page", "text"), "chunk_id",
+                               "DocumentChunk"))
+    )
 
-    def nodes(df: DataFrame, key: str, label: str) -> DataFrame:
-        return df.select(F.col(key).alias("id"), F.array(F.lit(label)).alias("labels"), _properties(df, [key]).alias("properties"))
 
-    return (
-        nodes(node_properties(entities), "id", "Entity")
-        .unionByName(nodes(classes, "name", "Class"))
-        .unionByName(nodes(event_properties(events, source_id), "id", "Event"))
-        .unionByName(nodes(chunks.select("chunk_id", "document_id", "file_name", "page", "text"), "chunk_id",
-                           "DocumentChunk"))
+def merged_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose two ends are among ``nodes``, one per ``src, type, dst``.
+
+    Of several the one with the greatest properties, compared as sorted JSON, stays.
+    """
+    ids = nodes.select("id")
+    known = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
+        ids.withColumnRenamed("id", "dst"), "dst", "left_semi"
     )
+    return known.groupBy("src", "type", "dst").agg(F.max_by("properties", _sorted_json("properties")).alias("properties"))
 
 
 def graph_edges(relations: DataFrame, detected_by: DataFrame, mentions: DataFrame, source_id: str) -> DataFrame:

@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagtrail.sources.files import binary_files, file_digests
 
-# Parts a package must have.
+# Parts a package must have, and the rules that evidence carries.
 REQUIRED_ARTIFACTS = [
     "domain_hypothesis", "ontology_candidate", "validated_knowledge", "validation_report", "timeseries_profile",
     "sensor_timeseries_summary", "event_candidates", "document_catalog", "document_chunks", "document_entity_links",
     "embedding_index", "embeddings", "chunk_metadata",
 ]
+ANSWER_POLICY = [
+    "must_use_only_retrieved_evidence", "must_preserve_source_provenance", "statistical_event_is_not_confirmed_fault",
+    "document_mention_is_not_physical_assignment", "correlation_is_not_causation",
+    "express_uncertainty_when_evidence_is_insufficient",
+]
 EVIDENCE_POLICY = [
     "statistical_event_is_not_confirmed_fault", "document_mention_is_not_physical_assignment",
     "correlation_is_not_causation", "insufficient_evidence_must_be_stated",

@@ -198,17 +198,37 @@ def question_tokens(questions: DataFrame) -> DataFrame:
 def token_hits(words: DataFrame, values: DataFrame) -> DataFrame:
     """Distinct ``token, value`` pairs where the token occurs inside the lowercased value.
 
-    Tokens have at least three characters: they meet values on their first three, then are checked in full.
+    Tokens have at least three characters. Each meets the values on that of its three-letter pieces which the fewest
+    values hold, then is checked in full: a piece that all ids share is met only by tokens that have no other.
     """
-    grams = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length("value") - (GRAM - 1)), lambda i: F.substring("value", i, F.lit(GRAM)))
-    )
+
+    def grams(name: str) -> Column:
+        places = F.sequence(F.lit(1), F.length(name) - (GRAM - 1))
+        return F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(name, i, F.lit(GRAM))))).alias("gram")
+
     pieces = (
         values.select(F.lower("value").alias("value")).distinct().where(F.length("value") >= GRAM)
-        .select("value", F.explode(grams).alias("gram"))
+        .select("value", grams("value"))
+    )
+    wanted = words.select("token").distinct().select("token", grams("token"))
+    held = pieces.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(held, "gram", "left").groupBy("token").agg(
+        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")
+    )
+    return pieces.join(rarest, "gram").where(F.col("value").contains(F.col("token"))).select("token", "value")
+
+
+def first_per_token(words: DataFrame, values: DataFrame, rows: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    """Per token the first ``limit`` of the ``rows`` whose ``value`` holds it, in ``order``.
+
+    The first ``limit`` rows of a question are among these of its tokens, so questions only ever meet ``limit`` rows per
+    token. ``order`` tells any two different rows apart: equal ones share a rank and are folded after it.
+    """
+    ranked = Window.partitionBy("token").orderBy(*order)
+    return (
+        token_hits(words, values).join(rows, "value").drop("value")
+        .withColumn("n", F.dense_rank().over(ranked)).where(F.col("n") <= limit).drop("n").distinct()
     )
-    wanted = words.select("token").distinct().withColumn("gram", F.substring("token", 1, GRAM))
-    return pieces.join(wanted, "gram").where(F.col("value").contains(F.col("token"))).select("token", "value")
 
 
 def _named_in(questions: DataFrame, tags: DataFrame) -> DataFrame:
@@ -230,16 +250,26 @@ def _named_in(questions: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def identify_sensors(questions: DataFrame, tags: DataFrame, limit: int = 10) -> DataFrame:
-    """Sensors of each question, best first: those named in full, then by number of token hits, then by tag."""
+    """Sensors of each question, best first: those named in full, then by number of token hits, then by tag.
+
+    Tags that hold the same tokens score alike in every question, so only the first ``limit`` of them can be among the
+    best: questions meet sets of tokens with at most ``limit`` tags each, not all tags.
+    """
     named = _named_in(questions, tags).select("question_id", "tag", F.lit(0).alias("tier"), F.lit(0).alias("score"))
     words = question_tokens(questions)
     keyed = tags.select("tag").distinct().withColumn("value", F.lower("tag"))
+    sets = token_hits(words, keyed).groupBy("value").agg(F.array_sort(F.collect_list("token")).alias("held"))
+    by_tag = Window.partitionBy("held").orderBy("tag")
+    alike = (
+        keyed.join(sets, "value").withColumn("n", F.row_number().over(by_tag)).where(F.col("n") <= limit)
+        .groupBy("held").agg(F.collect_list("tag").alias("tags"))
+    )
     scored = (
-        words.join(token_hits(words, keyed), "token")
-        .join(keyed, "value")
-        .groupBy("question_id", "tag")
+        alike.select("held", F.explode("held").alias("token")).join(words, "token")
+        .groupBy("question_id", "held")
         .agg(F.sum("times").alias("score"))
-        .select("question_id", "tag", F.lit(1).alias("tier"), "score")
+        .join(alike, "held")
+        .select("question_id", F.explode("tags").alias("tag"), F.lit(1).alias("tier"), "score")
     )
     best = Window.partitionBy("question_id").orderBy("tier", F.desc("score"), "tag")
     return (
@@ -285,18 +315,17 @@ def _values_of(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame
 def graph_lookup(questions: DataFrame, entities: DataFrame, limit: int = LOOKUP_LIMIT) -> DataFrame:
     """Entities with a question token inside their id, column, family or class; the first ``limit`` ids per question.
 
-    Only the first ``limit`` ids of each distinct field value can be among them, so a class shared by very many
-    entities gives no more than ``limit`` rows to the joins.
+    Only the first ``limit`` ids of each distinct field value, and of each token, can be among them: a class shared by
+    very many entities, or a token inside very many ids, gives no more than ``limit`` rows to the joins.
     """
     values = _values_of(entities, ["entity_id"], ["entity_id", "source_column", "tag_family", "candidate_class"])
     first = Window.partitionBy("value").orderBy("entity_id")
     kept = values.withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit).drop("n")
     words = question_tokens(questions)
     by_id = Window.partitionBy("question_id").orderBy("entity_id")
+    answers = first_per_token(words, values, kept, [F.col("entity_id")], limit)
     return (
-        words.join(token_hits(words, values), "token")
-        .select("question_id", "value").distinct()
-        .join(kept, "value")
+        words.join(answers, "token")
         .select("question_id", "entity_id").distinct()
         .withColumn("rank", F.row_number().over(by_id))
         .where(F.col("rank") <= limit)
@@ -339,17 +368,15 @@ def event_lookup(questions: DataFrame, events: DataFrame, limit: int = LOOKUP_LI
     """The newest ``limit`` events with a question token in their type, sensor id, column or interpretation.
 
     ``events`` holds one row per event and sensor (``event_id, entity_id, source_column, ...``). A question without
-    tokens gets the newest events of all. As in ``graph_lookup``, each distinct value contributes ``limit`` rows.
+    tokens gets the newest events of all. As in ``graph_lookup``, each distinct value and each token gives ``limit`` rows.
     """
     order = ["event_id", "entity_id", "start"]
     values = _values_of(events, order, ["event_type", "entity_id", "source_column", "interpretation"])
     newest = Window.partitionBy("value").orderBy(*newest_first(["entity_id"]))
     kept = values.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= limit).drop("n")
     words = question_tokens(questions)
-    matched = (
-        words.join(token_hits(words, values), "token").select("question_id", "value").distinct().join(kept, "value")
-        .select("question_id", *order)
-    )
+    answers = first_per_token(words, values, kept, newest_first(["entity_id"]), limit)
+    matched = words.join(answers, "token").select("question_id", *order)
     silent = questions.where(F.size(tokens(F.col("question"))) == 0).select("question_id", F.lit(0).alias("all"))
     latest = events.select(*order).orderBy(*newest_first(["entity_id"])).limit(limit).withColumn("all", F.lit(0))
     ranked = Window.partitionBy("question_id").orderBy(*newest_first(["entity_id"]))

@@ -18,6 +18,8 @@ CHANGE_SCORE = 3.0
 WINDOW_ROWS = 96
 CHANGE_POINTS_PER_SENSOR = 20
 STD_FLOOR = 1e-12
+#: Shares of a sensor whose newest readings are taken first.
+SHARES = 64
 SPIKE_NOTE = (
     "Statistical outlier relative to this sensor's historical distribution; engineering meaning requires validation."
 )
@@ -238,9 +240,17 @@ def sensor_summary(readings: DataFrame, spike_z: float = SPIKE_Z, change_score:
 
 
 def recent_values(readings: DataFrame, rows: int) -> DataFrame:
-    """The last ``max(1, rows)`` readings of each sensor, nulls included, with ``recency`` 1 for the newest."""
-    newest = Window.partitionBy("tag").orderBy(F.desc("ts"), F.desc("rid"))
-    return readings.withColumn("recency", F.row_number().over(newest)).where(F.col("recency") <= max(1, rows))
+    """The last ``max(1, rows)`` readings of each sensor, nulls included, with ``recency`` 1 for the newest.
+
+    The newest of each of ``SHARES`` shares of a sensor come first, so that no task orders a whole sensor.
+    """
+    order = [F.desc("ts"), F.desc("rid")]
+    shares = Window.partitionBy("tag", F.pmod(F.xxhash64("ts", "rid"), F.lit(SHARES))).orderBy(*order)
+    newest = Window.partitionBy("tag").orderBy(*order)
+    out = readings
+    for window in (shares, newest):
+        out = out.withColumn("recency", F.row_number().over(window)).where(F.col("recency") <= max(1, rows))
+    return out
 
 
 def trend_points(readings: DataFrame, rows: int) -> DataFrame:

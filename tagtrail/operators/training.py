@@ -13,6 +13,7 @@ from tagtrail.functions.text import contains_any, excerpt, strip
 # Fixed values of the examples.
 SCHEMA_VERSION = "1.0"
 DOCUMENT_LIMIT, EVENT_LIMIT = 25, 50
+ASSIGNMENT_METHOD = "exact_text_match"
 POLICY_KEYS = [
     "source_grounded", "statistical_event_is_not_confirmed_fault", "document_mention_is_not_physical_assignment",
     "correlation_is_not_causation",
@@ -115,7 +116,7 @@ def entity_examples(entities: DataFrame) -> DataFrame:
     return classes.unionByName(origins)
 
 
-def document_examples(chunks: DataFrame, links: DataFrame, limit: int | None = DOCUMENT_LIMIT) -> DataFrame:
+def document_examples(chunks: DataFrame, links: DataFrame, limit: int | None = None) -> DataFrame:
     """One question per chunk, answered with an excerpt and its citation.
 
     The first ``limit`` chunks in document order are taken before empty ones are left out; None takes all.
@@ -135,13 +136,15 @@ def document_examples(chunks: DataFrame, links: DataFrame, limit: int | None = D
     ))
 
 
-def event_examples(events: DataFrame, limit: int | None = EVENT_LIMIT) -> DataFrame:
+def event_examples(events: DataFrame, limit: int | None = None) -> DataFrame:
     """One question per event; the sentences of the answer follow the fields the event has.
 
     The first ``limit`` events by id are taken before those without an id are left out; None takes all.
     """
     if limit is not None:
         events = events.orderBy("event_id").limit(limit)
+    if "entity_id" in events.columns:  # an event without a sensor tag goes by its entity
+        events = events.withColumn("sensor_tag", F.coalesce(F.nullif("sensor_tag", F.lit("")), "entity_id"))
     id, sensor, kind, status = clean("event_id"), clean("sensor_tag"), clean("event_type"), clean("status")
     note, start, end = clean("interpretation"), clean("start"), clean("end")
 
@@ -178,7 +181,8 @@ def hard_negatives(entities: DataFrame, events: DataFrame) -> DataFrame:
     out = None
     for id, rule, question, answer, artifact in HARD_NEGATIVES:
         context = {"type": F.lit("policy"), "rule": F.lit(rule)}
-        source = F.array(record(artifact=F.lit(artifact)))
+        method = {"method": F.lit(ASSIGNMENT_METHOD)} if id == "hard_negative_assignment" else {}
+        source = F.array(record(artifact=F.lit(artifact), **method))
         if id == "hard_negative_failure":
             event = clean("event_id")
             context |= {"event_id": event, "sensor": clean("sensor")}
@@ -194,7 +198,7 @@ def hard_negatives(entities: DataFrame, events: DataFrame) -> DataFrame:
 
 def all_examples(
     entities: DataFrame, chunks: DataFrame, links: DataFrame, events: DataFrame,
-    document_limit: int | None = DOCUMENT_LIMIT, event_limit: int | None = EVENT_LIMIT,
+    document_limit: int | None = None, event_limit: int | None = None,
 ) -> DataFrame:
     return (
         entity_examples(entities)

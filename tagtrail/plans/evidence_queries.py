@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagtrail.functions import citations as c
-from tagtrail.operators import evidence, retrieval
+from tagtrail.operators import evidence, package, retrieval
 from tagtrail.plans import bindings as b, knowledge_queries as k
 from tagtrail.plans.document_queries import IDENTIFY_SQL, ROUTE_SQL
 from tagtrail.plans.registry import query
@@ -32,7 +32,9 @@ def grounded_parts(spark, d):
     words = b.dict_entities(spark, d)
     from tagtrail.operators.documents import mention_edges, mentions
 
-    edges = mention_edges(mentions(chunks, b.tag_dictionary(spark, d)), words)
+    # Only the chunks found are read for mentions.
+    read = chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    edges = mention_edges(mentions(read, b.tag_dictionary(spark, d)), words)
     entities, events = retrieval.graph_evidence(hits, edges, words.drop("user_id"), b.dict_events(spark, d))
     return docs, staged(entities, "entities-found"), events
 
@@ -64,9 +66,12 @@ def join_hybrid_context(spark, d):
 @query("ev_bundle_grounded", b.ctes("hit_docs", "found_events") + """select question_id, 'document' as kind, concat('DOC:',
   file_name, ' p.', cast(page as varchar), ' chunk:', chunk_id) as key, cast(null as varchar) as parent,
   round(score, 6) as score from hit_docs union all select question_id, 'entity', concat('ENTITY:', entity_id), chunk_id, null
-  from found_entities union all select question_id, 'event', concat('EVENT:', event_id), entity_id, null from found_events""")
+  from found_entities union all select question_id, 'event', concat('EVENT:', event_id), entity_id, null from found_events
+  union all select question_id, 'policy', rule, null, null from questions, (values """
+       + ", ".join(f"('{p}')" for p in package.ANSWER_POLICY) + ") t(rule)")
 def ev_bundle_grounded(spark, d):
-    return evidence.grounded_bundle(*grounded_parts(spark, d)).withColumn("score", F.round("score", 6))
+    found = evidence.grounded_bundle(*grounded_parts(spark, d)).withColumn("score", F.round("score", 6))
+    return found.unionByName(evidence.policy_rows(b.questions(spark, d), package.ANSWER_POLICY))
 
 
 @query("fn_citation_key", b.ctes("chunks", "ents", "detected") + """select concat('DOC:', file_name, ' p.', cast(page as varchar),
@@ -258,9 +263,12 @@ def ev_render_agent(spark, d):
     return evidence.render_text(agent_lines(spark, d))
 
 
-@query("ev_bundle_routed", AGENT_SQL + """ select question_id, section, place, n, line from lines where line <> '' """)
+@query("ev_bundle_routed", AGENT_SQL + """ select question_id, section, place, n, line from lines where line <> '' union all
+  select question_id, 7, '', n, line from questions, (values """ + ", ".join(
+    f"({i}, '{p}')" for i, p in enumerate(package.EVIDENCE_POLICY)) + ") t(n, line)")
 def ev_bundle_routed(spark, d):
-    return agent_lines(spark, d).where("line <> ''")
+    rules = evidence.policy_lines(b.questions(spark, d), package.EVIDENCE_POLICY)
+    return agent_lines(spark, d).where("line <> ''").unionByName(rules)
 
 
 # --- summary rows that name a sensor anywhere ---------------------------------------------------------------------

@@ -505,6 +505,19 @@ def join_class_nodes(spark, d):
     return graph.class_nodes(found).join(edges, "name").select("name", "status", "source", "src")
 
 
+@query("sink_upsert_create", b.ctes("sensors") + """select tag, user_id, case when user_id % 3 <> 0 then 'old' else 'new 2' end
+  as note from sensors where user_id % 3 <> 0 or user_id % 2 = 0""")
+def sink_upsert_create(spark, d):
+    """Merged where rows that exist stay as they are."""
+    sensors = b.sensors(spark, d).select("tag", "user_id")
+    incoming = sensors.where("user_id % 2 = 0").select(
+        "*", F.explode(F.array(F.lit("new 1"), F.lit("new 2"))).alias("note")
+    )
+    path = sinks.scratch_path(spark, "entities")
+    sinks.write_table(sensors.where("user_id % 3 <> 0").withColumn("note", F.lit("old")), path)
+    return sinks.upsert_table(spark, path, incoming, ["tag"], ["note"], read=True, create_only=True)
+
+
 @query("sink_upsert", b.ctes("sensors") + """select tag, user_id, case when user_id % 2 = 0 then 'new 2' else 'old' end as note
   from sensors where user_id % 3 <> 0 union all select tag, user_id, 'new 2' from sensors where user_id % 3 = 0
   and user_id % 2 = 0""")
@@ -529,14 +542,19 @@ def whole_graph(spark, d):
     links = mention_edges(mentions(chunks, b.tag_dictionary(spark, d)), words).join(
         chunks.select("chunk_id", "file_name", "page"), "chunk_id"
     )
-    nodes = graph.graph_nodes(ents, graph.class_nodes(rels), events, chunks, SOURCE)
-    return nodes, graph.graph_edges(rels, resolved.select("event_id", "entity_id"), links, SOURCE)
+    nodes = graph.graph_nodes(ents, graph.class_nodes(rels), events, chunks, SOURCE).unionByName(
+        graph.node_rows(words.drop("user_id"), "entity_id", "Entity")
+    )
+    # Relations come twice and once more with a target that nobody knows: the graph has each edge once.
+    faulty = rels.unionByName(rels).unionByName(rels.withColumn("target", F.concat(F.lit("ghost "), "target")))
+    edges = graph.graph_edges(faulty, resolved.select("event_id", "entity_id"), links, SOURCE)
+    return nodes, graph.merged_edges(edges, nodes)
 
 
 b.SQL["all_nodes"] = """select id, 'Entity' as label from ents union all select distinct target, 'Class' from rels
   where relation = 'INSTANCE_OF' union all select event_id, 'Event' from detected
-  union all select chunk_id, 'DocumentChunk' from chunks"""
-b.NEEDS["all_nodes"] = ["ents", "rels", "detected", "chunks"]
+  union all select chunk_id, 'DocumentChunk' from chunks union all select entity_id, 'Entity' from dict_entities"""
+b.NEEDS["all_nodes"] = ["ents", "rels", "detected", "chunks", "dict_entities"]
 b.SQL["all_edges"] = """select source as src, relation as type, target as dst, source_column as a from rels
   union all select d.event_id, 'DETECTED_BY', e.id, 'time_series_analysis' from detected d join ents e on
     e.source_tag = d.sensor_tag and e.entity_type = 'Sensor'

@@ -96,8 +96,8 @@ def tr_hard_negatives(spark, d):
   chunk_index limit 25) union all select id from (select id from tr_event order by event_id limit 50)""")
 def limit_examples(spark, d):
     chunks = staged_chunks(spark, d)
-    docs = tr.document_examples(chunks, links(spark, d, chunks))
-    return docs.select("id").unionByName(tr.event_examples(b.detected(spark, d)).select("id"))
+    docs = tr.document_examples(chunks, links(spark, d, chunks), tr.DOCUMENT_LIMIT)
+    return docs.select("id").unionByName(tr.event_examples(b.detected(spark, d), tr.EVENT_LIMIT).select("id"))
 
 
 def every_example(spark, d):
@@ -390,19 +390,53 @@ def qa_system_eval(spark, d):
 RATES = ["has_non_empty_answer", "has_required_sections", "citation_grounding_pass", "has_uncertainty_language"]
 
 
-@query("agg_pass_rates", b.ctes("answers", "shown").rstrip() + ", " + checks_sql("DOC|ENTITY|EVENT|TS") + ", " + SHOWN_SQL
-       + f", rows as (select {COUNTS}, {SYSTEM_SQL} {JOINED}) select count(*) as cases, "
+MEANS = ["average_top_document_score", "average_documents", "average_entities"]
+
+
+@query("agg_pass_rates", b.ctes("answers", "shown", "hits").rstrip() + ", " + checks_sql("DOC|ENTITY|EVENT|TS") + ", " + SHOWN_SQL
+       + f", rows as (select a.conv_id, {COUNTS}, {SYSTEM_SQL} {JOINED}), best as (select question_id, max(score) as score from hits "
+       + "group by 1) select count(*) as cases, "
        + ", ".join(f"round(avg(cast({f} as int)), 6) as {f}_rate" for f in RATES)
-       + ", round(avg(document_count), 6) as average_documents, round(avg(entity_count), 6) as average_entities from rows")
+       + ", round(avg(score), 6) as average_top_document_score, round(avg(document_count), 6) as average_documents, "
+       + "round(avg(entity_count), 6) as average_entities from rows left join best on question_id = conv_id")
 def agg_pass_rates(spark, d):
+    # The documents of a case are those found for the question of its number.
     checked = ev.system_evaluation(b.answers(spark, d), b.shown(spark, d), "conv_id", KEYS)
-    means = checked.agg(F.avg("document_count").alias("a"), F.avg("entity_count").alias("b"))
-    one = means.select(F.struct("a", "b").alias("m")).scalar()
-    out = ev.pass_rates(checked, RATES).withColumn("m", one)
-    return rounded(
-        out.withColumns({"average_documents": F.col("m.a"), "average_entities": F.col("m.b")}).drop("m"),
-        *(f"{f}_rate" for f in RATES), "average_documents", "average_entities",
-    )
+    scores = b.hits(spark, d).select(F.col("question_id").alias("conv_id"), "score")
+    one = ev.retrieval_summary(checked, scores, "conv_id").select(F.struct(*MEANS).alias("m")).scalar()
+    out = ev.pass_rates(checked, RATES).withColumn("m", one).select("*", "m.*").drop("m")
+    return rounded(out, *(f"{f}_rate" for f in RATES), *MEANS)
+
+
+@query("agg_grounding_rates", b.ctes("answers", "shown").rstrip() + ", " + checks_sql("DOC|ENTITY|EVENT") + ", " + SHOWN_SQL
+       + f", rows as (select {COUNTS}, {FLAG_SQL} {JOINED}) select count(*) as cases, round(avg(cast(citation_grounding_pass as int)), 6) "
+       + "as citation_grounding_pass_rate, round(avg(cast(has_answer_section and has_evidence_section and has_uncertainty_section as int)), 6) "
+       + "as required_structure_rate from rows")
+def agg_grounding_rates(spark, d):
+    checked = ev.with_structure(ev.grounding_evaluation(b.answers(spark, d), b.shown(spark, d), "conv_id", KEYS))
+    flags = ["citation_grounding_pass", "required_structure"]
+    return rounded(ev.pass_rates(checked, flags), *(f"{f}_rate" for f in flags))
+
+
+PREDICTION_SQL = f"""{STRIP.format('answer')} <> '' as non_empty_prediction, {any_sql(low(), c.GUARD_PHRASES)} as grounding_guard_present,
+  contains(answer, 'Answer:') as has_answer_section, contains(answer, 'Evidence:') as has_evidence_section,
+  contains(answer, 'Uncertainty:') as has_uncertainty_section, contains(answer, 'Answer:') and contains(answer, 'Evidence:') and
+  contains(answer, 'Uncertainty:') as required_structure"""
+
+
+@query("qa_sft_eval", b.ctes("answers") + f"select conv_id, turn, {PREDICTION_SQL} from answers")
+def qa_sft_eval(spark, d):
+    return ev.prediction_evaluation(b.answers(spark, d)).drop("answer")
+
+
+PREDICTION_RATES = ["non_empty_prediction", "grounding_guard_present", "required_structure"]
+
+
+@query("agg_sft_rates", b.ctes("answers") + f", rows as (select {PREDICTION_SQL} from answers) select count(*) as cases, "
+       + ", ".join(f"round(avg(cast({f} as int)), 6) as {f}_rate" for f in PREDICTION_RATES) + " from rows")
+def agg_sft_rates(spark, d):
+    rates = ev.pass_rates(ev.prediction_evaluation(b.answers(spark, d)), PREDICTION_RATES)
+    return rounded(rates, *(f"{f}_rate" for f in PREDICTION_RATES))
 
 
 b.SQL["two_models"] = """select conv_id, turn, answer as tuned, case when turn % 3 = 0 then '' else replace(answer, 'Evidence:', '') end as base
@@ -510,10 +544,15 @@ def src_file_digest(spark, d):
     return files.file_digests(files.binary_files(spark, d, "*.parquet"))
 
 
-@query("src_multi_table")
+SHEETS = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+          "conversations").split()
+
+
+@query("src_multi_table", " union all ".join(
+    f"""select '{t}' as sheet, '{t}' as slug, (select count(*) from (describe {t}))::int as columns,
+  (select count(*) from {t}) = 0 as is_empty""" for t in SHEETS))
 def src_multi_table(spark, d):
-    found = files.binary_files(spark, d, "*.parquet").select("path").collect()
-    paths = {r.path.rsplit("/", 1)[-1].removesuffix(".parquet"): r.path for r in found}
+    paths = {t: f"{d}/{t}.parquet" for t in SHEETS}
     return tables.persist_sheets(spark, paths, sinks.scratch_path(spark, "sheets"))
 
 

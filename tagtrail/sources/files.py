@@ -55,14 +55,12 @@ def document_pages(
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {n: batch.column(n) for n in batch.schema.names if n != "content"}
-            for i, content in enumerate(batch.column("content")):
-                pages = parser(content.as_py())
-                if pages:
-                    rows = {n: pa.array([c[i].as_py()] * len(pages), c.type) for n, c in columns.items()}
-                    rows["page"] = pa.array(range(1, len(pages) + 1), pa.int64())
-                    rows["raw"] = pa.array(pages, pa.string())
-                    yield pa.RecordBatch.from_pydict(rows)
+            pages = [parser(content) for content in batch.column("content").to_pylist()]
+            owner = pa.array([i for i, own in enumerate(pages) for _ in own], pa.int64())
+            rows = {n: batch.column(n).take(owner) for n in batch.schema.names if n != "content"}
+            rows["page"] = pa.array([n for own in pages for n in range(1, len(own) + 1)], pa.int64())
+            rows["raw"] = pa.array([text for own in pages for text in own], pa.string())
+            yield pa.RecordBatch.from_pydict(rows)
 
     text = named.mapInArrow(parse, raw).withColumn("text", normalize_lines(F.col("raw"))).drop("raw")
     location = F.struct(F.col("file_name").alias("file"), "page")

@@ -50,14 +50,15 @@ def write_vector_index(vectors: DataFrame, path: str, metric: str = "cosine") ->
 
 
 def upsert_table(
-    spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], order: Sequence[str], read: bool = False
+    spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], order: Sequence[str], read: bool = False,
+    create_only: bool = False,
 ) -> str | DataFrame:
     """Merge ``incoming`` into the table at ``path`` as a new version next to it; return its path, or its rows.
 
     The old version stays untouched, so a failed job leaves a sound table and readers are not disturbed.
     """
     version = scratch_path(spark, path.rstrip("/").rsplit("/", 1)[-1].split("-", 1)[0])
-    write_table(graph.upsert(spark.read.parquet(path), incoming, keys, order), version)
+    write_table(graph.upsert(spark.read.parquet(path), incoming, keys, order, create_only), version)
     return spark.read.parquet(version) if read else version
 
 

@@ -28,21 +28,27 @@ SEED = 42
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str) -> int:
-    """Bit b is set if it is set in over half of the shingles' hashes; as a signed 64-bit number."""
+def shingle_hashes(text: str, shingle: int) -> list[int]:
+    """Hash of each run of ``shingle`` words, lower-cased; a shorter text is one run, a text without words has none."""
     joined = b" ".join(w for w in split_words(text))
     if not joined:
-        return 0
+        return []
     joined = joined.translate(_LOWER)
     blanks = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
     starts = np.concatenate([[0], blanks + 1])
     ends = np.concatenate([blanks, [len(joined)]])
     digest = xxhash.xxh64_intdigest
-    if len(starts) <= SHINGLE:
-        hashes = [digest(joined, SEED)]
-    else:
-        pairs = zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist())
-        hashes = [digest(joined[a:b], SEED) for a, b in pairs]
+    if len(starts) <= shingle:
+        return [digest(joined, SEED)]
+    pairs = zip(starts[: len(starts) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
+    return [digest(joined[a:b], SEED) for a, b in pairs]
+
+
+def fingerprint(text: str) -> int:
+    """Bit b is set if it is set in over half of the shingles' hashes; as a signed 64-bit number."""
+    hashes = shingle_hashes(text, SHINGLE)
+    if not hashes:
+        return 0
     set_bits = np.zeros(64, dtype=np.int64)
     packed = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     for part in range(0, len(packed), 8192):  # bits of so many shingles at once

@@ -5,6 +5,10 @@ takes base64 and hex candidates, decodes them and reports ``key`` for a DER key
 fields must be those of a PKCS#1, PKCS#8, SEC1 or public key) or an OpenSSH private key (length-prefixed fields), and
 ``jwt`` for a signed token whose first part is a JSON header with ``alg`` and whose second is a JSON object.
 
+A base64 key may begin wherever a run of base64 letters, a line or the body of a PEM block does. Its own outermost
+lengths tell how many letters it has; it must end where a line or the PEM body ends. Its lines may be indented and their
+ends written as backslash and letter; between PEM marks anything but base64 letters may stand between lines.
+
 Spans are kind:start:end in code points, end exclusive, by start and then by kind as listed in KINDS. Null or empty
 text: no spans. A secret that occurs twice is two spans; repeated rows are scanned alike.
 """
@@ -29,8 +33,14 @@ _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{6,})\.(eyJ[A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-#: Lines of base64 as in key files, with what ends a line there; or one run of hex digits of any case.
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+_LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
+#: What may stand between two lines of a key: a line end, plain or escaped, with blanks; in PEM bodies all but letters.
+_LINE_END = re.compile(r"[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*")
+_PEM_GAP = re.compile(r"(?:\\+[nrt]|[^A-Za-z0-9+/_=-])*")
+_PEM_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]+-----")
+#: A sequence or the opening of OpenSSH fixes the first letters; they follow no other letter but that of an escape.
+_KEY_START = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-P][A-Za-z0-9+/_-]{6}|b3BlbnNz)")
+_KEY_BYTES = 24  # no key is shorter
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _OPENSSH = b"openssh-key-v1\x00"
 _INTEGER, _BITS, _OCTETS, _OID, _SEQUENCE = 2, 3, 4, 6, 0x30
@@ -83,10 +93,11 @@ def is_der_key(data: bytes) -> bool:
     return tags == [_INTEGER] * 9 and len(fields[1][1]) >= 32  # PKCS#1
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """The fixed opening, then cipher, key derivation, its options, a count, and as many public parts, all with lengths."""
+def openssh_size(data: bytes) -> int:
+    """Bytes of the fixed opening, then cipher, key derivation, its options, a count, as many public parts and the private
+    one, all with lengths; 0 if ``data`` does not begin with these."""
     if not data.startswith(_OPENSSH):
-        return False
+        return 0
     at = len(_OPENSSH)
 
     def part() -> bytes | None:
@@ -98,9 +109,13 @@ def is_openssh_key(data: bytes) -> bool:
         return data[at - size : at]
 
     if any(part() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return 0
     count, at = int.from_bytes(data[at : at + 4]), at + 4
-    return 1 <= count <= 16 and all(part() for _ in range(count)) and bool(part())
+    return at if 1 <= count <= 16 and all(part() for _ in range(count)) and part() else 0
+
+
+def is_openssh_key(data: bytes) -> bool:
+    return openssh_size(data) > 0
 
 
 def decoded(run: str) -> bytes | None:
@@ -126,12 +141,71 @@ def json_object(run: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
+def letters_from(text: str, at: int, stop: int, gap: re.Pattern, most: int) -> tuple[str, int]:
+    """Up to ``most`` base64 letters from ``at`` on over line ends, and where the last of them ends."""
+    parts, have, end = [], 0, at
+    while have < most and (m := _LETTERS.match(text, at, min(stop, at + most - have))):
+        parts.append(m[0])
+        have, end = have + len(m[0]), m.end()
+        if have < most:
+            at = gap.match(text, end, stop)
+            if not at or at.end() == end:
+                break
+            at = at.end()
+    return "".join(parts), end
+
+
+def key_end(text: str, at: int, stop: int, gap: re.Pattern) -> int:
+    """Where the base64 key ends that begins at ``at``, or 0 if none does."""
+    if text[at] == "b":
+        size = openssh_size(_longest(letters_from(text, at, stop, gap, stop - at)[0]))
+    else:
+        head = decoded(letters_from(text, at, stop, gap, 8)[0]) or b""
+        digits = head[1] & 0x7F if len(head) == 6 and head[1] & 0x80 else 0
+        size = 0 if len(head) < 6 or digits > 4 else 2 + digits + (int.from_bytes(head[2 : 2 + digits]) if digits else head[1])
+    letters = -(-4 * size // 3)
+    if size < _KEY_BYTES or letters > stop - at:
+        return 0
+    run, end = letters_from(text, at, stop, gap, letters)
+    if len(run) < letters or not is_key((decoded(run) or b"")[:size]):
+        return 0
+    if end < stop and _LETTERS.match(text, end, stop) and not text.startswith("-----", end):
+        return 0
+    pads = -letters % 4
+    return end + pads if pads and text.startswith("=" * pads, end) else end
+
+
+def _longest(run: str) -> bytes:
+    return decoded(run[: len(run) - (len(run) % 4 == 1)]) or b""
+
+
+def key_spans(text: str) -> list[tuple[str, int, int]]:
+    """Base64 keys, leftmost first: in PEM bodies on their own, and wherever else a key can begin."""
+    found, bodies, at = [], [], 0
+    while m := _PEM_BEGIN.search(text, at):
+        stop = text.find("-----END", m.end())
+        if stop < 0:
+            stop = len(text)
+        again = text.rfind("-----BEGIN", m.end(), stop)  # a block that is cut off does not reach into the next
+        at = m.end()
+        if again < 0:
+            bodies.append((_PEM_GAP.match(text, m.end(), stop).end(), stop))
+            at = stop
+    for start, stop in bodies:
+        if start < stop and text[start] in "Mb" and (end := key_end(text, start, stop, _PEM_GAP)):
+            found.append(("key", start, end))
+    taken = dict((a, b) for _, a, b in found)
+    at = 0
+    while m := _KEY_START.search(text, at):
+        end = taken.get(m.start()) or key_end(text, m.start(), len(text), _LINE_END)
+        if end and m.start() not in taken and not any(a < end and m.start() < b for a, b in taken.items()):
+            found.append(("key", m.start(), end))
+        at = end or m.start() + 1
+    return found
+
+
 def structural_spans(text: str) -> list[tuple[str, int, int]]:
-    found = []
-    for m in _BASE64.finditer(text):
-        # A key file begins with a sequence or with the opening of OpenSSH; both fix the first letters of the run.
-        if m[0][0] in "Mb" and is_key(decoded(m[0])):
-            found.append(("key", *m.span()))
+    found = key_spans(text)
     for m in _LONG_HEX.finditer(text):
         if m[0][:2] in ("30", "6f", "6F") and is_key(bytes.fromhex(m[0])):
             found.append(("key", *m.span()))

@@ -1,0 +1,67 @@
+"""Base64 keys of all lengths modulo 3, however their lines are written and whatever stands around them."""
+
+import base64
+import json
+
+import pytest
+
+from tagtrail.llm import secrets
+from tests.llm.test_rows import der
+
+
+def key(more):
+    number = lambda n: der(2, b"\x01" * n)
+    return der(0x30, der(2, b"\0") + number(64 + more) + b"".join(number(n) for n in (3, 64, 32, 32, 32, 32, 32)))
+
+
+def lined(text, end="\n"):
+    return end.join(text[k : k + 64] for k in range(0, len(text), 64))
+
+
+def cases(text):
+    pem = lambda body, end="\n": f"-----BEGIN RSA PRIVATE KEY-----{end}{body}{end}-----END RSA PRIVATE KEY-----"
+    yield text, f"Before\n{pem(lined(text))}\nafter"
+    yield text, "x = " + json.dumps({"key": pem(lined(text))})
+    yield text, json.dumps(json.dumps(pem(lined(text, "\r\n"), "\r\n")))
+    yield text, "  " + pem(lined(text)).replace("\n", "\n  ")
+    yield text, "> " + pem(lined(text)).replace("\n", "\n> ")
+    yield text, pem(lined(text, " "), " ")
+    yield text, pem(text, "")
+    yield text, "-" * 40 + f"\n{lined(text)}\nEnd of it"
+    yield text, "0123456789abcdef" * 4 + f"\r\n\t{text}\r\nword"
+    yield text, f"KEY={text}\nNEXT=1"
+    yield text, f'"{text}"'
+    yield text, f"-----BEGIN RSA PRIVATE KEY-----\ncut off\n{pem(lined(text))}"
+
+
+@pytest.mark.parametrize("more", [0, 1, 2])
+@pytest.mark.parametrize("padded", [True, False])
+def test_keys_of_all_lengths(more, padded):
+    own = base64.b64encode(key(more)).decode()
+    own = own if padded else own.rstrip("=")
+    for want, text in cases(own):
+        (kind, a, b), = [s for s in secrets.structural_spans(text) if s[0] == "key"]
+        plain = text[a:b].replace("\\", "") if "\\" not in text else text[a:b]
+        for gap in ("\\\\r", "\\\\n", "\\r", "\\n", "\r", "\n", "\t", " ", ">", "\\"):
+            plain = plain.replace(gap, "")
+        assert plain == want, text
+
+
+def test_lengths_cover_all_remainders():
+    assert {len(key(more)) % 3 for more in range(3)} == {0, 1, 2}
+
+
+def test_openssh_key_before_other_lines():
+    part = lambda b: len(b).to_bytes(4) + b
+    for more in range(3):
+        raw = b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + (1).to_bytes(4) + part(b"p" * 51) + part(b"q" * (90 + more))
+        own = base64.b64encode(raw).decode().rstrip("=")
+        for text in (f"{lined(own)}\nword", f"-----BEGIN OPENSSH PRIVATE KEY-----\n{lined(own)}\n-----END OPENSSH PRIVATE KEY-----"):
+            (_, a, b), = secrets.structural_spans(text)
+            assert text[a:b] == lined(own)
+
+
+def test_other_runs_are_no_keys():
+    own = base64.b64encode(key(0)).decode().rstrip("=")
+    for text in (own[:-4], f"x{own}", f"{own}AAAA", f"{own[:100]} {own[100:]}", "MANY MORE WORDS, MAINLY b3BlbnNz", "-----BEGIN X-----", "-----BEGIN X-----\nMIIC\n-----END X-----"):
+        assert not secrets.structural_spans(text), text

@@ -1,15 +1,16 @@
 """Line dedup by a segment-partition edit join.
 
-Lines (cut at line feeds, blanks at their ends taken off) of at least MIN_CHARS code points take part. Equal lines are
-a class. Classes whose lines differ by at most DISTANCE edits are linked: a line is split into DISTANCE + 1 segments,
-one of which any near line must hold unchanged, near its place. Each class puts its segments into an index by (length,
+Lines (cut at line feeds, blanks at their ends taken off) of at least ``least`` code points take part: MIN_CHARS, or 1 for
+all that are not blank. Equal lines are a class. Classes whose lines differ by at most DISTANCE edits are linked; where the
+shorter line has under MIN_CHARS code points, by at most one edit for each PER_EDIT of them. A line is split into one
+segment more than it may have edits, one of which any near line must hold unchanged, near its place. Each class puts its segments into an index by (length,
 segment number, hash); it probes the index of each length from DISTANCE below its own up to its own with the substrings
 that can be that segment, where edits before and after it cannot exceed the total. Pairs that meet are verified by the
 banded bit-parallel edit distance.
 
 A key that more than HOT index entries share would pair them all. Its entries and probes take a longer key instead: the
-longer side of the line, beside the shared segment, is split into DISTANCE + 1 parts again, of which one must be
-unchanged too. Which keys are hot is told by a bitmap, alike for both sides. Entries and probes carry counts of their
+longer side of the line, beside the shared segment, is split into as many parts again, of which one must be unchanged
+too. Which keys are hot is told by a bitmap, alike for both sides. Entries and probes carry counts of their
 line's characters, and the join passes on only pairs whose counts allow so few edits: variants of one line with other
 words in other places share keys, but meet no further.
 
@@ -34,14 +35,20 @@ from tagtrail.session import staged
 
 DISTANCE = 2
 MIN_CHARS = 20
+PER_EDIT = 10
 HOT = 64
 _BLANKS = " \t\r\x0b\x0c"
 
 
-def lines_of(text: str) -> list[tuple[int, str]]:
+def lines_of(text: str, least: int = MIN_CHARS) -> list[tuple[int, str]]:
     """(number, line) of the lines that take part."""
     found = ((n, line.strip(_BLANKS)) for n, line in enumerate(text.split("\n")))
-    return [(n, line) for n, line in found if len(line) >= MIN_CHARS]
+    return [(n, line) for n, line in found if len(line) >= least]
+
+
+def edits(length: int, most: int) -> int:
+    """Edits by which a line of ``length`` may differ from one that is not shorter."""
+    return most if length >= MIN_CHARS else min(most, length // PER_EDIT)
 
 
 def segments(length: int, parts: int) -> list[tuple[int, int]]:
@@ -69,17 +76,20 @@ def places(length: int, of: int, number: int, start: int, size: int, most: int)
 
 @functools.lru_cache(maxsize=8192)
 def index_plan(length: int, most: int) -> list[tuple[int, int, int, int, int]]:
-    """(seed, start, start, size, length) of each segment of a line of this length."""
-    return [(length * 64 + k, a, a, n, length) for k, (a, n) in enumerate(segments(length, most + 1))]
+    """(seed, start, start, size, length) of each segment of a line of this length, none if it may have no edits."""
+    own = edits(length, most)
+    return [(length * 64 + k, a, a, n, length) for k, (a, n) in enumerate(segments(length, own + 1))] if own else []
 
 
 @functools.lru_cache(maxsize=8192)
 def probe_plan(length: int, most: int) -> list[tuple[int, int, int, int, int]]:
     """(seed, start here, start there, size, length there) of what can be a segment of a line that is not longer."""
     out = []
-    for of in range(max(MIN_CHARS, length - most), length + 1):
-        for k, (a, n) in enumerate(segments(of, most + 1)):
-            out += [(of * 64 + k, p, a, n, of) for p in places(length, of, k, a, n, most)]
+    for of in range(max(1, length - most), length + 1):
+        own = edits(of, most)
+        if own and length - of <= own:
+            for k, (a, n) in enumerate(segments(of, own + 1)):
+                out += [(of * 64 + k, p, a, n, of) for p in places(length, of, k, a, n, own)]
     return out
 
 
@@ -95,6 +105,7 @@ def planned_keys(lines: list[str], plan, most: int) -> tuple[np.ndarray, np.ndar
 
 def longer_keys(key: int, line: str, start: int, there: int, size: int, of: int, most: int, probe: bool) -> list[int]:
     """Keys that a hot key gives way to; of the index side if not ``probe``. The side is chosen by the line of the index."""
+    most = edits(of, most)
     right = of - there - size >= there
     side = line[start + size :] if right else line[:start]
     length = of - there - size if right else there
@@ -130,20 +141,20 @@ def _signed(values: list[int] | np.ndarray) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.uint64).view(np.int64))
 
 
-def _lines(documents: DataFrame, text: str, columns: str, rows, carry: list[Column] = ()) -> DataFrame:
+def _lines(documents: DataFrame, text: str, columns: str, rows, least: int, carry: list[Column] = ()) -> DataFrame:
     """Run ``rows(lines, part)``, which gives one array per column, over slices of documents; lines: (row, number, line)."""
     names = [c.split(" ")[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                lines = [(k, n, line) for k, t in enumerate(part.column("_text").to_pylist()) for n, line in lines_of(t or "")]
+                lines = [(k, n, line) for k, t in enumerate(part.column("_text").to_pylist()) for n, line in lines_of(t or "", least)]
                 yield pa.RecordBatch.from_arrays(rows(lines, part), names=names)
 
     return documents.select(*carry, F.col(text).alias("_text")).mapInArrow(run, columns)
 
 
-def _occurrences(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _occurrences(documents: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
     kind = documents.schema[doc_id].dataType.simpleString()
 
     def rows(lines, part):
@@ -152,7 +163,7 @@ def _occurrences(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
         return [*keys.columns, pa.array([n for _, n, _ in lines], pa.int32()), _signed(hi), _signed(lo)]
 
     carry = [F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("doc_hash")]
-    return _lines(documents, text, f"doc_id {kind}, doc_hash bigint, line_no int, hi bigint, lo bigint", rows, carry)
+    return _lines(documents, text, f"doc_id {kind}, doc_hash bigint, line_no int, hi bigint, lo bigint", rows, least, carry)
 
 
 def _fresh(lines):
@@ -170,15 +181,16 @@ def _rows(lines: list[str], keys: np.ndarray, offsets: np.ndarray, more: list[tu
 _KEYED = "key bigint, hi bigint, lo bigint"
 
 
-def candidates(documents: DataFrame, text: str, most: int, hot: int) -> DataFrame:
+def candidates(documents: DataFrame, text: str, most: int, hot: int, least: int = MIN_CHARS) -> DataFrame:
     """Pairs of different classes that share a key: (a_hi, a_lo, b_hi, b_lo), each once, a < b."""
     context = documents.sparkSession.sparkContext
+    least = max(least, PER_EDIT)  # shorter lines have no edits, so no keys
 
     def entry(lines, part):
         fresh = _fresh(lines)
         return _rows(fresh, *planned_keys(fresh, index_plan, most))
 
-    index = staged(_lines(documents, text, _KEYED, entry).distinct(), "segments")
+    index = staged(_lines(documents, text, _KEYED, entry, least).distinct(), "segments")
     heated = staged(index.groupBy("key").count().where(F.col("count") > hot).select("key"), "hot")
     bits = bitmap(heated, "key")
     shared = context.broadcast(bits)
@@ -204,8 +216,8 @@ def candidates(documents: DataFrame, text: str, most: int, hot: int) -> DataFram
 
     entries = index
     if bits.any():  # what the bitmap takes for hot without need gets longer keys besides its own
-        entries = index.join(heated, "key", "left_anti").unionByName(_lines(documents, text, _KEYED, rekeyed).distinct())
-    probes = _lines(documents, text, _KEYED, probe)
+        entries = index.join(heated, "key", "left_anti").unionByName(_lines(documents, text, _KEYED, rekeyed, least).distinct())
+    probes = _lines(documents, text, _KEYED, probe, least)
     a, b = (x.select("key", F.col("hi").alias(f"{n}_hi"), F.col("lo").alias(f"{n}_lo")) for x, n in ((entries, "x"), (probes, "y")))
     met = a.join(b, "key").where(F.expr("x_hi <> y_hi or x_lo <> y_lo") & _similar(F.col("x_lo"), F.col("y_lo"), most))
     first = (F.col("x_hi") < F.col("y_hi")) | ((F.col("x_hi") == F.col("y_hi")) & (F.col("x_lo") < F.col("y_lo")))
@@ -213,7 +225,7 @@ def candidates(documents: DataFrame, text: str, most: int, hot: int) -> DataFram
     return met.select(*[side(*xy, n).alias(f"{to}_{n}") for to, xy in (("a", ("x", "y")), ("b", ("y", "x"))) for n in ("hi", "lo")]).distinct()
 
 
-def _texts(documents: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+def _texts(documents: DataFrame, text: str, wanted: DataFrame, least: int) -> DataFrame:
     """(hi, lo, line) of the classes of ``wanted``, and of few others."""
     shared = documents.sparkSession.sparkContext.broadcast(bitmap(wanted, "hi"))
 
@@ -223,14 +235,14 @@ def _texts(documents: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
         at = np.flatnonzero(may_hold(shared.value, hi))
         return [_signed(hi[at]), _signed(lo[at]), pa.array([fresh[k] for k in at], pa.string())]
 
-    return _lines(documents, text, "hi bigint, lo bigint, line string", rows).groupBy("hi", "lo").agg(F.first("line").alias("line"))
+    return _lines(documents, text, "hi bigint, lo bigint, line string", rows, least).groupBy("hi", "lo").agg(F.first("line").alias("line"))
 
 
-def links(documents: DataFrame, text: str = "text", most: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """Pairs of different lines within ``most`` edits: (a_hi, a_lo, b_hi, b_lo, distance), each once."""
-    pairs = staged(candidates(documents, text, most, hot), "pairs")
+def links(documents: DataFrame, text: str = "text", most: int = DISTANCE, hot: int = HOT, least: int = MIN_CHARS) -> DataFrame:
+    """Pairs of different lines within ``most`` edits, or as few as the shorter line may have: (a_hi, a_lo, b_hi, b_lo, distance), each once."""
+    pairs = staged(candidates(documents, text, most, hot, least), "pairs")
     wanted = pairs.select(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).unionByName(pairs.select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"))).distinct()
-    texts = staged(_texts(documents, text, wanted), "texts")
+    texts = staged(_texts(documents, text, wanted, least), "texts")
     a, b = (texts.select(F.col("hi").alias(f"{n}_hi"), F.col("lo").alias(f"{n}_lo"), F.col("line").alias(n)) for n in "ab")
     work = pairs.join(a, ["a_hi", "a_lo"]).join(b, ["b_hi", "b_lo"]).select("a_hi", "a_lo", "b_hi", "b_lo", "a", "b")
 
@@ -238,20 +250,24 @@ def links(documents: DataFrame, text: str = "text", most: int = DISTANCE, hot: i
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                found = within(part.column("a").to_pylist(), part.column("b").to_pylist(), most)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found)], names=["a_hi", "a_lo", "b_hi", "b_lo", "distance"])
+                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+                found = within(a, b, most)
+                near = found <= np.array([edits(min(len(x), len(y)), most) for x, y in zip(a, b)], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found)], names=["a_hi", "a_lo", "b_hi", "b_lo", "distance"]).filter(pa.array(near))
 
-    return work.mapInArrow(verify, "a_hi bigint, a_lo bigint, b_hi bigint, b_lo bigint, distance bigint").where(F.col("distance") <= most)
+    return work.mapInArrow(verify, "a_hi bigint, a_lo bigint, b_hi bigint, b_lo bigint, distance bigint")
 
 
-def repeated_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = DISTANCE, hot: int = HOT) -> DataFrame:
+def repeated_lines(
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = DISTANCE, hot: int = HOT, least: int = MIN_CHARS
+) -> DataFrame:
     """Each line that takes part: doc_id, doc_hash, line_no, class_doc and class_line (the first line of its class),
     n_links (lines of other classes within ``most`` edits, counted as classes), near_doc and near_line (the first
     line of the linked class that begins earliest, null without links), kept."""
-    lines = staged(_occurrences(documents, doc_id, text), "lines")
+    lines = staged(_occurrences(documents, doc_id, text, least), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     classes = staged(lines.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("n")), "classes")
-    near = staged(links(documents, text, most, hot), "links")
+    near = staged(links(documents, text, most, hot, least), "links")
     ends = near.select(*[F.col(f"a_{n}").alias(n) for n in ("hi", "lo")], *[F.col(f"b_{n}").alias(f"to_{n}") for n in ("hi", "lo")])
     ends = ends.unionByName(near.select(*[F.col(f"b_{n}").alias(n) for n in ("hi", "lo")], *[F.col(f"a_{n}").alias(f"to_{n}") for n in ("hi", "lo")]))
     other = classes.select(F.col("hi").alias("to_hi"), F.col("lo").alias("to_lo"), F.col("first").alias("to_first"))
@@ -267,12 +283,14 @@ def repeated_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     )
 
 
-def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
+def without_repeats(
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", least: int = MIN_CHARS
+) -> DataFrame:
     """``documents`` with the lines that are not kept taken out of their texts, and ``n_chars`` set to the new length.
 
     A document that loses all its lines stays with an empty text; a document that loses none stays as it is.
     """
-    found = repeated_lines(documents, doc_id, text).where(~F.col("kept"))
+    found = repeated_lines(documents, doc_id, text, least=least).where(~F.col("kept"))
     gone = staged(found.select(F.col("doc_id").alias("_doc"), F.col("doc_hash").alias("_hash"), "line_no").distinct().groupBy("_doc", "_hash").agg(F.collect_list("line_no").alias("_gone")), "repeats")
     joined = documents.join(gone, F.col(doc_id).eqNullSafe(F.col("_doc")) & F.xxhash64(text).eqNullSafe(F.col("_hash")), "left")
     lines = F.split(text, "\n")

@@ -47,7 +47,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(table(spark, sf_dir, "documents")).drop("doc_hash")
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"), least=1).drop("doc_hash")
 
 
 @query

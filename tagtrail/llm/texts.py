@@ -87,7 +87,8 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int, where: Column | None = None, seed: int = 7) -> DataFrame:
     """At most ``rows`` labelled documents, by the order of a hash of their ids: (doc_id, text, n_chars, label, part).
 
-    Documents with contradicting labels are left out, repeated labels count once. ``part`` is a number of 0 to 9 that
+    Documents with contradicting labels are left out, repeated labels count once. Of several documents of one id the one
+    with the smallest hash of its text is taken. ``part`` is a number of 0 to 9 that
     depends on the id alone, for holding rows out. The bound is on labelled rows for fitting only.
     """
     one = (
@@ -99,7 +100,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     one = one.where(where) if where is not None else one
     order = F.xxhash64(F.lit(seed), "doc_id")
     chosen = one.orderBy(order, "doc_id").limit(rows).withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(10)).cast("int"))
-    return documents.drop("label", "part").join(chosen, "doc_id")
+    joined = documents.drop("label", "part").join(chosen, "doc_id")
+    # The order of rows that agree in id and text is that of their counts of characters.
+    order = F.struct(F.xxhash64("text"), *[c for c in ("n_chars",) if c in documents.columns])
+    one_row = joined.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in joined.columns if c != "doc_id"]), order).alias("_row"))
+    return one_row.select("doc_id", "_row.*")
 
 
 def flat_rows(table: pa.Table, at: str = "at", value: str = "value") -> tuple[np.ndarray, np.ndarray, np.ndarray]:

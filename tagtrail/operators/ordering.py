@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tagtrail.operators.joins import same_keys_join
 from tagtrail.session import shuffle_width, staged
 
 BLOCK_ROWS = 65_536
@@ -21,7 +22,8 @@ def with_position(
     """Add the 1-based position of each row within its group ``keys`` in the order ``order``.
 
     The table is range-partitioned by (keys, order), so a big group spans many partitions; only one count per
-    (group, partition) goes through a window. Staging fixes the partition ids the numbering is built on.
+    (group, partition) goes through a window. Staging fixes the partition ids the numbering is built on. Rows whose
+    keys are null form a group like others.
     """
     ordered = staged(
         df.repartitionByRange(partitions or shuffle_width(df.sparkSession), *keys, *order)
@@ -37,7 +39,7 @@ def with_position(
         *keys, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift")
     )
     return (
-        ordered.join(shifts, [*keys, "_part"])
+        same_keys_join(ordered, shifts, [*keys, "_part"])
         .withColumn(name, F.col("_row") + F.col("_shift"))
         .drop("_row", "_part", "_shift")
     )
@@ -63,7 +65,7 @@ def with_blocks(df: DataFrame, before: int, block_rows: int = BLOCK_ROWS, pos: s
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, named: Mapping[str, float], accuracy: int = 10_000
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group that has a non-null value.
+    """Exact quantiles with linear interpolation, one row per group (null keys too) that has a non-null value.
 
     A mergeable sketch brackets each wanted rank; values inside a bracket are counted one by one, all others only as
     lumps between brackets. What is shuffled is the sketch and the counts, about ``10 / accuracy`` of a big group.
@@ -84,7 +86,7 @@ def exact_quantiles(
         inside = inside | v.between(b[i], b[i + 1])
     segment = sum(((v > b[i]).cast("int") for i in range(len(bounds))), F.lit(0))
     counted = (
-        values.join(sketch, list(keys))
+        same_keys_join(values, sketch, list(keys))
         .groupBy(*keys, "_size", F.when(inside, v).alias("_exact"), F.when(~inside, segment).alias("_lump"))
         .agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )

@@ -7,6 +7,7 @@ shuffle with salt 0. ``same_keys_join`` is the plain join that also matches null
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,16 +33,18 @@ def same_keys_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.select(*keys, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys])
 
 
-def hot_hashes(rows: DataFrame, key: Column, parts: int) -> list[int]:
-    """Hashes that the sketch finds in more than 1 / parts of the rows; TOP of them at most.
+def hot_hashes(rows: DataFrame, key: Column, parts: int) -> dict[int, int]:
+    """Hashes that the sketch finds in more than 1 / parts of the rows, TOP of them at most, with the pieces to cut each into.
 
     The sketch keeps SKETCH_ITEMS counters and merges over tasks, so a key of that share is never missed while ``parts``
-    is below SKETCH_ITEMS. A key too many in the list costs copies of its right rows and changes no result.
+    is below SKETCH_ITEMS. A key too many costs copies of its right rows and changes no result. A key is cut into pieces
+    of about 1 / (2 * parts) of all rows, so all keys together are cut into few more than 2 * parts.
     """
     found = rows.select(key.alias("_hash")).agg(
         F.expr(f"approx_top_k(_hash, {TOP}, {SKETCH_ITEMS})").alias("top"), F.count("*").alias("n")
     ).first()
-    return [r["item"] for r in found["top"] or [] if r["item"] is not None and r["count"] * parts > found["n"]]
+    shares = {r["item"]: r["count"] / found["n"] for r in found["top"] or [] if r["item"] is not None}
+    return {item: math.ceil(2 * parts * share) for item, share in shares.items() if share * parts > 1}
 
 
 def split_join(
@@ -67,12 +70,15 @@ def split_join(
     # Rows without a key need no place among the hot ones: they are spread in any case, or match nothing.
     counted = left if null_safe else left.where(~null)
     hot = hot_hashes(counted, key_hash, HOT_SHARE * parts)
-    is_hot = key_hash.isin(hot) if hot else F.lit(False)
-    dealt = F.pmod(F.xxhash64(F.lit(29), *(spread or left.columns)), F.lit(parts)).cast("int")
-    salt = F.when(is_hot if null_safe else is_hot | null, dealt).otherwise(F.lit(0))
+    table = F.create_map(*[F.lit(v) for pair in hot.items() for v in pair])
+    is_hot = key_hash.isin(list(hot)) if hot else F.lit(False)
+    pieces = F.when(is_hot, table[key_hash]) if hot else F.lit(None).cast("int")
+    dealt = F.xxhash64(F.lit(29), *(spread or left.columns))
+    none = F.lit(False) if null_safe else null
+    salt = F.when(is_hot, F.pmod(dealt, pieces)).when(none, F.pmod(dealt, F.lit(HOT_SHARE * parts))).otherwise(F.lit(0)).cast("int")
     if not null_safe:
         right = right.where(~null)
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(is_hot, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.lit(0)))
     salted = left.withColumn("_salt", salt)
     copied = right.withColumn("_salt", F.explode(copies))
     by = [*keys, "_salt"]

@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagtrail.llm import arc, factor_machine, licences, line_dedup, mixing, quality_rules, secrets, simhash, tiling, token_lengths
+from tagtrail.llm import (
+    arc, factor_machine, fill_in_middle, licences, line_dedup, merkle, mixing, quality_rules, secrets, simhash, tiling, token_lengths, url_filter,
+)
 from tagtrail.llm.licence_sql import LICENCE_SQL
+from tagtrail.llm.manifest_sql import MANIFEST_SQL
+from tagtrail.llm.text_sql import MIDDLE_SQL, URL_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES = {"op1_licences": LICENCE_SQL}
+ORACLES = {"op1_licences": LICENCE_SQL, "op11_fill_in_middle": MIDDLE_SQL, "op12_merkle_manifest": MANIFEST_SQL, "op13_url_filter": URL_SQL}
+#: Host, path and verdict of the rules for page URLs.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Where the rank files of public tokenizers lie on each machine.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -84,3 +90,26 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[F.size(own(k)).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(listed(own("assign", "access", "hex")), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"),
     )
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return fill_in_middle.restore(made).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    )
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    shown = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, lowered).otherwise(F.col("text"))
+    return merkle.manifest(documents, shown).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(pages.select("page_id", "url"), rules, url_filter.mirrored(pages)).select("page_id", "host", "path", "rule", "verdict")

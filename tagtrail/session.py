@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -28,18 +31,59 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_open_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("open_scopes", default=())
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The written table survives the loss of executors, can be column-pruned, and fixes values that would
-    otherwise depend on how a shuffle was run (partition ids, numbering).
+    otherwise depend on how a shuffle was run (partition ids, numbering). Inside ``passing`` it is deleted at the end.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    scopes = _open_scopes.get()
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store holds it; one that is not there is no error."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the block are deleted when it ends, whether it ends well or not.
+
+    What leaves the block must be a table that ``lasting`` has written. A written table has no lineage, so no retry of a
+    later task can ask for a deleted one.
+    """
+    scopes = _open_scopes.get()
+    own: list[str] = []
+    token = _open_scopes.set((*scopes, own))
+    try:
+        yield
+    finally:
+        _open_scopes.reset(token)
+        for path in own:
+            remove(spark, path)
+
+
+def lasting(df: DataFrame, name: str) -> DataFrame:
+    """Like ``staged``, but the table belongs to the block around the innermost one and outlives that one."""
+    scopes = _open_scopes.get()
+    token = _open_scopes.set(scopes[:-1])
+    try:
+        return staged(df, name)
+    finally:
+        _open_scopes.reset(token)
+
+
 def small_or_none(df: DataFrame, max_rows: int) -> list | None:
     """Rows of ``df`` if there are at most ``max_rows`` of them, else None."""
     rows = df.limit(max_rows + 1).collect()

@@ -49,13 +49,14 @@ def hot_hashes(rows: DataFrame, key: Column, parts: int) -> dict[int, int]:
 
 def split_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", spread: Sequence[str] | None = None,
-    parts: int | None = None, null_safe: bool = False,
+    parts: int | None = None, null_safe: bool = False, counted: DataFrame | None = None,
 ) -> DataFrame:
     """``left`` joined with ``right`` by ``keys`` without a task that holds all rows of a hot key.
 
     ``how`` is inner, left, left_semi or left_anti. Rows of a hot key, and rows that have no key, are dealt out by a hash
     of the columns ``spread`` (all columns of ``left`` by default; name what tells rows apart). The right side may hold
     several rows per key. With ``null_safe`` null keys match null keys. Column names other than the keys must differ.
+    ``counted`` is what hot keys are looked for in, by default ``left``: a cheaper table with the same keys.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"no split join of kind {how}")
@@ -68,7 +69,8 @@ def split_join(
     for k in keys:
         null = null | F.col(k).isNull()
     # Rows without a key need no place among the hot ones: they are spread in any case, or match nothing.
-    counted = left if null_safe else left.where(~null)
+    counted = left if counted is None else counted
+    counted = counted if null_safe else counted.where(~null)
     hot = hot_hashes(counted, key_hash, HOT_SHARE * parts)
     table = F.create_map(*[F.lit(v) for pair in hot.items() for v in pair])
     is_hot = key_hash.isin(list(hot)) if hot else F.lit(False)

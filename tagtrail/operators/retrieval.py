@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from tagtrail.functions.text import tokens
 from tagtrail.session import small_or_none
@@ -42,23 +43,65 @@ def index_mismatch(vectors: DataFrame, metadata: DataFrame, key: str = "chunk_id
     )
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Per row of ``scores`` the places of its ``k`` largest; equal scores by id."""
-    scores = np.round(scores, SCORE_DIGITS)
-    for row, values in enumerate(scores):
-        if len(values) > k:
-            places = np.flatnonzero(values >= np.partition(values, -k)[-k])
-        else:
-            places = np.arange(len(values))
-        yield row, places[np.lexsort((ids[places], -values[places]))[:k]]
+class TopK:
+    """The ``k`` best chunks of each question among all batches that were added; equal scores go by chunk id.
 
+    Only scores that reach the ``k``-th best so far of their question are looked at, all questions at once.
+    """
 
-def _merge_best(kept: pa.Table | None, found: pa.Table, k: int) -> pa.Table:
-    if kept is None:
-        return found
-    frame = pa.concat_tables([kept, found]).to_pandas()
-    frame = frame.sort_values(["question", "score", "chunk_id"], ascending=[True, False, True])
-    return pa.Table.from_pandas(frame.groupby("question").head(k), schema=found.schema, preserve_index=False)
+    def __init__(self, questions: int, k: int):
+        self.k = k
+        self.floor = np.full(questions, -np.inf)
+        self.held: list[tuple] = []
+        self.rows = 0
+
+    def add(self, scores: np.ndarray, batch: pa.RecordBatch | pa.Table, questions: np.ndarray | None = None) -> None:
+        """``scores`` has a row per question, or per question of ``questions``, and a column per row of ``batch``."""
+        scores = np.round(scores, SCORE_DIGITS)
+        asked = np.arange(len(self.floor)) if questions is None else questions
+        floor = self.floor[asked]
+        if scores.shape[1] > self.k:
+            own = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+            floor = np.maximum(floor, own)
+            # ``k`` rows of this batch reach ``own``, so it bounds the k-th best from below from now on.
+            self.floor[asked] = floor
+        who, where = np.nonzero(scores >= floor[:, None])
+        if len(who):
+            at = pa.array(where)
+            self.held.append((asked[who], scores[who, where], batch.column("chunk_id").take(at), batch.column("doc_id").take(at)))
+            self.rows += len(who)
+        if self.rows > 8 * self.k * len(self.floor) + 4096:
+            self._shrink()
+
+    def _shrink(self) -> None:
+        who, score = (np.concatenate([h[n] for h in self.held]) for n in (0, 1))
+        chunk, doc = (pa.concat_arrays([c for h in self.held for c in (h[n].chunks if isinstance(h[n], pa.ChunkedArray) else [h[n]])]) for n in (2, 3))
+        order = np.lexsort((np.asarray(chunk.to_pylist(), dtype=object), -score, who))
+        first = np.searchsorted(who[order], who[order], side="left")
+        order = order[np.arange(len(order)) - first < self.k]
+        self.held = [(who[order], score[order], chunk.take(pa.array(order)), doc.take(pa.array(order)))]
+        self.rows = len(order)
+        counts = np.bincount(who[order], minlength=len(self.floor))
+        ends = np.cumsum(counts) - 1
+        full = counts == self.k
+        self.floor[full] = np.maximum(self.floor[full], score[order][ends[full]])
+
+    def best(self, names: list, kind: pa.DataType) -> pa.Table | None:
+        """question_id, chunk_id, doc_id, score; ``names`` are the ids of the questions."""
+        if not self.held:
+            return None
+        self._shrink()
+        who, score, chunk, doc = self.held[0]
+        asked = pa.array([names[q] for q in who.tolist()], type=kind)
+        return pa.table({"question_id": asked, "chunk_id": chunk, "doc_id": doc, "score": score})
+
+
+def matrix_of(batch: pa.RecordBatch | pa.Table, name: str = "embedding") -> np.ndarray:
+    """The vectors of a column as rows of doubles."""
+    column = batch.column(name)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 
 def top_k_chunks(
@@ -73,7 +116,10 @@ def top_k_chunks(
     corpus = corpus.where(F.col("embedding").isNotNull()).select("chunk_id", "doc_id", "embedding")
     questions = questions.select("question_id", F.col("embedding").cast("array<double>").alias("embedding"))
     few = small_or_none(questions, block)
-    scored = _scan(questions, corpus, few, k) if few is not None else _grid(questions, corpus, k, block, corpus_slice)
+    return ranked(_scan(questions, corpus, few, k) if few is not None else _grid(questions, corpus, k, block, corpus_slice), k)
+
+
+def ranked(scored: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "question_id", "chunk_id", "doc_id", "rank", "score"
@@ -99,31 +145,16 @@ def _scan(questions: DataFrame, corpus: DataFrame, few: list, k: int) -> DataFra
         ([r.question_id for r in few], np.array([r.embedding for r in few], dtype=float))
     )
 
+    kind = to_arrow_type(schema["question_id"].dataType)
+
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = sent.value
-        kept = None
+        found = TopK(len(names), k)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            vectors = flat.reshape(batch.num_rows, -1).astype(float)
-            ids = np.asarray(batch.column("chunk_id").to_pylist(), dtype=object)
-            scores = matrix @ vectors.T
-            rows = list(_best(scores, ids, k))
-            who = np.concatenate([np.full(len(p), q) for q, p in rows])
-            where = np.concatenate([p for _, p in rows])
-            found = pa.table(
-                {
-                    "question": who,
-                    "chunk_id": batch.column("chunk_id").take(pa.array(where)),
-                    "doc_id": batch.column("doc_id").take(pa.array(where)),
-                    "score": np.round(scores[who, where], SCORE_DIGITS),
-                }
-            )
-            kept = _merge_best(kept, found, k)
-        if kept is not None:
-            asked = pa.array([names[q] for q in kept.column("question").to_pylist()])
-            out = kept.drop_columns(["question"]).add_column(0, "question_id", asked)
+            if batch.num_rows:
+                found.add(matrix @ matrix_of(batch).T, batch)
+        out = found.best(names, kind)
+        if out is not None:
             yield from out.combine_chunks().to_batches()
 
     return corpus.mapInArrow(nearest, schema)
@@ -142,25 +173,26 @@ def _grid(questions: DataFrame, corpus: DataFrame, k: int, block: int, corpus_sl
     right = spread(corpus, "chunk_id", "slice", slices, "block", blocks)
     keys = [F.col("block").cast("bigint"), F.col("slice").cast("bigint")]
 
-    def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"question_id": [], "chunk_id": [], "doc_id": [], "score": []})
-        scores = np.stack(q["embedding"]).astype(float) @ np.stack(c["embedding"]).astype(float).T
-        ids = c["chunk_id"].to_numpy(dtype=object)
-        parts = [
-            pd.DataFrame(
-                {
-                    "question_id": q["question_id"].iloc[row], "chunk_id": ids[places],
-                    "doc_id": c["doc_id"].to_numpy()[places], "score": np.round(scores[row, places], SCORE_DIGITS),
-                }
-            )
-            for row, places in _best(scores, ids, k)
-        ]
-        return pd.concat(parts)
+    schema = _scored_schema(questions, corpus)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest_of_group(k, schema), schema)
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        nearest, _scored_schema(questions, corpus)
-    )
+
+def nearest_of_group(k: int, schema: T.StructType):
+    """A function of a table of questions and one of chunks: the best chunks of each question among these."""
+    kind = to_arrow_type(schema["question_id"].dataType)
+    empty = to_arrow_schema(schema).empty_table()
+
+    def nearest(asked: pa.Table, chunks: pa.Table) -> pa.Table:
+        if not asked.num_rows or not chunks.num_rows:
+            return empty
+        names, matrix = asked.column("question_id").to_pylist(), matrix_of(asked)
+        found = TopK(len(names), k)
+        for batch in chunks.to_batches(max_chunksize=16_384):
+            found.add(matrix @ matrix_of(batch).T, batch)
+        out = found.best(names, kind)
+        return empty if out is None else out.cast(empty.schema)
+
+    return nearest
 
 
 def encode_chunks(chunks: DataFrame, encoder, batch: int = 32, keep: Sequence[str] = ()) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from tagtrail.functions import routing, text, vectors
 from tagtrail.functions.ids import document_id, event_id, example_id, knowledge_id
-from tagtrail.operators import correlation, documents, retrieval
+from tagtrail.operators import correlation, documents, retrieval, vector_index
 from tagtrail.plans import bindings as b
 from tagtrail.plans.registry import query
 from tagtrail.plans.series_queries import rounded
-from tagtrail.session import staged
+from tagtrail.session import scratch_path, staged
 from tagtrail.sources import files
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -203,6 +203,31 @@ def topk_cosine_blocks(spark, d):
     return rounded(found, "score").select("question_id", "chunk_id", "rank", "score")
 
 
+def chunk_index(spark, d):
+    """The chunks in a vector index, with their files and pages."""
+    chunks = staged(b.chunks(spark, d), "chunks")
+    path = scratch_path(spark, "chunk-index")
+    vector_index.write_index(b.chunk_vectors(spark, d, chunks), path, metadata=chunks.select("chunk_id", "file_name", "page"))
+    return vector_index.open_index(spark, path)
+
+
+@query("topk_cosine_index", b.ctes("hits") + "select question_id, chunk_id, rank, round(score, 6) as score from hits")
+def topk_cosine_index(spark, d):
+    """The same hits from a written index, whose cells are visited until no other can hold a better one."""
+    found = vector_index.search(chunk_index(spark, d), b.question_vectors(spark, d), 8, exact=True)
+    return rounded(found, "score").select("question_id", "chunk_id", "rank", "score")
+
+
+@query("topk_index_recall", b.ctes("hits") + """select count(distinct question_id) as questions, count(*) as wanted,
+  true as nine_in_ten from hits""")
+def topk_index_recall(spark, d):
+    """How much of the exact result a search of few cells finds."""
+    index, questions = chunk_index(spark, d), staged(b.question_vectors(spark, d), "questions")
+    truth = retrieval.top_k_chunks(questions, index.rows().select("chunk_id", "doc_id", "embedding"), 8)
+    told = vector_index.recall(vector_index.search(index, questions, 8), truth)
+    return told.select("questions", "wanted", (F.col("hit") * 10 >= F.col("wanted") * 9).alias("nine_in_ten"))
+
+
 @query("win_hit_rank", b.ctes("hits") + """select question_id, rank, h.chunk_id, round(score, 4) as score, c.file_name as file,
   c.page from hits h join chunks c on c.chunk_id = h.chunk_id where rank <= 5""")
 def win_hit_rank(spark, d):

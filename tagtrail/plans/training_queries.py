@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tagtrail.functions import citations as c
 from tagtrail.functions.ids import hash_bucket, pair_key
-from tagtrail.operators import evaluation as ev, knowledge as kg, package, training as tr
+from tagtrail.operators import evaluation as ev, knowledge as kg, package, training as tr, vector_index
 from tagtrail.operators.documents import chunk_links, mentions
 from tagtrail.plans import bindings as b, knowledge_queries as k
 from tagtrail.plans.registry import query
@@ -558,7 +558,9 @@ def src_multi_table(spark, d):
 
 @query("sink_vector_index", """select count(*) as vectors, max(len(embedding))::int as dims, 'cosine' as metric from embeddings""")
 def sink_vector_index(spark, d):
-    return sinks.write_vector_index(b.table(spark, d, "embeddings"), sinks.scratch_path(spark, "index"))
+    found = b.table(spark, d, "embeddings")
+    index = vector_index.write_index(found.drop("label"), sinks.scratch_path(spark, "index"), "vec_id", found.select("vec_id", "label"))
+    return index.select("vectors", "dims", "metric")
 
 
 @query("kg_manifest")

@@ -1,4 +1,4 @@
-"""Writers: JSON lines, CSV, graph files, vector index, and set-based upsert."""
+"""Writers: JSON lines, CSV, graph files, and set-based upsert."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tagtrail.operators import graph
 from tagtrail.session import scratch_path
 
-__all__ = ["scratch_path", "upsert_table", "write_csv", "write_graph", "write_jsonl", "write_splits", "write_table", "write_vector_index"]
+__all__ = ["scratch_path", "upsert_table", "write_csv", "write_graph", "write_jsonl", "write_splits", "write_table"]
 
 
 def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -40,15 +40,6 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     write_jsonl(graph.export_edges(edges).sortWithinPartitions("element_id"), f"{path}/edges")
 
 
-def write_vector_index(vectors: DataFrame, path: str, metric: str = "cosine") -> DataFrame:
-    """Write keyed vectors; return the descriptor ``vectors, dims, metric`` of what was written."""
-    write_table(vectors, path)
-    written = vectors.sparkSession.read.parquet(path)
-    return written.agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dims")).withColumn(
-        "metric", F.lit(metric)
-    )
-
-
 def upsert_table(
     spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], order: Sequence[str], read: bool = False,
     create_only: bool = False,

@@ -102,7 +102,7 @@ def bloom_filter(keys: DataFrame, block_bits: int) -> DataFrame:
 
 
 def block_bits_for(n: int) -> int:
-    return min(MAX_BLOCK_BITS, max(0, (max(n, 1) // KEYS_PER_WORD).bit_length()))
+    return min(MAX_BLOCK_BITS, max(6, (n // KEYS_PER_WORD).bit_length()))
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, url: str = "url", default: str = "allow") -> DataFrame:

@@ -8,10 +8,17 @@ payload. ``write_warc`` and ``read_warc`` store and read the result. Files are g
 a row is a record, and what must stand behind a record is the line separator. Files are read as ``binaryFile``, so a
 file must be under 2 GB; the writers make one per partition.
 
+Record types are decided on a narrow table, without payloads: records are read once for their ids, digests and lengths,
+only digests that several records share meet their first record, dealt over tasks where one page is a large part of all,
+and what comes out is one row per revisit. The records then pass once more and take what their own id finds there: the
+revisits are sent to all tasks up to BROADCAST_ROWS rows, beyond that records are joined by id, which no two share.
+Reading back looks up revisits alone.
+
 Of records with equal payloads of at least MIN_REVISIT bytes, the first by (id, record id) is the response and the
 others are revisits that refer to it and carry no payload. A null payload is empty, a null URL becomes a URN of the
 page, a null page id stays null and comes last in that order. Repeated rows are records of their own. An empty table
-gives files with only their opening record.
+gives files with only their opening record. Very long payloads are handled a slice at a time and never cut. Extra columns
+of ``pages`` are not archived, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +32,15 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tagtrail.llm.texts import slices
+from tagtrail.operators.joins import split_join
 from tagtrail.session import scratch_path, staged
 
 MIN_REVISIT = 100
+#: So many revisits, about 40 MB, are sent to all tasks.
+BROADCAST_ROWS = 200_000
 
 # Field lists of the two ARC versions, and the WARC version and profile.
 ARC_FIELDS = {
@@ -40,7 +50,10 @@ ARC_FIELDS = {
 WARC_VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-_ARC_SCHEMA = "archive string, offset bigint, url string, ip string, date string, content_type string, page_id bigint, http_head binary, payload binary"
+_ARC_SCHEMA = (
+    "archive string, offset bigint, url string, ip string, date string, content_type string, page_id bigint, http_head binary, payload binary, "
+    "payload_bytes bigint, payload_digest string, record_id string"
+)
 _FLUSH = 4 << 20
 
 
@@ -58,7 +71,8 @@ def _batches(rows: Iterator[tuple[dict, int]], schema: pa.Schema) -> Iterator[pa
 
 
 def _text_file(df: DataFrame, path: str, separator: str) -> None:
-    df.select(F.col("value").cast("string")).write.option("compression", "gzip").option("lineSep", separator).text(path)
+    text = df.select(F.col("value").cast("string")).write.option("lineSep", separator)
+    text.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 _VALUE = pa.schema([("value", pa.binary())])
@@ -165,15 +179,17 @@ def page_of(head: bytes) -> int | None:
     return None
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("page_id", pa.int64()), ("http_head", pa.binary()), ("payload", pa.binary())])
+def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The records of all files, with ``payload_bytes`` and ``payload_digest``; without ``payloads`` that column is null."""
+    schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("page_id", pa.int64()), ("http_head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_id", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for stream in _streams(batches):
                 for record in arc_records(stream):
                     head, body = split_http(record.pop("block"))
-                    yield record | {"page_id": page_of(head), "http_head": head, "payload": body}, len(body)
+                    own = {"page_id": page_of(head), "http_head": head, "payload": body if payloads else None, "payload_bytes": len(body), "payload_digest": hashlib.sha256(body).hexdigest()}
+                    yield record | own | {"record_id": record_id(record["archive"], record["offset"])}, len(body) if payloads else 500
 
         return _batches(rows(), schema)
 
@@ -184,27 +200,26 @@ def record_id(archive: str, offset: int) -> str:
     return uuid.uuid5(uuid.NAMESPACE_URL, f"filedesc://{archive}#{offset}").urn
 
 
-def convert(records: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """ARC records with record_id, warc_date, payload_digest, record_type, and what a revisit refers to."""
-    schema = _ARC_SCHEMA + ", record_id string"
+def _warc_date() -> Column:
+    digits = lambda a, n: F.substring("date", a, n)
+    return F.concat(digits(1, 4), F.lit("-"), digits(5, 2), F.lit("-"), digits(7, 2), F.lit("T"), digits(9, 2), F.lit(":"), digits(11, 2), F.lit(":"), digits(13, 2), F.lit("Z"))
 
-    def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [record_id(a, o) for a, o in zip(batch.column("archive").to_pylist(), batch.column("offset").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids)], names=[*batch.schema.names, "record_id"])
 
-    digits = lambda a, n: F.substring("date", a, n)
-    stamp = F.concat(digits(1, 4), F.lit("-"), digits(5, 2), F.lit("-"), digits(7, 2), F.lit("T"), digits(9, 2), F.lit(":"), digits(11, 2), F.lit(":"), digits(13, 2), F.lit("Z"))
-    known = records.mapInArrow(identify, schema).withColumns({"warc_date": stamp, "payload_digest": F.sha2("payload", 256)})
-    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "record_id", "url", "warc_date")
-    firsts = (
-        known.where(F.length("payload") >= min_revisit).groupBy("payload_digest")
-        .agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
-    )
-    joined = known.join(firsts, "payload_digest", "left")
-    revisit = F.col("first.record_id").isNotNull() & (F.col("first.record_id") != F.col("record_id")) & (F.length("payload") >= min_revisit)
-    refers = {f"refers_to_{c}": F.when(revisit, F.col(f"first.{c}")) for c in ("record_id", "url", "warc_date")}
-    return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response")} | refers).drop("first")
+def revisits(records: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """(record_id, refers_to_record_id, refers_to_url, refers_to_warc_date) of the records whose payload an earlier one has."""
+    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "record_id", "url", _warc_date().alias("warc_date"))
+    narrow = staged(records.where(F.col("payload_bytes") >= min_revisit).select("payload_digest", "record_id", order.alias("own")), "digests")
+    firsts = narrow.groupBy("payload_digest").agg(F.min("own").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
+    repeated = split_join(narrow.select("payload_digest", "record_id"), staged(firsts, "firsts"), ["payload_digest"], "inner", ["record_id"])
+    return repeated.where("record_id <> first.record_id").select("record_id", *[F.col(f"first.{c}").alias(f"refers_to_{c}") for c in ("record_id", "url", "warc_date")])
+
+
+def convert(records: DataFrame, revisited: DataFrame) -> DataFrame:
+    """ARC records with warc_date, record_type, and what a revisit refers to, by the rows of ``revisits``."""
+    known = staged(revisited, "revisits")
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    joined = records.join(known, "record_id", "left").withColumn("warc_date", _warc_date())
+    return joined.withColumn("record_type", F.when(F.col("refers_to_record_id").isNotNull(), "revisit").otherwise("response"))
 
 
 def warc_record(r: dict) -> bytes:
@@ -262,9 +277,12 @@ def warc_records(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], by
         yield fields, block
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, record_type, url, warc_date, page_id, payload, stated_digest, refers_to_id) of responses and revisits."""
-    schema = pa.schema([(n, pa.string()) for n in ("record_id", "record_type", "url", "warc_date")] + [("page_id", pa.int64()), ("payload", pa.binary()), ("stated_digest", pa.string()), ("refers_to_id", pa.string())])
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """(record_id, record_type, url, warc_date, page_id, payload, payload_bytes, digest, stated_digest, refers_to_id) of responses and revisits.
+
+    ``payload_bytes`` and ``digest`` are of the payload that the record itself holds. Without ``payloads`` that column is null.
+    """
+    schema = pa.schema([(n, pa.string()) for n in ("record_id", "record_type", "url", "warc_date")] + [("page_id", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("stated_digest", pa.string()), ("refers_to_id", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -273,29 +291,33 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if f["warc-type"] in ("response", "revisit"):
                         head, body = split_http(block)
                         yield {
-                            "record_id": f["warc-record-id"].strip("<>"), "record_type": f["warc-type"], "url": f.get("warc-target-uri"), "warc_date": f.get("warc-date"), "page_id": page_of(head), "payload": body,
+                            "record_id": f["warc-record-id"].strip("<>"), "record_type": f["warc-type"], "url": f.get("warc-target-uri"), "warc_date": f.get("warc-date"), "page_id": page_of(head),
+                            "payload": body if payloads else None, "payload_bytes": len(body), "digest": hashlib.sha256(body).hexdigest(),
                             "stated_digest": f.get("warc-payload-digest", "").removeprefix("sha256:"), "refers_to_id": f["warc-refers-to"].strip("<>") if "warc-refers-to" in f else None,
-                        }, len(body)
+                        }, len(body) if payloads else 500
 
         return _batches(rows(), schema)
 
-    return _files(spark, path).mapInArrow(run, "record_id string, record_type string, url string, warc_date string, page_id bigint, payload binary, stated_digest string, refers_to_id string")
+    kinds = "record_id string, record_type string, url string, warc_date string, page_id bigint, payload binary, payload_bytes bigint, digest string, stated_digest string, refers_to_id string"
+    return _files(spark, path).mapInArrow(run, kinds)
 
 
 def resolved(records: DataFrame) -> DataFrame:
     """Per record the length and digest of its full payload; a revisit's are those of the response it refers to."""
-    narrow = records.select("record_id", "record_type", "url", "page_id", "refers_to_id", F.length("payload").cast("bigint").alias("n"), F.sha2("payload", 256).alias("digest"))
-    own = staged(narrow, "records")
-    responses = own.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("n").alias("full_n"), F.col("digest").alias("full_digest"))
-    full = lambda own, of: F.when(F.col("record_type") == "revisit", F.col(of)).otherwise(F.col(own))
-    return own.join(responses, "refers_to_id", "left").select(
-        "page_id", full("n", "full_n").alias("payload_bytes"), full("digest", "full_digest").alias("payload_digest"), "record_type", "refers_to", "record_id", "url"
-    )
+    own = staged(records.select("record_id", "record_type", "url", "page_id", "refers_to_id", "payload_bytes", "digest"), "records")
+    is_revisit = F.col("record_type") == "revisit"
+    responses = own.where(~is_revisit)
+    full = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"), F.col("digest").alias("full_digest"))
+    found = split_join(own.where(is_revisit).drop("payload_bytes", "digest"), full, ["refers_to_id"], "left", ["record_id"])
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url"]
+    found = found.withColumnsRenamed({"full_bytes": "payload_bytes", "full_digest": "payload_digest"}).select(*columns)
+    return found.unionByName(responses.withColumnRenamed("digest", "payload_digest").withColumn("refers_to", F.lit(None).cast("bigint")).select(*columns))
 
 
 def archive_round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Pack pages to ARC files, convert these to WARC files, and read those back."""
     spark = pages.sparkSession
     arc = write_arc(pages, scratch_path(spark, "arc"), page_id, url, payload)
-    warc = write_warc(convert(read_arc(spark, arc)), scratch_path(spark, "warc"))
-    return resolved(read_warc(spark, warc))
+    told = revisits(read_arc(spark, arc, payloads=False))
+    warc = write_warc(convert(read_arc(spark, arc), told), scratch_path(spark, "warc"))
+    return resolved(read_warc(spark, warc, payloads=False))

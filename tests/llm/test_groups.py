@@ -317,3 +317,17 @@ def test_mix_awkward(spark):
     assert len(got) == docs.count() and all(r["copies"] <= 2 for r in got)
     assert len({r["copies"] for r in got if r["doc_id"] == 6}) == 1
     assert mixing.mix(data.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_a_page_that_is_a_third_of_all_is_archived_over_many_tasks(spark, monkeypatch, most):
+    """Revisits are found and resolved alike whether they are sent to all tasks or joined by a shuffle."""
+    monkeypatch.setattr(arc, "BROADCAST_ROWS", most)
+    rows = [(k, f"http://h/{k}", "c" * 300 if k % 3 == 0 else f"page {k} " * 30) for k in range(900)] + [(5000, None, None), (None, "http://n/", "c" * 300)]
+    out = arc.archive_round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(8)).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        own = next(h for i, _, h in rows if i == r["page_id"]) or ""
+        again = own[:1] == "c" and r["page_id"] != 0
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(own), hashlib.sha256(own.encode()).hexdigest())
+        assert (r["record_type"], r["refers_to"]) == (("revisit", 0) if again else ("response", None))

@@ -10,7 +10,7 @@ from tagtrail.plans import bindings as b
 from tagtrail.operators.documents import mention_edges, mentions
 from tagtrail.plans.registry import query
 from tagtrail.session import staged
-from tagtrail.sources import sinks
+from tagtrail.sources import keyed_table, sinks
 
 SOURCE = "plant.xlsx"
 CLASS_CASE = "case {0} " + " ".join(f"when '{f}' then '{c}'" for f, c in SENSOR_CLASSES.items()) + " else {1} end"
@@ -514,8 +514,9 @@ def sink_upsert_create(spark, d):
         "*", F.explode(F.array(F.lit("new 1"), F.lit("new 2"))).alias("note")
     )
     path = sinks.scratch_path(spark, "entities")
-    sinks.write_table(sensors.where("user_id % 3 <> 0").withColumn("note", F.lit("old")), path)
-    return sinks.upsert_table(spark, path, incoming, ["tag"], ["note"], read=True, create_only=True)
+    keyed_table.create_table(sensors.where("user_id % 3 <> 0").withColumn("note", F.lit("old")), path, ["tag"])
+    keyed_table.merge(spark, path, incoming, ["note"], create_only=True)
+    return keyed_table.read_table(spark, path)
 
 
 @query("sink_upsert", b.ctes("sensors") + """select tag, user_id, case when user_id % 2 = 0 then 'new 2' else 'old' end as note
@@ -528,9 +529,10 @@ def sink_upsert(spark, d):
         "*", F.explode(F.array(F.lit("new 1"), F.lit("new 2"))).alias("note")
     )
     path = sinks.scratch_path(spark, "entities")
-    sinks.write_table(existing, path)
-    version = sinks.upsert_table(spark, path, incoming, ["tag"], ["note"])
-    return sinks.upsert_table(spark, version, incoming, ["tag"], ["note"], read=True)
+    keyed_table.create_table(existing, path, ["tag"])
+    keyed_table.merge(spark, path, incoming, ["note"])
+    keyed_table.merge(spark, path, incoming, ["note"])
+    return keyed_table.read_table(spark, path)
 
 
 def whole_graph(spark, d):

@@ -49,11 +49,37 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever store holds it; one that is not there is no error."""
+def _file_system(spark: SparkSession, path: str):
+    """The store that holds a path, and the path as it knows it."""
     jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store holds it; one that is not there is no error."""
+    store, found = _file_system(spark, path)
+    store.delete(found, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it is not there."""
+    store, found = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(found)) if store.exists(found) else []
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole, unless there is one of that name; whether it was written."""
+    store, found = _file_system(spark, path)
+    part = found.suffix(f".{uuid.uuid4().hex}.part")
+    out = store.create(part, False)
+    out.write(text.encode())
+    out.close()
+    # A rename onto a file that exists fails, so the first writer of a name wins and no reader sees half a file.
+    done = not store.exists(found) and store.rename(part, found)
+    if not done:
+        store.delete(part, False)
+    return done
 
 
 @contextmanager

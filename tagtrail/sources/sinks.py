@@ -1,15 +1,15 @@
-"""Writers: JSON lines, CSV, graph files, and set-based upsert."""
+"""Writers: JSON lines, CSV and graph files."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tagtrail.operators import graph
 from tagtrail.session import scratch_path
 
-__all__ = ["scratch_path", "upsert_table", "write_csv", "write_graph", "write_jsonl", "write_splits", "write_table"]
+__all__ = ["scratch_path", "write_csv", "write_graph", "write_jsonl", "write_splits", "write_table"]
 
 
 def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -40,19 +40,6 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     write_jsonl(graph.export_edges(edges).sortWithinPartitions("element_id"), f"{path}/edges")
 
 
-def upsert_table(
-    spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], order: Sequence[str], read: bool = False,
-    create_only: bool = False,
-) -> str | DataFrame:
-    """Merge ``incoming`` into the table at ``path`` as a new version next to it; return its path, or its rows.
-
-    The old version stays untouched, so a failed job leaves a sound table and readers are not disturbed.
-    """
-    version = scratch_path(spark, path.rstrip("/").rsplit("/", 1)[-1].split("-", 1)[0])
-    write_table(graph.upsert(spark.read.parquet(path), incoming, keys, order, create_only), version)
-    return spark.read.parquet(version) if read else version
-
-
 def write_splits(split: DataFrame, path: str) -> None:
     """JSON lines in one folder per ``split``, each file sorted by id."""
     ordered = split.sortWithinPartitions("split", "id")

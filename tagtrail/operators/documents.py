@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagtrail.functions.ids import chunk_id
 from tagtrail.functions.text import NOT_TAG_CHARS, TAG_CHARS_ONLY, collapse_ws, strip
+from tagtrail.operators.joins import split_join
+from tagtrail.session import staged
 
 # Fixed values of chunking.
 MAX_CHARS = 1600
@@ -163,7 +165,8 @@ def chunk_links(chunks: DataFrame, found: DataFrame) -> DataFrame:
 def mention_edges(found: DataFrame, entities: DataFrame) -> DataFrame:
     """Mentions to entities whose source column, or id where there is none, is the tag."""
     named = entities.select("entity_id", F.lower(F.coalesce("source_column", "entity_id")).alias("tag"))
-    return found.select("chunk_id", F.lower("tag").alias("tag")).join(named, "tag").select("chunk_id", "entity_id")
+    tagged = staged(found.select("chunk_id", F.lower("tag").alias("tag")), "tagged")
+    return split_join(tagged, named, ["tag"], "inner", spread=["chunk_id"]).select("chunk_id", "entity_id")
 
 
 def dictionary_tags(tags: DataFrame) -> DataFrame:

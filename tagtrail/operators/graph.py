@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tagtrail.operators.joins import split_join
+from tagtrail.session import staged
+
 # Relation types an edge may have.
 EDGE_TYPES = [
     "INSTANCE_OF", "HAS_MEASUREMENT", "HAS_COMPONENT", "HAS_SUBSYSTEM", "MONITORED_BY", "MEASURES", "HAS_CONDITION",
@@ -149,11 +152,12 @@ def merged_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Of several the one with the greatest properties, compared as sorted JSON, stays.
     """
-    ids = nodes.select("id")
-    known = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
-        ids.withColumnRenamed("id", "dst"), "dst", "left_semi"
-    )
-    return known.groupBy("src", "type", "dst").agg(F.max_by("properties", _sorted_json("properties")).alias("properties"))
+    merged = edges.groupBy("src", "type", "dst").agg(F.max_by("properties", _sorted_json("properties")).alias("properties"))
+    merged, ids = staged(merged, "edges"), staged(nodes.select("id").distinct(), "ids")
+    # Most edges may lead to one class or sensor: the rows of such an end are dealt over tasks.
+    for end, other in (("src", "dst"), ("dst", "src")):
+        merged = split_join(merged, ids.withColumnRenamed("id", end), [end], "left_semi", spread=[other, "type"])
+    return merged
 
 
 def graph_edges(relations: DataFrame, detected_by: DataFrame, mentions: DataFrame, source_id: str) -> DataFrame:

@@ -54,7 +54,7 @@ def split_join(
     """``left`` joined with ``right`` by ``keys`` without a task that holds all rows of a hot key.
 
     ``how`` is inner, left, left_semi or left_anti. Rows of a hot key, and rows that have no key, are dealt out by a hash
-    of the columns ``spread`` (all columns of ``left`` by default; name what tells rows apart). The right side may hold
+    of the columns ``spread`` (by default all of ``left`` but maps; name what tells rows apart). The right side may hold
     several rows per key. With ``null_safe`` null keys match null keys. Column names other than the keys must differ.
     ``counted`` is what hot keys are looked for in, by default ``left``: a cheaper table with the same keys.
     """
@@ -75,7 +75,7 @@ def split_join(
     table = F.create_map(*[F.lit(v) for pair in hot.items() for v in pair])
     is_hot = key_hash.isin(list(hot)) if hot else F.lit(False)
     pieces = F.when(is_hot, table[key_hash]) if hot else F.lit(None).cast("int")
-    dealt = F.xxhash64(F.lit(29), *(spread or left.columns))
+    dealt = F.xxhash64(F.lit(29), *(spread or [f.name for f in left.schema if "map<" not in f.dataType.simpleString()]))
     none = F.lit(False) if null_safe else null
     salt = F.when(is_hot, F.pmod(dealt, pieces)).when(none, F.pmod(dealt, F.lit(HOT_SHARE * parts))).otherwise(F.lit(0)).cast("int")
     if not null_safe:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagtrail.functions.ids import event_id, knowledge_id
 from tagtrail.functions.tags import FAMILIES, class_confidence, sensor_class
+from tagtrail.operators.joins import split_join
+from tagtrail.session import staged
 
 # The universal core classes.
 CORE_CLASSES = {
@@ -431,14 +433,17 @@ def relation_endpoints(
     ids = entities.where(~_blank(F.col("id"))).select(F.col("id").alias("known"))
     targets = relations.where(~_blank(F.col("target"))).select(F.col("target").alias("known"))
     names = targets if classes is None else classes.select(F.col("name").alias("known"))
-    known = ids.unionByName(names).distinct()
-    out = relations.join(known.select(F.col("known").alias("s"), F.lit(True).alias("source_ok")),
-                         F.col("source") == F.col("s"), "left").drop("s")
+    known = staged(ids.unionByName(names).distinct(), "known-ids")
+    # One sensor or class may be an end of very many relations: its rows are dealt over tasks.
+    own = staged(relations, "relations")
+    told = F.lit(True)
+    sources = known.select(F.col("known").alias("source"), told.alias("source_ok"))
+    out = split_join(own, sources, ["source"], "left", counted=own)
     if classes is None:
         target_ok = ~_blank(F.col("target"))
     else:
-        out = out.join(known.select(F.col("known").alias("t"), F.lit(True).alias("target_found")),
-                       F.col("target") == F.col("t"), "left").drop("t")
+        targets = known.select(F.col("known").alias("target"), told.alias("target_found"))
+        out = split_join(out, targets, ["target"], "left", spread=relations.columns, counted=own)
         target_ok = F.coalesce("target_found", F.lit(False))
     return out.withColumn("source_ok", F.coalesce("source_ok", F.lit(False))).withColumn(
         "target_ok", target_ok

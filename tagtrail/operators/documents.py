@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagtrail.functions.ids import chunk_id
 from tagtrail.functions.text import NOT_TAG_CHARS, TAG_CHARS_ONLY, collapse_ws, strip
+from tagtrail.operators import matcher
 from tagtrail.operators.joins import split_join
 from tagtrail.session import staged
 
@@ -126,29 +127,16 @@ def mentions(chunks: DataFrame, tags: DataFrame) -> DataFrame:
 def phrase_mentions(chunks: DataFrame, tags: DataFrame) -> DataFrame:
     """As ``mentions`` for tags that may hold other characters (spaces, slashes), longest match first.
 
-    Every word inside such a tag is a whole word of the text, so candidates come from an equality join on the tag's
-    first word; one pattern per candidate chunk then decides.
+    Each text is read once by an automaton of all tags; ``place`` is the number of the match in its chunk.
     """
-    keyed = tags.select(F.lower("tag").alias("tag")).distinct().select(
-        "tag", F.filter(F.split("tag", NOT_TAG_CHARS), lambda w: w != "")[0].alias("key")
-    )
-    quoted = F.concat(F.lit(r"\Q"), F.replace("tag", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    candidates = (
-        _words(chunks)
-        .select("chunk_id", F.lower("word").alias("key"))
-        .join(keyed.select("key", "tag", quoted.alias("quoted")), "key")
-        .groupBy("chunk_id")
-        .agg(F.collect_set(F.struct((-F.length("tag")).alias("shorter"), F.col("quoted").alias("quoted"))).alias("c"))
-    )
-    pattern = F.concat(
-        F.lit("(?iu)(?<![A-Za-z0-9_.-])("), F.array_join(F.array_sort("c")["quoted"], "|"), F.lit(")(?![A-Za-z0-9_.-])")
-    )
-    found = chunks.join(candidates, "chunk_id").select(
-        "chunk_id", F.posexplode(F.regexp_extract_all("text", pattern, 1)).alias("place", "word")
-    )
-    return found.groupBy("chunk_id", F.lower("word").alias("tag")).agg(
-        F.min_by("word", "place").alias("matched"), F.min("place").alias("place")
-    )
+    keys = tags.select(F.lower("tag").alias("tag"))
+    low = chunks.select("chunk_id", "text", F.lower("text").alias("low"))
+    found = matcher.taken(matcher.find(low, "chunk_id", "low", keys, "tag", matcher.whole_word_spans), "chunk_id")
+    # Where lower-casing changes the length of a text, its spelling is that of the lower-cased text.
+    spelt = F.when(F.length("low") == F.length("text"), F.col("text")).otherwise(F.col("low"))
+    part = lambda c: F.substring(c, F.col("start") + 1, F.col("end") - F.col("start"))
+    words = found.join(low, "chunk_id").select("chunk_id", "place", part(spelt).alias("word"), part(F.col("low")).alias("tag"))
+    return words.groupBy("chunk_id", "tag").agg(F.min_by("word", "place").alias("matched"), F.min("place").alias("place"))
 
 
 def chunk_links(chunks: DataFrame, found: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from tagtrail.functions.text import tokens
+from tagtrail.operators import matcher
 from tagtrail.session import small_or_none
 
 # Fixed values of the look-ups.
@@ -266,19 +267,9 @@ def first_per_token(words: DataFrame, values: DataFrame, rows: DataFrame, order:
 def _named_in(questions: DataFrame, tags: DataFrame) -> DataFrame:
     """``question_id, tag`` where the whole tag occurs in the question, any case."""
     named = tags.select("tag").distinct().withColumn("key", F.lower("tag"))
-    lengths = named.agg(F.array_sort(F.collect_set(F.length("key"))).alias("lengths")).scalar()
-    q = questions.select("question_id", F.lower("question").alias("text")).withColumn("lengths", lengths)
-    pieces = F.flatten(
-        F.transform(
-            F.filter("lengths", lambda n: n <= F.length("text")),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring("text", i, n)),
-        )
-    )
-    return (
-        q.select("question_id", F.explode(F.array_distinct(pieces)).alias("key"))
-        .join(named, "key")
-        .select("question_id", "tag")
-    )
+    low = questions.select("question_id", F.lower("question").alias("text"))
+    found = matcher.phrases_in(low, "question_id", "text", named, "key").withColumnRenamed("phrase", "key")
+    return found.join(named, "key").select("question_id", "tag")
 
 
 def identify_sensors(questions: DataFrame, tags: DataFrame, limit: int = 10) -> DataFrame:

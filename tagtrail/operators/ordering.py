@@ -14,6 +14,8 @@ from tagtrail.operators.joins import same_keys_join
 from tagtrail.session import shuffle_width, staged
 
 BLOCK_ROWS = 65_536
+#: Different values around a wanted rank that one task may order, and the pieces into which a wider bracket is cut.
+BRACKET_VALUES, GRID = 500_000, 256
 
 
 def with_position(
@@ -68,7 +70,9 @@ def exact_quantiles(
     """Exact quantiles with linear interpolation, one row per group (null keys too) that has a non-null value.
 
     A mergeable sketch brackets each wanted rank; values inside a bracket are counted one by one, all others only as
-    lumps between brackets. What is shuffled is the sketch and the counts, about ``10 / accuracy`` of a big group.
+    lumps between brackets. What is shuffled is the sketch and the counts, about ``10 / accuracy`` of a big group. Where
+    that may still be more than BRACKET_VALUES different values, brackets are narrowed first, so that however large a
+    group is, no task orders more than that for each rank.
     """
     values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     margin = 5.0 / accuracy
@@ -80,6 +84,9 @@ def exact_quantiles(
         ),
         "sketch",
     )
+    largest = sketch.agg(F.max("_size")).first()[0] or 0
+    if 2 * margin * largest > BRACKET_VALUES:
+        sketch = _narrowed(values, sketch, keys, list(named.values()), accuracy)
     v, b = F.col("_v"), F.col("_b")
     inside = F.lit(False)
     for i in range(0, len(bounds), 2):
@@ -116,3 +123,36 @@ def exact_quantiles(
             for n in named
         ),
     )
+
+
+def _narrowed(values: DataFrame, sketch: DataFrame, keys: Sequence[str], shares: Sequence[float], accuracy: int) -> DataFrame:
+    """``sketch`` with brackets (the bounds ``_b``, two per rank) of about BRACKET_VALUES different values at most.
+
+    A round counts the values below and inside each bracket, cuts it at GRID quantiles of its own values, and keeps the cuts
+    around the wanted rank. Brackets that a few values fill do not shrink, and need not.
+    """
+    v, b = F.col("_v"), F.col("_b")
+    before = None
+    while True:
+        joined = same_keys_join(values, sketch, list(keys))
+        inside = [v.between(b[2 * i], b[2 * i + 1]) for i in range(len(shares))]
+        told = []
+        for i, own in enumerate(inside):
+            told += [F.count_if(v < b[2 * i]).alias(f"_below{i}"), F.count_if(own).alias(f"_in{i}"), F.approx_count_distinct(F.when(own, v)).alias(f"_different{i}")]
+        counts = staged(joined.groupBy(*keys).agg(*told), "brackets")
+        now = counts.agg(*[F.sum(F.greatest(F.col(f"_different{i}") - BRACKET_VALUES, F.lit(0))) for i in range(len(shares))]).first()
+        if not any(now) or now == before:
+            return sketch
+        before = now
+        cuts = [k / GRID for k in range(GRID + 1)]
+        grid = staged(joined.groupBy(*keys).agg(*[F.percentile_approx(F.when(own, v), cuts, accuracy).alias(f"_cuts{i}") for i, own in enumerate(inside)]), "cuts")
+        new = []
+        for i, q in enumerate(shares):
+            cut, n = F.col(f"_cuts{i}"), F.col(f"_in{i}")
+            place = F.floor(F.lit(q) * (F.col("_size") - 1)) - F.col(f"_below{i}")  # of the value at the rank, among those inside
+            low = F.greatest(F.floor(place * GRID / n) - 1, F.lit(0)).cast("int")
+            high = F.least(F.ceil((place + 2) * GRID / n) + 1, F.lit(GRID)).cast("int")
+            wide = (F.col(f"_different{i}") > BRACKET_VALUES) & (place >= 0) & (place + 2 <= n)
+            new += [F.when(wide, cut[low]).otherwise(b[2 * i]), F.when(wide, cut[high]).otherwise(b[2 * i + 1])]
+        whole = same_keys_join(same_keys_join(sketch, counts, list(keys)), grid, list(keys))
+        sketch = staged(whole.select(*keys, F.array(*new).alias("_b"), "_size"), "sketch")

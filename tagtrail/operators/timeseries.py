@@ -242,13 +242,16 @@ def sensor_summary(readings: DataFrame, spike_z: float = SPIKE_Z, change_score:
 def recent_values(readings: DataFrame, rows: int) -> DataFrame:
     """The last ``max(1, rows)`` readings of each sensor, nulls included, with ``recency`` 1 for the newest.
 
-    The newest of each of ``SHARES`` shares of a sensor come first, so that no task orders a whole sensor.
+    Spark keeps the first rows of a group in each task before they are shuffled, as long as their number is below a limit of
+    its own; so many tasks times ``rows`` are then ordered together. For more rows than that, the newest of each of ``SHARES``
+    shares of a sensor come first. Either way no task orders a whole sensor.
     """
     order = [F.desc("ts"), F.desc("rid")]
-    shares = Window.partitionBy("tag", F.pmod(F.xxhash64("ts", "rid"), F.lit(SHARES))).orderBy(*order)
     newest = Window.partitionBy("tag").orderBy(*order)
+    shares = Window.partitionBy("tag", F.pmod(F.xxhash64("ts", "rid"), F.lit(SHARES))).orderBy(*order)
+    most = int(readings.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     out = readings
-    for window in (shares, newest):
+    for window in [newest] if rows < most else [shares, newest]:
         out = out.withColumn("recency", F.row_number().over(window)).where(F.col("recency") <= max(1, rows))
     return out
 

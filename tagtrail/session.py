@@ -110,6 +110,18 @@ def lasting(df: DataFrame, name: str) -> DataFrame:
         _open_scopes.reset(token)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written inside the block goes to Python in batches of at most so many rows, for rows that hold long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_or_none(df: DataFrame, max_rows: int) -> list | None:
     """Rows of ``df`` if there are at most ``max_rows`` of them, else None."""
     rows = df.limit(max_rows + 1).collect()

@@ -456,12 +456,12 @@ def join_sensor_pairs_many(spark, d):
     return rounded(correlation.sensor_pair_correlations(b.read150(spark, d), "day"), "correlation")
 
 
-@query("join_correlated_sensors", b.ctes("read150").rstrip() + """, monthly as (select date_trunc('month', ts) as ts, tag,
+@query("join_correlated_sensors", b.ctes("read150").rstrip() + """, daily as (select date_trunc('day', ts) as ts, tag,
   avg(value) as value from read150 group by 1, 2) select * from (select a.tag as sensor_a, b.tag as sensor_b, count(*) as n,
-  round(corr(a.value, b.value), 6) as correlation from monthly a join monthly b on a.ts = b.ts and a.tag < b.tag group by 1, 2)
-  where not isnan(correlation) and abs(correlation) >= 0.3""")
+  round(corr(a.value, b.value), 6) as correlation from daily a join daily b on a.ts = b.ts and a.tag < b.tag group by 1, 2)
+  where not isnan(correlation) and abs(correlation) >= 0.5""")
 def join_correlated_sensors(spark, d):
-    return rounded(correlation.correlated_sensor_pairs(b.read150(spark, d), "month", 0.3), "correlation")
+    return rounded(correlation.correlated_sensor_pairs(b.read150(spark, d), "day", 0.5), "correlation")
 
 
 @query("agg_compare_sensors", b.ctes("wide") + """, last as (select ts, gross as x, case when l_orderkey % 5 = 0 then null

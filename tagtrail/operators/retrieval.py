@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -196,24 +197,53 @@ def nearest_of_group(k: int, schema: T.StructType):
     return nearest
 
 
-def encode_chunks(chunks: DataFrame, encoder, batch: int = 32, keep: Sequence[str] = ()) -> DataFrame:
-    """``chunk_id, embedding``, and the columns ``keep``, by a plugged-in encoder (pandas series of text to series of float lists), unit length.
+_encoders: dict[str, Callable] = {}
+
+
+def _set_up(name: str, factory: Callable[[], Callable]) -> Callable:
+    """What ``factory`` makes, once in this process."""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = factory()
+    return _encoders[name]
 
-    An empty text is an error; the encoder gets at most ``batch`` texts at a time.
-    """
 
-    @F.pandas_udf("array<float>")
-    def encode(texts: pd.Series) -> pd.Series:
-        if texts.isna().any() or (texts.str.strip() == "").any():
-            raise ValueError("a chunk without text cannot be encoded")
-        parts = []
-        for i in range(0, len(texts), batch):
-            found = np.array(encoder(texts.iloc[i : i + batch]).tolist(), dtype=float)
-            length = np.linalg.norm(found, axis=1, keepdims=True)
-            parts += list((found / np.where(length == 0, 1.0, length)).astype(np.float32))
-        return pd.Series(parts)
-
-    return chunks.select("chunk_id", *keep, encode("text").alias("embedding"))
+def encode_chunks(
+    chunks: DataFrame, encoder: Callable | None = None, batch: int = 32, keep: Sequence[str] = (), factory: Callable[[], Callable] | None = None
+) -> DataFrame:
+    """``chunk_id, embedding``, and the columns ``keep``, by a plugged-in encoder, unit length.
+
+    The encoder takes a pandas series of texts and gives their vectors, as a series of lists or as an array with a row for
+    each. One that is costly to set up comes from ``factory``, which is called once in each Python worker. The encoder gets
+    at most ``batch`` texts at a time, of like length where the order of rows allows. An empty text is an error.
+    """
+    if (encoder is None) == (factory is None):
+        raise ValueError("give an encoder or a factory of one")
+    name = uuid.uuid4().hex
+    source = chunks.select("chunk_id", *keep, "text")
+    schema = T.StructType([*(f for f in source.schema if f.name != "text"), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder or _set_up(name, factory)
+        for rows in batches:
+            texts = pd.Series(rows.column("text").to_pylist(), dtype=object)
+            if not len(texts):
+                continue
+            if any(t is None or not t.strip() for t in texts):
+                raise ValueError("a chunk without text cannot be encoded")
+            order = np.argsort(texts.str.len().to_numpy(dtype=np.int64), kind="stable")
+            parts = []
+            for i in range(0, len(order), batch):
+                found = encode(texts.iloc[order[i : i + batch]].reset_index(drop=True))
+                parts.append(np.asarray(found if isinstance(found, np.ndarray) else found.tolist(), dtype=float))
+            vectors = np.concatenate(parts)
+            length = np.linalg.norm(vectors, axis=1, keepdims=True)
+            own = np.empty_like(vectors, dtype=np.float32)
+            own[order] = vectors / np.where(length == 0, 1.0, length)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, own.shape[1]), pa.int32()), pa.array(own.ravel()))
+            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(rows.columns, rows.schema.names) if n != "text"), lists], names=schema.names)
+
+    return source.mapInArrow(run, schema)
 
 
 # --- substrings by equality joins ---------------------------------------------------------------------------------

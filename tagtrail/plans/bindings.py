@@ -8,6 +8,7 @@ from __future__ import annotations
 import functools
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -302,16 +303,13 @@ def _dim(word: str) -> int:
     return int(hashlib.sha1(word.encode()).hexdigest()[:4], 16) % DIMS
 
 
-def hashed_words(texts: pd.Series) -> pd.Series:
+def hashed_words(texts: pd.Series) -> np.ndarray:
     """Counts of hashed words: a stand-in for a sentence encoder that SQL can follow."""
-
-    def encode(text: str) -> list[float]:
-        out = [0.0] * DIMS
-        for word in filter(None, text.split(" ")):
-            out[_dim(word)] += 1.0
-        return out
-
-    return texts.map(encode)
+    found = np.zeros((len(texts), DIMS))
+    for row, text in enumerate(texts):
+        dims = np.fromiter(map(_dim, filter(None, text.split(" "))), dtype=np.int64)
+        found[row] = np.bincount(dims, minlength=DIMS)
+    return found
 
 
 def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

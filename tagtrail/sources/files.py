@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tagtrail.functions.ids import document_id
 from tagtrail.functions.text import normalize_lines
+from tagtrail.session import staged
 
 # Keys an event file may keep its list under.
 EVENT_KEYS = ["events", "event_candidates", "candidates", "items"]
 
+#: Bytes of files whose pages a parser holds at once.
+PARSE_BYTES = 8 << 20
+
 
 def binary_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Files under ``path`` as ``path, file_name, length, content``."""
@@ -34,6 +38,19 @@ def split_parser(mark: str) -> Callable[[bytes], list[str]]:
     return lambda content: content.decode("utf-8").split(mark)
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = PARSE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose values of a column hold about ``most`` bytes together; a larger value is a part of its own."""
+    start, held = 0, 0
+    for row, value in enumerate(batch.column(column)):
+        size = len(value.as_buffer() or b"")
+        if row > start and held + size > most:
+            yield batch.slice(start, row - start)
+            start, held = row, 0
+        held += size
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def document_pages(
     files: DataFrame,
     parser: Callable[[bytes], list[str]],
@@ -55,12 +72,13 @@ def document_pages(
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = [parser(content) for content in batch.column("content").to_pylist()]
-            owner = pa.array([i for i, own in enumerate(pages) for _ in own], pa.int64())
-            rows = {n: batch.column(n).take(owner) for n in batch.schema.names if n != "content"}
-            rows["page"] = pa.array([n for own in pages for n in range(1, len(own) + 1)], pa.int64())
-            rows["raw"] = pa.array([text for own in pages for text in own], pa.string())
-            yield pa.RecordBatch.from_pydict(rows)
+            for part in by_bytes(batch, "content"):
+                pages = [parser(content.as_py()) for content in part.column("content")]
+                owner = pa.array([i for i, own in enumerate(pages) for _ in own], pa.int64())
+                rows = {n: part.column(n).take(owner) for n in part.schema.names if n != "content"}
+                rows["page"] = pa.array([n for own in pages for n in range(1, len(own) + 1)], pa.int64())
+                rows["raw"] = pa.array([text for own in pages for text in own], pa.string())
+                yield pa.RecordBatch.from_pydict(rows)
 
     text = named.mapInArrow(parse, raw).withColumn("text", normalize_lines(F.col("raw"))).drop("raw")
     location = F.struct(F.col("file_name").alias("file"), "page")
@@ -74,13 +92,40 @@ def document_pages(
     )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files as ``value, file, line``, ``line`` counting from 1 in each file, blank lines included.
+
+    A file may be read in several splits. The lines of each split are counted first, in a pass that parses nothing; what
+    lies before a split is a sum over the earlier splits of its file, and the rows of a split stand in order.
+    """
+    meta = {"file": "_metadata.file_path", "start": "_metadata.file_block_start"}
+    rows = spark.read.text(path).select("value", *[F.col(c).alias(n) for n, c in meta.items()]).withColumn("nth", F.monotonically_increasing_id())
+    splits = rows.groupBy("file", "start").agg(F.count("*").alias("lines"), F.min("nth").alias("first"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = staged(splits.select("file", "start", (F.coalesce(F.sum("lines").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift")), "splits")
+    return rows.join(before, ["file", "start"]).select("value", "file", (F.col("nth") + F.col("shift")).alias("line"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, strict: bool = True) -> DataFrame:
-    """JSON lines; blank lines are skipped. A bad line raises, or with ``strict=False`` is kept in ``_corrupt_record``."""
-    if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """JSON lines; blank lines are skipped. A bad line raises with its file and number.
+
+    With ``strict=False`` it is kept in ``_corrupt_record``, with ``_file`` and ``_line``, which are null for good lines.
+    """
     kept = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    kept = T.StructType(kept.fields + [T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(kept).option("mode", "PERMISSIVE").json(path)
+    whole = T.StructType([*kept.fields, T.StructField("_corrupt_record", T.StringType())])
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    parsed = lines.withColumn("_row", F.from_json("value", whole, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    broken = F.when(F.col("_row").isNull(), F.col("value")).otherwise(F.col("_row._corrupt_record"))
+    columns = [F.col("_row")[f.name].alias(f.name) for f in kept.fields]
+    if strict:
+        where = F.concat(F.col("file"), F.lit(", line "), F.col("line").cast("string"), F.lit(": no such JSON: "), F.substring("value", 1, 200))
+        # The check is part of the row, so that it is made whichever columns are read.
+        checked = parsed.withColumn("_row", F.when(broken.isNull(), F.col("_row")).otherwise(F.raise_error(where).cast(whole)))
+        return checked.select(*columns)
+    bad = broken.isNotNull()
+    return parsed.select(
+        *columns, broken.alias("_corrupt_record"), F.when(bad, F.col("file")).alias("_file"), F.when(bad, F.col("line")).alias("_line")
+    )
 
 
 def read_events(spark: SparkSession, path: str, event_schema: str) -> DataFrame:

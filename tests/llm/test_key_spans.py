@@ -65,3 +65,17 @@ def test_other_runs_are_no_keys():
     own = base64.b64encode(key(0)).decode().rstrip("=")
     for text in (own[:-4], f"x{own}", f"{own}AAAA", f"{own[:100]} {own[100:]}", "MANY MORE WORDS, MAINLY b3BlbnNz", "-----BEGIN X-----", "-----BEGIN X-----\nMIIC\n-----END X-----"):
         assert not secrets.structural_spans(text), text
+
+
+@pytest.mark.parametrize("opening", [
+    "b3BlbnNz\n", "MIIEpAIB\n", "b3BlbnNzaC1rZXktdjEA\n", "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAwAAA\n", "MIIEpAIBAAKCAQEA\n", "MIMJAAACAQACgwgAAA\n",
+    "-----BEGIN A-----\n", "-----BEGIN A-----\nMIIEpAIB\n", "A" * 64 + "\n", "MIIE",
+])
+def test_openings_of_keys_take_time_in_proportion(opening):
+    import time
+
+    own = base64.b64encode(key(1)).decode()
+    text = opening * (1_000_000 // len(opening)) + f"\n!\n{lined(own)}\n"
+    began = time.process_time()
+    found = secrets.structural_spans(text)
+    assert ("key", len(text) - 1 - len(lined(own)), len(text) - 1) in found and time.process_time() - began < 20

@@ -1,12 +1,13 @@
 """Quality rules: fixed base rules and a calibrated logistic regression on hashed word and character n-grams.
 
-The text of a document is seen as three bags: words, word pairs, and byte windows of WINDOWS sizes, each hashed to its
-own range of weights and averaged, so that the length of a text does not matter. The regression is fitted on the driver
+The text of a document is seen as bags: words, word pairs, and windows of code points of WINDOWS sizes (where the text ends,
+line ends follow), each hashed to its own range of weights and averaged, so that the length of a text does not matter. The regression is fitted on the driver
 on a bounded sample of labelled rows (``rows``), calibrated on the tenth parts that the fit has not seen, and sent to
 the tasks as one array of fixed size. Scoring runs in Arrow batches and each document's score depends on it alone.
 
 Null or empty text: no words, the base rules reject it. Repeated rows are judged alike. Without labels of both kinds
-there is nothing to learn and only the base rules decide.
+there is nothing to learn and only the base rules decide. Very long texts are judged whole, an empty table gives an empty
+one. Columns to carry that are named like a new one give way to it; the pipeline renames them for the way.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tagtrail.llm.texts import flat_rows, hash_words, labelled_sample, map_texts, offsets_of, segment_sums, split_words
@@ -85,16 +87,15 @@ def bags(texts: list[str], words: list[list[bytes]]) -> list[tuple[np.ndarray, n
     edges = starts[1:-1] - 1
     inside[edges[(edges >= 0) & (edges < len(pairs))]] = False
     out.append((spread(pairs[inside]), offsets_of([max(0, len(ws) - 1) for ws in words])))
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    gap = b"\n" * (max(WINDOWS) - 1)
-    data = np.frombuffer(gap.join(raw) + gap, dtype=np.uint8).astype(np.uint64)
-    begins = offsets_of([len(r) for r in raw])
+    gap = "\n" * (max(WINDOWS) - 1)
+    data = np.frombuffer((gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    begins = offsets_of([len(t) for t in texts])
     own = np.ones(len(data), dtype=bool)  # windows that begin in a gap may reach into the next text
-    own[(begins[1:] + len(gap) * np.arange(len(raw)))[:, None] + np.arange(len(gap))] = False
+    own[(begins[1:] + len(gap) * np.arange(len(texts)))[:, None] + np.arange(len(gap))] = False
     for n in WINDOWS:
         h = np.zeros(len(data), dtype=np.uint64)
         for k in range(n):
-            h[: len(data) - k] = h[: len(data) - k] * np.uint64(257) + data[k:]
+            h[: len(data) - k] = h[: len(data) - k] * np.uint64(1_000_003) + data[k:]
         out.append((spread(h[own]), begins))
     return [((p + np.uint64(k << BITS)).astype(np.int64), o) for k, (p, o) in enumerate(out)]
 
@@ -126,7 +127,12 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, rounds
     """Fit on at most ``rows`` labelled rows; tenths 8 and 9 of them only calibrate."""
     sample = labelled_sample(documents, labels, "quality", rows)
     got = map_texts(sample, sparse_rows, "at array<int>, value array<float>", carry=["doc_id", "label", "part"]).toArrow().sort_by("doc_id")
-    return fit_rows(*flat_rows(got), np.array(got["label"], dtype=float), np.array(got["part"]), rounds)
+    label, part, flat = np.array(got["label"], dtype=float), np.array(got["part"]), flat_rows(got)
+    del got
+    model = fit_rows(*flat, label, part, rounds)
+    del flat
+    pa.default_memory_pool().release_unused()  # what Arrow keeps for later use would stay with the driver for good
+    return model
 
 
 def fit_rows(column: np.ndarray, entry: np.ndarray, offsets: np.ndarray, label: np.ndarray, part: np.ndarray, rounds: int) -> Model:

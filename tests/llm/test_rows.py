@@ -271,3 +271,19 @@ def test_token_counts_awkward(spark):
     assert len(got) == 10 and all(r["n_tokens"] == len(encode(r["text"] or "")) for r in got)
     none = token_lengths.histogram(token_lengths.token_counts(data.empty(spark), path))
     assert none.count() == 0 and token_lengths.at_limits(none, [5]).first()["n_tokens"] == 0
+
+
+@pytest.mark.parametrize("own", [["", "a", "é漢 x", "word word Ärger", "x" * 40], ["\n\n", "", ""], []])
+def test_bags_hold_words_pairs_and_windows_of_code_points(own):
+    """Each bag against a count of what it should hold; equal things fall on equal positions, of each bag's own range."""
+    words = [texts.split_words(t) for t in own]
+    found = quality_rules.bags(own, words)
+    assert len(found) == quality_rules.BAGS
+    for k, t in enumerate(own):
+        ws, padded = words[k], t + "\n" * (max(quality_rules.WINDOWS) - 1)
+        wanted = [ws, list(zip(ws, ws[1:])), *[[padded[i : i + n] for i in range(len(t))] for n in quality_rules.WINDOWS]]
+        for bag, ((at, starts), things) in enumerate(zip(found, wanted)):
+            mine = at[starts[k] : starts[k + 1]]
+            assert Counter(Counter(mine.tolist()).values()) == Counter(Counter(things).values())
+            assert all(p >> quality_rules.BITS == bag for p in mine.tolist())
+            assert len(set(zip(mine.tolist(), things))) == len(set(things))

@@ -12,7 +12,8 @@ square root of the words by default, so that long documents are likelier and sho
 The order of a source is never sorted in one task: its words are summed in 4096 bins of the order, then in 4096 bins of
 the bin in which the need is met, and only the last bin, one part in 16 million, is ordered row by row. Rounds exchange
 one row per source. Null or empty text: size 0, taken 0. Rows that agree in id, source and text are taken or left
-together. An empty table gives an empty mix.
+together. An empty table gives an empty mix. Very long texts count by all their words. Columns of any name are kept, but for
+those of the names of the four new ones.
 """
 
 from __future__ import annotations
@@ -58,9 +59,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     return ranked.select("source", "source_size", "nth", target.alias("target"))
 
 
-def _rows(documents: DataFrame, text: str, source: str, doc_id: str, seed: int, keep: Sequence[str]) -> DataFrame:
+def _rows(documents: DataFrame, text: str, source: str, doc_id: str, seed: int, keep: Sequence[str] = ()) -> DataFrame:
     words = n_words(text)
-    return documents.select(*keep, F.col(source).alias("_source"), words.alias("_words"), F.xxhash64(F.lit(seed), doc_id, source, text).alias("_key"))
+    return documents.select(*([F.struct(*keep).alias("_row")] if keep else []), F.col(source).alias("_source"), words.alias("_words"), F.xxhash64(F.lit(seed), doc_id, source, text).alias("_key"))
 
 
 def _rates(rows: DataFrame, per: DataFrame, measure: Callable[[Column], Column], copies: int) -> DataFrame:
@@ -149,17 +150,18 @@ def mix(
     """
     new = ("size", "source_size", "target", "copies")
     keep = [c for c in (documents.columns if keep is None else keep) if c not in new]
-    narrow = staged(_rows(documents, text, source, doc_id, seed, []), "sizes")
+    narrow = staged(_rows(documents, text, source, doc_id, seed), "sizes")
     sizes = narrow.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size"))
     per = staged(source_targets(sizes, weights, share, copies), "targets")
     per = staged(_rates(narrow, per, measure, copies), "targets")
     place = lambda rows, table: rows.join(table.withColumnRenamed("source", "_per"), F.col("_source").eqNullSafe(F.col("_per"))).withColumns(_expected(measure, copies))
     cuts = _cuts(place(narrow, per.select("source", "nth", "c")), per)
     final = staged(per.join(cuts, "nth").select(*[F.col(c).alias(f"_{c}_of") for c in ("source", "source_size", "target", "cut", "cut_key")], "c"), "cuts")
+    # The columns to return travel in one, so that their names meet no name used here.
     rows = _rows(documents, text, source, doc_id, seed, keep)
     joined = rows.join(final, F.col("_source").eqNullSafe(F.col("_source_of"))).withColumns(_expected(measure, copies))
     once = F.coalesce((F.col("_order") < F.col("_cut_of")) | ((F.col("_order") == F.col("_cut_of")) & (F.col("_key") <= F.col("_cut_key_of"))), F.lit(False))
     return joined.select(
-        *keep, F.col("_words").alias("size"), F.col("_source_size_of").alias("source_size"), F.col("_target_of").alias("target"),
+        *[F.col("_row")[c].alias(c) for c in keep], F.col("_words").alias("size"), F.col("_source_size_of").alias("source_size"), F.col("_target_of").alias("target"),
         (F.col("_whole") + once.cast("int")).cast("int").alias("copies"),
     )

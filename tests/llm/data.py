@@ -3,7 +3,9 @@
 LONG = " ".join(f"word{k % 977}x{k}" for k in range(30_000))
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns that operators might use for themselves.
-CLASHING = "first string, key string, size string, kept string, hi string, n_links string, words string, label string, part string, node string, copies string"
+CLASHING = "first string, key string, size string, kept string, hi string, n_links string, words string, label string, part string, node string, copies string, "
+CLASHING += "c string, probability string, n_words string, word_chars string, n_symbols string, n_dup_lines string, n_repeat_words string, base_failed string, "
+CLASHING += "target string, id string, pos string, digest string, class string, row string"
 
 
 def awkward(spark, texts=("A plain text of a few words.",)):

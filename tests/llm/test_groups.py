@@ -319,6 +319,23 @@ def test_mix_awkward(spark):
     assert mixing.mix(data.empty(spark)).count() == 0
 
 
+def test_mix_takes_the_first_of_the_pareto_order(spark, monkeypatch):
+    """Unequal documents: inclusion over many seeds follows the stated rate, and what is taken heads a plain sort."""
+    rng = random.Random(8)
+    sizes = [rng.randrange(5, 60) for _ in range(400)]
+    frame = spark.createDataFrame([(k, "w " * n, "a") for k, n in enumerate(sizes)] + [(1000 + k, "w " * 40, "b") for k in range(100)], "doc_id bigint, text string, source string").cache()
+    want = plain_targets({"a": sum(sizes), "b": 4000})["a"]
+    factor = want / sum(n * n**0.5 for n in sizes)
+    assert max(factor * n**0.5 for n in sizes) < 2
+    taken = defaultdict(int)
+    for seed in range(12):
+        for r in mixing.mix(frame, seed=seed, keep=["doc_id", "source"]).where("source = 'a'").collect():
+            taken[r["doc_id"]] += r["copies"]
+    for low, high in ((5, 15), (15, 30), (30, 45), (45, 60)):
+        own = [k for k, n in enumerate(sizes) if low <= n < high]
+        assert sum(taken[k] for k in own) / 12 == pytest.approx(sum(factor * sizes[k] ** 0.5 for k in own), rel=0.12)
+
+
 @pytest.mark.parametrize("most", [0, 10**6])
 def test_a_page_that_is_a_third_of_all_is_archived_over_many_tasks(spark, monkeypatch, most):
     """Revisits are found and resolved alike whether they are sent to all tasks or joined by a shuffle."""

@@ -34,6 +34,18 @@ def test_licences_find_notices_and_whole_texts_however_wrapped(spark):
     assert (3, "mit") not in got or got[3, "mit"] < 1
 
 
+def test_each_template_is_found_as_it_stands_and_wrapped(spark):
+    narrow = lambda t, n: re.sub(r"(.{%d}\S*) " % n, r"\1\n", t)
+    names = list(licences.TEMPLATES)
+    forms = [form(licences.TEMPLATES[name]) for form in (lambda t: t, lambda t: f"Some words before it.\n\n{narrow(t, 60)}\n\nAnd after.", lambda t: f"A title\n{narrow(t, 30)}") for name in names]
+    best = {}
+    for r in licences.scan(data.documents(spark, forms)).collect():
+        best.setdefault(r["doc_id"], {})[r["license"]] = max(r["dice"], best.get(r["doc_id"], {}).get(r["license"], 0))
+    for k in range(len(forms)):
+        name = names[k % len(names)]
+        assert best.get(k, {}).get(name, 0) >= (0.999 if k < len(names) else 0.9), (name, k, best.get(k))
+
+
 def test_licence_anchors_lose_no_match():
     chosen = set(licences.anchors(licences.TEMPLATES, 0.8))
     for text in licences.TEMPLATES.values():

@@ -13,7 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from tagtrail.functions.text import tokens
 from tagtrail.operators import matcher
-from tagtrail.session import small_or_none
+from tagtrail.operators.ordering import with_position
+from tagtrail.session import small_or_none, staged
 
 # Fixed values of the look-ups.
 LOOKUP_LIMIT = 20
@@ -24,6 +25,9 @@ QUESTION_BLOCK = 4096
 CORPUS_SLICE = 50_000
 SCORE_DIGITS = 9
 
+#: Rows of the first block of a look-up with a limit, and how much larger each next block is.
+FIRST_ROWS, GROWTH = 200_000, 8
+
 
 # --- vectors ------------------------------------------------------------------------------------------------------
 
@@ -286,12 +290,32 @@ def first_per_token(words: DataFrame, values: DataFrame, rows: DataFrame, order:
 
     The first ``limit`` rows of a question are among these of its tokens, so questions only ever meet ``limit`` rows per
     token. ``order`` tells any two different rows apart: equal ones share a rank and are folded after it.
+
+    More than FIRST_ROWS rows are searched in blocks of that order, each GROWTH times as large as the one before, and a
+    token that has its rows goes no further: one that stands in very many values is done after the first blocks, one that
+    stands in few has few to bring.
     """
+    if rows.limit(FIRST_ROWS + 1).count() <= FIRST_ROWS:
+        return _first_rows(token_hits(words, values).join(rows, "value"), order, limit)
+    placed = with_position(rows, [], order, "place")
+    total, at, size = placed.count(), 0, FIRST_ROWS
+    open_words, found = words.select("token").distinct(), None
+    while at < total:
+        block = placed.where(F.col("place").between(at + 1, at + size)).drop("place")
+        own = _first_rows(token_hits(open_words, block.select("value")).join(block, "value"), order, limit)
+        found = staged(own if found is None else _first_rows(found.unionByName(own), order, limit), "found")
+        done = found.groupBy("token").count().where(F.col("count") >= limit)
+        open_words = staged(words.select("token").distinct().join(done, "token", "left_anti"), "tokens")
+        if open_words.isEmpty():
+            break
+        at, size = at + size, size * GROWTH
+    return found
+
+
+def _first_rows(hits: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    own = hits.drop("value") if "value" in hits.columns else hits
     ranked = Window.partitionBy("token").orderBy(*order)
-    return (
-        token_hits(words, values).join(rows, "value").drop("value")
-        .withColumn("n", F.dense_rank().over(ranked)).where(F.col("n") <= limit).drop("n").distinct()
-    )
+    return own.withColumn("n", F.dense_rank().over(ranked)).where(F.col("n") <= limit).drop("n").distinct()
 
 
 def _named_in(questions: DataFrame, tags: DataFrame) -> DataFrame:

@@ -95,3 +95,18 @@ def test_bundles_carry_the_rules(spark):
     assert len(rows) == 2 * len(package.ANSWER_POLICY) and {r.kind for r in rows} == {"policy"}
     lines = evidence.policy_lines(qs, package.EVIDENCE_POLICY).where("question_id = 1").orderBy("n").collect()
     assert [r.line for r in lines] == package.EVIDENCE_POLICY
+
+
+def test_a_token_of_a_third_of_all_values_is_done_after_the_first_blocks(spark, monkeypatch):
+    rows = spark.range(3000).select(
+        F.format_string("e%05d", (F.col("id") * 7919) % 3000).alias("entity_id"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("pump-"), "id")).when(F.col("id") == 2501, "rare thing").otherwise(F.concat(F.lit("unit"), "id")).alias("value"),
+    )
+    words = spark.createDataFrame([("pump",), ("rare",), ("unit1",), ("none",)], "token string")
+    want = {tuple(r) for r in retrieval.first_per_token(words, rows.select("value"), rows, [F.col("entity_id")], 20).collect()}
+    asked, search = [], retrieval.token_hits
+    monkeypatch.setattr(retrieval, "FIRST_ROWS", 100)
+    monkeypatch.setattr(retrieval, "token_hits", lambda w, v: asked.append({r.token for r in w.select("token").distinct().collect()}) or search(w, v))
+    got = {tuple(r) for r in retrieval.first_per_token(words, rows.select("value"), rows, [F.col("entity_id")], 20).collect()}
+    assert got == want and sum(t == "pump" for t, _ in got) == 20 and sum(t == "rare" for t, _ in got) == 1
+    assert len(asked) > 2 and "pump" in asked[0] and "pump" not in asked[1] and "rare" in asked[-1]

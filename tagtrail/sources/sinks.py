@@ -35,12 +35,11 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """``nodes`` and ``edges`` as JSON lines, each file in order of the element id."""
-    write_jsonl(graph.export_nodes(nodes).sortWithinPartitions("element_id"), f"{path}/nodes")
-    write_jsonl(graph.export_edges(edges).sortWithinPartitions("element_id"), f"{path}/edges")
+    """``nodes`` and ``edges`` as JSON lines; files in order of their names are in order of the element id."""
+    write_jsonl(graph.export_nodes(nodes).orderBy("element_id"), f"{path}/nodes")
+    write_jsonl(graph.export_edges(edges).orderBy("element_id"), f"{path}/edges")
 
 
 def write_splits(split: DataFrame, path: str) -> None:
-    """JSON lines in one folder per ``split``, each file sorted by id."""
-    ordered = split.sortWithinPartitions("split", "id")
-    write_jsonl(ordered, path, ["split"])
+    """JSON lines in one folder per ``split``; its files in order of their names are in order of id."""
+    write_jsonl(split.orderBy("split", "id"), path, ["split"])

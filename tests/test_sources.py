@@ -93,3 +93,42 @@ def test_empty_texts_and_missing_encoders_are_errors(spark):
         encode_chunks(spark.createDataFrame([("c", "t")], "chunk_id string, text string"))
     with pytest.raises(Exception, match="without text"):
         encode_chunks(spark.createDataFrame([("c", " ")], "chunk_id string, text string"), lambda t: np.ones((len(t), 2))).collect()
+
+
+def ids_of(folder, field):
+    out = []
+    for name in sorted(n for n in os.listdir(folder) if n.startswith("part-")):
+        out += [json.loads(line)[field] for line in open(os.path.join(folder, name))]
+    return out
+
+
+def test_exports_are_in_order_over_their_files(spark, tmp_path):
+    from tagtrail.sources import sinks
+
+    frame = spark.range(400).selectExpr("format_string('%04d', id * 7919 % 400) as id", "if(id % 3 = 0, 'a', 'b') as split").repartition(5)
+    sinks.write_splits(frame, f"{tmp_path}/splits")
+    for split, n in (("a", 134), ("b", 266)):
+        got = ids_of(f"{tmp_path}/splits/split={split}", "id")
+        assert got == sorted(got) and len(got) == n
+    nodes = frame.selectExpr("id", "array('Entity') as labels", "map('name', id) as properties")
+    edges = frame.selectExpr("id as src", "'RELATED_TO' as type", "'x' as dst", "map('name', id) as properties")
+    sinks.write_graph(nodes, edges, f"{tmp_path}/graph")
+    for part in ("nodes", "edges"):
+        got = ids_of(f"{tmp_path}/graph/{part}", "element_id")
+        assert got == sorted(got) and len(got) == 400
+
+
+def test_digests_and_manifest_are_those_of_the_files(spark, tmp_path):
+    import hashlib
+
+    from tagtrail.operators import package
+
+    folder = "/root/testdata/sf0.001"
+    want = {n: (hashlib.sha256(open(f"{folder}/{n}", "rb").read()).hexdigest(), os.path.getsize(f"{folder}/{n}")) for n in os.listdir(folder) if n.endswith(".parquet")}
+    got = {r["file_name"]: (r["sha256"], r["size_bytes"]) for r in files.file_digests(files.binary_files(spark, folder, "*.parquet")).collect()}
+    assert got == want and len(got) > 10
+    for part, text in (("document_chunks", "one"), ("embeddings", "two")):
+        (tmp_path / part).mkdir()
+        (tmp_path / part / "part-0.json").write_text(text)
+    rows = package.package_manifest(spark, str(tmp_path)).collect()
+    assert {(r["sha256"], r["size_bytes"]) for r in rows} == {(hashlib.sha256(t.encode()).hexdigest(), 3) for t in ("one", "two")}

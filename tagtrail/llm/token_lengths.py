@@ -17,6 +17,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tagtrail.llm.texts import map_texts
+from tagtrail.session import staged
 
 # Fixed value: the pattern that cuts texts before the merges of these rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -49,7 +50,8 @@ def histogram(counts: DataFrame) -> DataFrame:
     n_docs and n_tokens at this length; docs_from, tokens_from: at it or above; truncated_tokens: what is left of the
     corpus when every document is cut at this length.
     """
-    lengths = counts.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs"))
+    # Written once, so that no text goes through the tokenizer a second time.
+    lengths = staged(counts.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")), "lengths")
     lengths = lengths.withColumns({"n_tokens": F.col("length") * F.col("n_docs"), "block": F.floor(F.col("length") / BLOCK)})
     blocks = lengths.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("n_tokens").alias("block_tokens"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
@@ -73,13 +75,20 @@ def histogram(counts: DataFrame) -> DataFrame:
 
 
 def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit: documents and tokens in all, documents over the limit, tokens after truncation."""
-    totals = hist.agg(
-        F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"),
-        *[F.coalesce(F.sum(F.when(F.col("length") > x, F.col("n_docs"))), F.lit(0)).alias(f"over_{x}") for x in limits],
-        *[F.coalesce(F.sum(F.least("length", F.lit(x)) * F.col("n_docs")), F.lit(0)).alias(f"cut_{x}") for x in limits],
-    )
-    rows = [F.struct(F.lit(x).cast("bigint").alias("context"), F.col(f"over_{x}").alias("docs_over"), F.col(f"cut_{x}").alias("truncated_tokens")) for x in limits]
+    """For each context limit: documents and tokens in all, documents over the limit, tokens after truncation.
+
+    The suffix sums of the first length over the limit answer it: what is longer is cut to the limit, the rest is whole.
+    """
+    first = {x: F.min_by(F.struct("docs_from", "tokens_from"), F.when(F.col("length") > x, F.col("length"))).alias(f"over_{x}") for x in dict.fromkeys(limits)}
+    totals = hist.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), *first.values())
+    over = lambda x, c: F.coalesce(F.col(f"over_{x}")[c], F.lit(0))
+    rows = [
+        F.struct(
+            F.lit(x).cast("bigint").alias("context"), over(x, "docs_from").alias("docs_over"),
+            (F.col("n_tokens") - over(x, "tokens_from") + F.lit(x) * over(x, "docs_from")).alias("truncated_tokens"),
+        )
+        for x in limits
+    ]
     return totals.select("n_docs", "n_tokens", F.inline(F.array(*rows))).select("context", "n_docs", "n_tokens", "docs_over", "truncated_tokens")
 
 

@@ -1,4 +1,4 @@
-"""A sample of the registered queries against their SQL at the smallest scale; tools/check.py runs them all."""
+"""Registered queries against their SQL at the smallest scale: a sample, or with EVERY_QUERY=1 all of them."""
 
 from __future__ import annotations
 
@@ -14,8 +14,11 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "win_spike_events", "win_change_points", "agg_numeric_profile", "agg_correlated_pairs", "fn_split_chunks",
     "join_mentions", "topk_cosine", "join_graph_lookup", "kg_validate_entities", "sink_upsert", "tr_validate",
-    "qa_system_eval",
+    "qa_system_eval", "topk_cosine_index", "topk_index_recall", "join_correlated_sensors", "join_relation_endpoints",
+    "join_mentions_phrases", "prj_identify_sensors", "sink_upsert_create", "src_jsonl", "win_recent_values",
 ]
+if os.environ.get("EVERY_QUERY"):
+    SAMPLE = sorted(entry.oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")

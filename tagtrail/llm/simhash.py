@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagtrail.llm.components import connected_components
 from tagtrail.llm.texts import map_texts, split_words
+from tagtrail.operators.joins import split_join
 from tagtrail.session import staged
 
 DISTANCE = 2
@@ -83,7 +84,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
     keyed = prints.select("fingerprint", F.explode(starts).alias("k")).select("fingerprint", "k.start", "k.key")
     a, b = keyed.withColumnRenamed("fingerprint", "a"), keyed.withColumnRenamed("fingerprint", "b")
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = a.join(b, ["start", "key"]).where((F.col("a") < F.col("b")) & _viable(differ, equal, distance, segments))
+    # Many near copies may share a key: their rows are dealt over tasks on one side.
+    pairs = split_join(a, b, ["start", "key"], "inner", spread=["a"], counted=keyed).where((F.col("a") < F.col("b")) & _viable(differ, equal, distance, segments))
     return pairs.where(F.bit_count(differ) <= distance).select("a", "b").distinct()
 
 
@@ -109,7 +111,9 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     )
     moved = classes.join(first, "component").select(F.col("node").alias("fingerprint"), "component_id")
     known = nodes.join(moved, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "first_id").alias("component_id"))
-    return marked.join(known, "fingerprint").select(doc_id, "fingerprint", "component_id")
+    # A third of all rows may have one fingerprint.
+    told = split_join(marked.select(F.col(doc_id).alias("_id"), "fingerprint"), known, ["fingerprint"], "inner", spread=["_id"])
+    return told.select(F.col("_id").alias(doc_id), "fingerprint", "component_id")
 
 
 def without_near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

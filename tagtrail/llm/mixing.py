@@ -5,8 +5,10 @@ above ``COPIES`` times the words of its source; what is over is shared anew by w
 
 A document of a source with target T gets copies = min(COPIES, c * measure) in expectation, with c set so that the
 source's expected words are T. The whole part of it is certain. For the rest, of probability p, documents are ordered by
-(U / (1 - U)) / (p / (1 - p)), U being a hash of the document, and taken in this order as long as their words come
-nearer to what the source still needs: a sample of fixed size in words, with unequal probabilities. ``measure`` is the
+(U / (1 - U)) / (p / (1 - p)), U being a hash of the document, and taken in this order as long as their words fit into
+what the source still needs: a sample of fixed size in words, with unequal probabilities. What is then missing, less than
+the next document, is filled from the FILL documents that follow in the order, each taken if it still fits; so also a
+source of a few documents comes near its target. ``measure`` is the
 square root of the words by default, so that long documents are likelier and short ones not shut out.
 
 The order of a source is never sorted in one task: its words are summed in 4096 bins of the order, then in 4096 bins of
@@ -31,6 +33,8 @@ SHARE = 1.5
 COPIES = 2
 SEED = 23
 _BINS = 4096
+#: Documents behind the cut that may fill what is missing.
+FILL = 256
 #: Of each row: its source's number, words, place in the order of ids, hash, expected copies.
 _OWN = ["_words", "_key"]
 
@@ -105,7 +109,7 @@ def _expected(measure: Callable[[Column], Column], copies: int) -> dict[str, Col
 
 
 def _cuts(rows: DataFrame, per: DataFrame) -> DataFrame:
-    """(nth, cut, cut_key): a row is taken once more if its (_order, _key) is at most this."""
+    """(nth, cut, cut_key, extra): a row is taken once more if its (_order, _key) is at most this, or its key is an extra one."""
     need = rows.groupBy("nth").agg(F.sum(F.col("_whole") * F.col("_words")).alias("_certain"))
     need = per.select("nth", "target").join(need, "nth").select("nth", (F.col("target") - F.col("_certain")).alias("_need"))
     open_rows = rows.where("_order is not null").select("nth", "_order", "_key", "_words")
@@ -125,19 +129,36 @@ def _cuts(rows: DataFrame, per: DataFrame) -> DataFrame:
     second = staged(met(fine, "_cell"), "cuts")
     last = binned.join(second, ["nth", "_cell"])
     after = F.sum("_words").over(Window.partitionBy("nth").orderBy("_order", "_key"))
-    near = F.abs(F.col("_after") - F.col("_need"))
+    fits = F.col("_after") <= F.col("_need")
     own = last.withColumn("_after", after).groupBy("nth").agg(
-        F.min_by(F.struct("_order", "_key"), F.struct(near.alias("miss"), F.col("_order"), F.col("_key"))).alias("_best"),
-        F.min(near).alias("_miss"), F.first("_need").alias("_need"), F.first("_cell").alias("_cell"),
+        F.max(F.when(fits, F.struct("_order", "_key"))).alias("_best"), F.max(F.when(fits, F.col("_after"))).alias("_got"),
+        F.first("_need").alias("_need"), F.first("_cell").alias("_cell"),
     )
-    # Taking none of the last bin may come nearest; the cut is then the lower edge of the bin.
-    takes = F.col("_miss") < F.col("_need")
+    # None of the last bin may fit; the cut is then the lower edge of the bin.
     found = own.select(
-        "nth", F.when(takes, F.col("_best._order")).otherwise(F.col("_cell") / (_BINS * _BINS)).alias("cut"),
-        F.when(takes, F.col("_best._key")).otherwise(F.lit(-(1 << 63))).alias("cut_key"),
+        "nth", F.coalesce("_best._order", F.col("_cell") / (_BINS * _BINS)).alias("cut"), F.coalesce("_best._key", F.lit(-(1 << 63))).alias("cut_key"),
+        (F.col("_need") - F.coalesce("_got", F.lit(0))).alias("missing"),
     )
-    everything = per.select("nth").join(found, "nth", "left_anti").select("nth", F.lit(2.0).alias("cut"), F.lit(0).cast("bigint").alias("cut_key"))
-    return found.unionByName(everything)
+    found = staged(found, "cuts")
+    everything = per.select("nth").join(found, "nth", "left_anti").select("nth", F.lit(2.0).alias("cut"), F.lit(0).cast("bigint").alias("cut_key"), F.array().cast("array<bigint>").alias("extra"))
+    return found.join(_filling(open_rows, found), "nth", "left").select("nth", "cut", "cut_key", F.coalesce("extra", F.array().cast("array<bigint>")).alias("extra")).unionByName(everything)
+
+
+def _filling(open_rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(nth, extra): keys of the documents that fill what a cut leaves, of the FILL that follow it."""
+    behind = (F.col("_order") > F.col("cut")) | ((F.col("_order") == F.col("cut")) & (F.col("_key") > F.col("cut_key")))
+    # Rows that agree in all are taken together.
+    rest = open_rows.join(cuts, "nth").where(behind & (F.col("_words") > 0)).groupBy("nth", "_order", "_key", "missing").agg(F.sum("_words").alias("words"))
+    first = rest.withColumn("_n", F.row_number().over(Window.partitionBy("nth").orderBy("_order", "_key"))).where(F.col("_n") <= FILL)
+    listed = first.groupBy("nth", "missing").agg(F.sort_array(F.collect_list(F.struct("_n", "_key", "words"))).alias("next"))
+    empty = F.struct(F.col("missing").alias("left"), F.array().cast("array<bigint>").alias("taken"))
+
+    def step(acc: Column, row: Column) -> Column:
+        fits = row["words"] <= acc["left"]
+        more = F.struct((acc["left"] - row["words"]).alias("left"), F.concat(acc["taken"], F.array(row["_key"])).alias("taken"))
+        return F.when(fits, more).otherwise(acc)
+
+    return listed.select("nth", F.aggregate("next", empty, step)["taken"].alias("extra"))
 
 
 def mix(
@@ -156,11 +177,12 @@ def mix(
     per = staged(_rates(narrow, per, measure, copies), "targets")
     place = lambda rows, table: rows.join(table.withColumnRenamed("source", "_per"), F.col("_source").eqNullSafe(F.col("_per"))).withColumns(_expected(measure, copies))
     cuts = _cuts(place(narrow, per.select("source", "nth", "c")), per)
-    final = staged(per.join(cuts, "nth").select(*[F.col(c).alias(f"_{c}_of") for c in ("source", "source_size", "target", "cut", "cut_key")], "c"), "cuts")
+    final = staged(per.join(cuts, "nth").select(*[F.col(c).alias(f"_{c}_of") for c in ("source", "source_size", "target", "cut", "cut_key", "extra")], "c"), "cuts")
     # The columns to return travel in one, so that their names meet no name used here.
     rows = _rows(documents, text, source, doc_id, seed, keep)
     joined = rows.join(final, F.col("_source").eqNullSafe(F.col("_source_of"))).withColumns(_expected(measure, copies))
-    once = F.coalesce((F.col("_order") < F.col("_cut_of")) | ((F.col("_order") == F.col("_cut_of")) & (F.col("_key") <= F.col("_cut_key_of"))), F.lit(False))
+    ahead = (F.col("_order") < F.col("_cut_of")) | ((F.col("_order") == F.col("_cut_of")) & (F.col("_key") <= F.col("_cut_key_of")))
+    once = F.coalesce(ahead | (F.col("_order").isNotNull() & F.array_contains("_extra_of", F.col("_key"))), F.lit(False))
     return joined.select(
         *[F.col("_row")[c].alias(c) for c in keep], F.col("_words").alias("size"), F.col("_source_size_of").alias("source_size"), F.col("_target_of").alias("target"),
         (F.col("_whole") + once.cast("int")).cast("int").alias("copies"),

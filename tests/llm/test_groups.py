@@ -311,6 +311,19 @@ def test_mix_takes_with_the_stated_probability(spark):
     assert sum(copies["a"]) == 8000 and sum(copies["b"]) == 4000 and set(copies["b"]) <= {0, 1, 2}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_a_source_of_ten_documents_comes_near_its_target(spark, seed):
+    """One document holds a third of the words; what the cut leaves is filled from those that follow."""
+    rng = random.Random(seed)
+    sizes = [300, *(rng.randrange(20, 120) for _ in range(9))]
+    rows = [(k, "w " * n, "a") for k, n in enumerate(sizes)] + [(100 + k, "w " * 50, "b") for k in range(40)] + [(300 + k, "w " * 200, "c") for k in range(60)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), seed=seed).collect()
+    target = {r["source"]: r["target"] for r in mixed}
+    taken = {s: sum(r["copies"] * r["size"] for r in mixed if r["source"] == s) for s in "abc"}
+    assert target["a"] == pytest.approx(min(2 * sum(sizes), target["a"])) and 0 <= target["a"] - taken["a"] <= max(20, 0.05 * target["a"])
+    assert max(r["copies"] for r in mixed) <= 2 and 0 <= target["c"] - taken["c"] <= 200
+
+
 def test_mix_awkward(spark):
     docs = data.awkward(spark)
     got = mixing.mix(docs).collect()

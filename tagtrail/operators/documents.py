@@ -18,6 +18,9 @@ from tagtrail.session import staged
 MAX_CHARS = 1600
 OVERLAP_CHARS = 250
 
+#: So many named entities are sent to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
 
 def split_chunks(text: Column, max_chars: int = MAX_CHARS, overlap_chars: int = OVERLAP_CHARS) -> Column:
     """Array of overlapping pieces of a collapsed text, each at most ``max_chars`` long.
@@ -106,24 +109,43 @@ def _words(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.posexplode(F.split("text", NOT_TAG_CHARS)).alias("place", "word"))
 
 
+def _whole_tags(tags: DataFrame) -> DataFrame:
+    """Lower-cased tags of which a spelling is made only of tag characters, as ``key``."""
+    # Decided per key by an aggregate, so that the pattern is not also tried on every word of the text.
+    whole = F.max(F.col("tag").rlike(TAG_CHARS_ONLY))
+    return tags.groupBy(F.lower("tag").alias("key")).agg(whole.alias("whole")).where("whole").select("key")
+
+
 def mentions(chunks: DataFrame, tags: DataFrame) -> DataFrame:
     """Chunks that contain a tag as a whole word, any case: ``chunk_id, tag, matched, place``.
 
     ``matched`` is the spelling first seen and ``place`` where. Tags made only of tag characters are whole words of
     the text, so this is an equality join; see ``phrase_mentions`` for others.
     """
-    # Decided per key by an aggregate, so that the pattern is not also tried on every word of the text.
-    whole = F.max(F.col("tag").rlike(TAG_CHARS_ONLY))
-    keys = tags.groupBy(F.lower("tag").alias("key")).agg(whole.alias("whole")).where("whole").select("key")
     return (
         _words(chunks)
         .withColumn("key", F.lower("word"))
-        .join(keys, "key")
+        .join(_whole_tags(tags), "key")
         .groupBy("chunk_id", F.col("key").alias("tag"))
         .agg(F.min_by("word", "place").alias("matched"), F.min("place").alias("place"))
     )
 
 
+def mentioned_entities(chunks: DataFrame, tags: DataFrame, entities: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``mention_edges`` of ``mentions``, with the columns ``keep`` of the chunk; a repeated chunk gives its edges again.
+
+    The words of a chunk meet the entities where the chunk stands, so that nothing but rare large tables of entities makes
+    a shuffle, and the edges of a chunk stay together.
+    """
+    named = entities.select("entity_id", F.lower(F.coalesce("source_column", "entity_id")).alias("tag"))
+    named = staged(named.join(_whole_tags(tags).withColumnRenamed("key", "tag"), "tag", "left_semi"), "named")
+    words = F.array_distinct(F.transform(F.split("text", NOT_TAG_CHARS), lambda w: F.lower(w)))
+    found = chunks.select("chunk_id", *keep, F.explode(words).alias("tag"))
+    if named.count() <= BROADCAST_ROWS:
+        return found.join(F.broadcast(named), "tag").select("chunk_id", "entity_id", *keep)
+    return split_join(staged(found, "words"), named, ["tag"], "inner", spread=["chunk_id"]).select("chunk_id", "entity_id", *keep)
+
+
 def phrase_mentions(chunks: DataFrame, tags: DataFrame) -> DataFrame:
     """As ``mentions`` for tags that may hold other characters (spaces, slashes), longest match first.
 

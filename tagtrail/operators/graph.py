@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagtrail.operators.joins import split_join
-from tagtrail.session import staged
+from tagtrail.operators.joins import hot_hashes, split_join
+from tagtrail.session import shuffle_width, staged
+
+#: So many ends that are no nodes are sent to all tasks; more are joined by a shuffle. Rows that a task merges.
+BROADCAST_ROWS, MERGE_ROWS = 1_000_000, 1_000_000
 
 # Relation types an edge may have.
 EDGE_TYPES = [
@@ -150,14 +153,25 @@ def graph_nodes(
 def merged_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends are among ``nodes``, one per ``src, type, dst``.
 
-    Of several the one with the greatest properties, compared as sorted JSON, stays.
+    Of several the one with the greatest properties, compared as sorted JSON, stays. Edges are shuffled once, by their source,
+    so that those of one source stand together; the ends that are no nodes are looked up among the different ends.
     """
-    merged = edges.groupBy("src", "type", "dst").agg(F.max_by("properties", _sorted_json("properties")).alias("properties"))
-    merged, ids = staged(merged, "edges"), staged(nodes.select("id").distinct(), "ids")
+    edges = staged(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()), "edges")
+    ids = staged(nodes.select(F.col("id").alias("end")).distinct(), "ids")
+    ends = edges.select(F.col("src").alias("end")).distinct().unionByName(edges.select(F.col("dst").alias("end")).distinct()).distinct()
+    unknown = staged(ends.join(ids, "end", "left_anti"), "unknown")
+    few, rows = unknown.count() <= BROADCAST_ROWS, edges.count()
+    counted = edges
     # Most edges may lead to one class or sensor: the rows of such an end are dealt over tasks.
     for end, other in (("src", "dst"), ("dst", "src")):
-        merged = split_join(merged, ids.withColumnRenamed("id", end), [end], "left_semi", spread=[other, "type"])
-    return merged
+        own = unknown.withColumnRenamed("end", end)
+        edges = edges.join(F.broadcast(own), end, "left_anti") if few else split_join(edges, own, [end], "left_anti", spread=[other, "type"], counted=counted)
+    parts = max(shuffle_width(edges.sparkSession), rows // MERGE_ROWS)
+    hot = hot_hashes(counted, F.xxhash64("src"), shuffle_width(edges.sparkSession))
+    dealt = F.pmod(F.xxhash64("type", "dst"), F.lit(parts)).cast("int")
+    spread = edges.withColumn("_deal", F.when(F.xxhash64("src").isin(list(hot)), dealt).otherwise(0) if hot else F.lit(0))
+    merged = spread.repartition(parts, "src", "_deal").groupBy("src", "_deal", "type", "dst")
+    return merged.agg(F.max_by("properties", _sorted_json("properties")).alias("properties")).select("src", "type", "dst", "properties")
 
 
 def graph_edges(relations: DataFrame, detected_by: DataFrame, mentions: DataFrame, source_id: str) -> DataFrame:

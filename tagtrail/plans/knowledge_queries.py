@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tagtrail.functions.tags import FAMILIES, SENSOR_CLASSES, class_confidence, family_by_pattern, sensor_class
 from tagtrail.operators import graph, knowledge as kg, package, retrieval
 from tagtrail.plans import bindings as b
-from tagtrail.operators.documents import mention_edges, mentions
+from tagtrail.operators.documents import mention_edges, mentioned_entities, mentions
 from tagtrail.plans.registry import query
 from tagtrail.session import staged
 from tagtrail.sources import keyed_table, sinks
@@ -541,9 +541,7 @@ def whole_graph(spark, d):
     resolved = kg.resolve_event_sensors(events, ents).where("unresolved is null")
     chunks = staged(b.chunks(spark, d), "chunks")
     words = b.dict_entities(spark, d)
-    links = mention_edges(mentions(chunks, b.tag_dictionary(spark, d)), words).join(
-        chunks.select("chunk_id", "file_name", "page"), "chunk_id"
-    )
+    links = mentioned_entities(chunks, b.tag_dictionary(spark, d), words, ["file_name", "page"])
     nodes = graph.graph_nodes(ents, graph.class_nodes(rels), events, chunks, SOURCE).unionByName(
         graph.node_rows(words.drop("user_id"), "entity_id", "Entity")
     )
@@ -580,7 +578,7 @@ def kg_graph(spark, d):
 def sink_graph_export(spark, d):
     nodes, edges = whole_graph(spark, d)
     at = sinks.scratch_path(spark, "graph")
-    sinks.write_graph(nodes, edges, at)
+    sinks.write_graph(nodes, edges, at, "gzip")
     schema = "element_id string, labels array<string>, type string, start_element_id string, end_element_id string, properties string"
     back = spark.read.schema(schema).json([f"{at}/nodes", f"{at}/edges"])
     return back.select(

@@ -12,9 +12,9 @@ from tagtrail.session import scratch_path
 __all__ = ["scratch_path", "write_csv", "write_graph", "write_jsonl", "write_splits", "write_table"]
 
 
-def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = (), compression: str = "none") -> None:
     """JSON lines; null fields are written."""
-    df.write.mode("overwrite").partitionBy(*partition_by).option("ignoreNullFields", "false").json(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).option("ignoreNullFields", "false").json(path, compression=compression)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -34,10 +34,10 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, compression: str = "none") -> None:
     """``nodes`` and ``edges`` as JSON lines; files in order of their names are in order of the element id."""
-    write_jsonl(graph.export_nodes(nodes).orderBy("element_id"), f"{path}/nodes")
-    write_jsonl(graph.export_edges(edges).orderBy("element_id"), f"{path}/edges")
+    write_jsonl(graph.export_nodes(nodes).orderBy("element_id"), f"{path}/nodes", compression=compression)
+    write_jsonl(graph.export_edges(edges).orderBy("element_id"), f"{path}/edges", compression=compression)
 
 
 def write_splits(split: DataFrame, path: str) -> None:

@@ -110,3 +110,30 @@ def test_a_token_of_a_third_of_all_values_is_done_after_the_first_blocks(spark,
     got = {tuple(r) for r in retrieval.first_per_token(words, rows.select("value"), rows, [F.col("entity_id")], 20).collect()}
     assert got == want and sum(t == "pump" for t, _ in got) == 20 and sum(t == "rare" for t, _ in got) == 1
     assert len(asked) > 2 and "pump" in asked[0] and "pump" not in asked[1] and "rare" in asked[-1]
+
+
+def test_edges_are_shuffled_once_by_source_and_a_hot_source_is_dealt(spark):
+    nodes = spark.range(300).select(F.concat(F.lit("n"), "id").alias("id"))
+    one = lambda src, dst: F.struct(src.alias("src"), F.lit("T").alias("type"), dst.alias("dst"))
+    ends = F.array(one(F.lit("n0"), F.concat(F.lit("n"), F.col("id") % 310)), one(F.concat(F.lit("n"), F.col("id") % 300), F.lit("n1")), one(F.lit(None).cast("string"), F.lit("n1")))
+    edges = spark.range(900).select("id", F.inline(ends)).select("src", "type", "dst", F.create_map(F.lit("k"), F.format_string("%04d", "id")).alias("properties"))
+    found = graph.merged_edges(edges, nodes)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want: dict = {}
+    for k in range(900):
+        for e in [("n0", f"n{k % 310}"), (f"n{k % 300}", "n1")]:
+            if int(e[1][1:]) < 300:
+                want[e] = max(want.get(e, ""), f"{k:04d}")
+    assert sorted((r.src, r.dst, r.properties["k"]) for r in found.collect()) == sorted((*e, v) for e, v in want.items())
+
+
+def test_mentioned_entities_are_the_edges_of_mentions_with_columns_of_the_chunk(spark):
+    from tagtrail.operators import documents
+
+    chunks = spark.createDataFrame([("c1", "Pump-1 and pump-1, valve"), ("c2", "none"), ("c3", None), ("c4", "VALVE a b")], "chunk_id string, text string").withColumn("page", F.lit(7))
+    tags = spark.createDataFrame([("PUMP-1",), ("valve",), ("a b",)], "tag string")
+    ents = spark.createDataFrame([("e1", "pump-1"), ("e2", "Pump-1"), ("valve", None), ("e4", "a b")], "entity_id string, source_column string")
+    got = documents.mentioned_entities(chunks, tags, ents, ["page"])
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    plain = documents.mention_edges(documents.mentions(chunks, tags), ents).collect()
+    assert sorted(map(tuple, got.collect())) == sorted((*r, 7) for r in map(tuple, plain)) == [("c1", "e1", 7), ("c1", "e2", 7), ("c1", "valve", 7), ("c4", "valve", 7)]

@@ -132,3 +132,15 @@ def test_digests_and_manifest_are_those_of_the_files(spark, tmp_path):
         (tmp_path / part / "part-0.json").write_text(text)
     rows = package.package_manifest(spark, str(tmp_path)).collect()
     assert {(r["sha256"], r["size_bytes"]) for r in rows} == {(hashlib.sha256(t.encode()).hexdigest(), 3) for t in ("one", "two")}
+
+
+def test_a_graph_is_written_compressed_on_demand(spark, tmp_path):
+    from tagtrail.sources import sinks
+
+    nodes = spark.range(50).selectExpr("concat('n', id) as id", "array('Entity') as labels", "map('name', 'x') as properties")
+    edges = nodes.selectExpr("id as src", "'RELATED_TO' as type", "'n0' as dst", "properties")
+    sinks.write_graph(nodes, edges, f"{tmp_path}/graph", "gzip")
+    for part in ("nodes", "edges"):
+        names = [n for n in os.listdir(f"{tmp_path}/graph/{part}") if n.startswith("part-")]
+        assert names and all(n.endswith(".json.gz") for n in names)
+        assert spark.read.json(f"{tmp_path}/graph/{part}").count() == 50

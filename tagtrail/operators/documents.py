@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagtrail.functions.ids import chunk_id
@@ -18,6 +18,9 @@ from tagtrail.session import staged
 MAX_CHARS = 1600
 OVERLAP_CHARS = 250
 
+#: Pages that a split holds as Python strings at once.
+SPLIT_ROWS = 128
+
 #: So many named entities are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -34,7 +37,7 @@ def split_chunks(text: Column, max_chars: int = MAX_CHARS, overlap_chars: int =
     if not 0 <= overlap_chars < max_chars:
         raise ValueError("overlap_chars must be >= 0 and < max_chars")
 
-    half = max_chars // 2
+    half, listed = max_chars // 2, pa.list_(pa.string())
 
     def cuts(line: str) -> list[tuple[int, int]]:
         """(start, end) of each piece. The last space before a limit is looked up in the sorted places of all spaces."""
@@ -52,9 +55,11 @@ def split_chunks(text: Column, max_chars: int = MAX_CHARS, overlap_chars: int =
         stripped = (line[a:b].strip() for a, b in cuts(line)) if line else ()
         return [piece for piece in stripped if piece]
 
-    @F.pandas_udf("array<string>")
-    def split(lines: pd.Series) -> pd.Series:
-        return lines.map(pieces)
+    @F.arrow_udf("array<string>")
+    def split(lines: pa.Array) -> pa.Array:
+        # A batch may hold very many pages: only SPLIT_ROWS of them are Python strings at once.
+        parts = (lines.slice(start, SPLIT_ROWS) for start in range(0, len(lines), SPLIT_ROWS))
+        return pa.concat_arrays([pa.array([], listed), *(pa.array([pieces(line) for line in part.to_pylist()], listed) for part in parts)])
 
     return split(text)
 

@@ -15,6 +15,7 @@ from tagtrail.functions.text import tokens
 from tagtrail.operators import matcher
 from tagtrail.operators.ordering import with_position
 from tagtrail.session import small_or_none, staged
+from tagtrail.sources.files import by_bytes
 
 # Fixed values of the look-ups.
 LOOKUP_LIMIT = 20
@@ -24,6 +25,8 @@ GRAM = 3
 QUESTION_BLOCK = 4096
 CORPUS_SLICE = 50_000
 SCORE_DIGITS = 9
+#: Chunks that are scored at once.
+SCORED_ROWS = 1024
 
 #: Rows of the first block of a look-up with a limit, and how much larger each next block is.
 FIRST_ROWS, GROWTH = 200_000, 8
@@ -157,8 +160,9 @@ def _scan(questions: DataFrame, corpus: DataFrame, few: list, k: int) -> DataFra
         names, matrix = sent.value
         found = TopK(len(names), k)
         for batch in batches:
-            if batch.num_rows:
-                found.add(matrix @ matrix_of(batch).T, batch)
+            for start in range(0, batch.num_rows, SCORED_ROWS):
+                part = batch.slice(start, SCORED_ROWS)
+                found.add(matrix @ matrix_of(part).T, part)
         out = found.best(names, kind)
         if out is not None:
             yield from out.combine_chunks().to_batches()
@@ -193,7 +197,7 @@ def nearest_of_group(k: int, schema: T.StructType):
             return empty
         names, matrix = asked.column("question_id").to_pylist(), matrix_of(asked)
         found = TopK(len(names), k)
-        for batch in chunks.to_batches(max_chunksize=16_384):
+        for batch in chunks.to_batches(max_chunksize=SCORED_ROWS):
             found.add(matrix @ matrix_of(batch).T, batch)
         out = found.best(names, kind)
         return empty if out is None else out.cast(empty.schema)
@@ -229,7 +233,7 @@ def encode_chunks(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder or _set_up(name, factory)
-        for rows in batches:
+        for rows in (part for whole in batches for part in by_bytes(whole, "text")):
             texts = pd.Series(rows.column("text").to_pylist(), dtype=object)
             if not len(texts):
                 continue

@@ -172,3 +172,20 @@ def test_citations(spark):
     ).first()
     assert row.plain == ["DOC:a p.1 chunk:x", "EVENT:1", "EVENT:1"]
     assert row.bad == ["TS:SUMMARY:s", "EVENT:1", "EVENT:1"]
+
+
+def test_a_split_holds_few_pages_at_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tagtrail.operators import documents
+
+    made = {}
+    monkeypatch.setattr(documents.F, "arrow_udf", lambda kind: lambda f: made.setdefault("split", f) and (lambda column: column))
+    documents.split_chunks(F.lit("x"), 10, 2)
+
+    import pyarrow as pa
+
+    whole = pa.array(["word " * 7, None, "", "one"] * 100)
+    got = made["split"](whole)
+    assert got.slice(0, 4).to_pylist() == got.slice(396, 4).to_pylist() and len(got) == 400
+    assert got[3].as_py() == ["one"] and got[1].as_py() == [] and len(made["split"](whole.slice(0, 0))) == 0

@@ -28,6 +28,8 @@ BAGS = 2 + len(WINDOWS)
 MIN_WORDS = 50
 KEEP_AT = 0.5
 SAMPLE_ROWS = 2000
+#: Entries of texts that a step of the fit multiplies at once.
+FIT_ENTRIES = 1 << 18
 SYMBOLS = "#*$%&|<>"
 #: Weight of a bag's average; averages over hundreds of entries are small numbers.
 SCALE = 30.0
@@ -140,7 +142,14 @@ def fit_rows(column: np.ndarray, entry: np.ndarray, offsets: np.ndarray, label:
     size = BAGS << BITS
     if len(set(label.tolist())) < 2:
         return Model(np.zeros(size, dtype=np.float32), 0.0, 1.0, 0.0, known=False)
-    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(offsets))
+    # So many texts at a time that the products of their entries stay small beside the entries.
+    cuts = np.unique([0, *np.searchsorted(offsets[:-1], np.arange(FIT_ENTRIES, offsets[-1], FIT_ENTRIES)), rows]).tolist()
+    parts = [(a, b, slice(offsets[a], offsets[b])) for a, b in zip(cuts[:-1], cuts[1:])]
+    row = lambda a, b: np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(row(a, b), entry[own] * w[column[own]], minlength=b - a) for a, b, own in parts])
+
     learn = part < 8
     if len(set(label[learn].tolist())) < 2 or len(set(label[~learn].tolist())) < 2:
         learn = np.ones(len(label), dtype=bool)
@@ -148,13 +157,15 @@ def fit_rows(column: np.ndarray, entry: np.ndarray, offsets: np.ndarray, label:
     w, b = np.zeros(size), 0.0
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, rounds + 1):
-        z = np.bincount(row, entry * w[column], minlength=rows) + b
-        pull = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label)
-        grad = np.append(np.bincount(column, entry * pull[row], minlength=size) + 1e-5 * w, pull.sum())
+        pull = weight * (1 / (1 + np.exp(-np.clip(sums(w) + b, -40, 40))) - label)
+        pulls = np.zeros(size)
+        for first_row, last_row, own in parts:
+            np.add.at(pulls, column[own], entry[own] * pull[first_row:last_row][row(first_row, last_row)])
+        grad = np.append(pulls + 1e-5 * w, pull.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    z = np.bincount(row, entry * w[column], minlength=rows) + b
+    z = sums(w) + b
     held = ~learn if not learn.all() else learn
     slope, shift = calibrate(z[held], label[held])
     return Model(w.astype(np.float32), float(b), slope, shift)

@@ -109,7 +109,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
 
 def flat_rows(table: pa.Table, at: str = "at", value: str = "value") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions and values of all rows in a row, and where each row begins, without Python numbers."""
-    whole = table.combine_chunks()
-    lists = [pa.concat_arrays(whole[c].chunks) if whole[c].num_chunks else pa.array([], whole[c].type) for c in (at, value)]
+    # A single chunk is used as it is: copies of the sample would stand in the driver side by side.
+    lists = [table[c].chunk(0) if table[c].num_chunks == 1 else pa.concat_arrays(table[c].chunks) if table[c].num_chunks else pa.array([], table[c].type) for c in (at, value)]
     sizes = lists[0].value_lengths().to_numpy(zero_copy_only=False)
     return lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy(), offsets_of(sizes)

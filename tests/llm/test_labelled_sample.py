@@ -1,6 +1,8 @@
 """The bound of the labelled sample is on rows, however often an id repeats."""
 
-from tagtrail.llm import texts
+import numpy as np
+
+from tagtrail.llm import quality_rules, texts
 from tests.llm import data
 
 
@@ -15,3 +17,18 @@ def test_repeated_ids_give_one_row(spark):
     assert sorted(every) == [1, 2, 3, 4] and {r["doc_id"]: r for r in again} == every and len(again) == 4
     least = docs.where("doc_id = 1").selectExpr("min_by(struct(text, n_chars), xxhash64(text)) as r").first()["r"]
     assert (every[1]["text"], every[1]["n_chars"], every[1]["label"]) == (least["text"], least["n_chars"], 1)
+
+
+def test_fit_in_parts_equals_fit_at_once(monkeypatch):
+    """Few entries are multiplied at once, texts without any stand anywhere, and not a bit of the model changes."""
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(0, 400, 120)
+    sizes[[0, 5, 118, 119]] = 0
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    column = rng.integers(0, quality_rules.BAGS << quality_rules.BITS, offsets[-1]).astype(np.int32)
+    sample = column, rng.random(offsets[-1]).astype(np.float32), offsets, (rng.random(120) < 0.5).astype(float), rng.integers(0, 10, 120)
+    whole = quality_rules.fit_rows(*sample, 10)
+    for entries in (300, int(offsets[-1]), int(offsets[-1]) - 1):
+        monkeypatch.setattr(quality_rules, "FIT_ENTRIES", entries)
+        parts = quality_rules.fit_rows(*sample, 10)
+        assert np.array_equal(parts.weights, whole.weights) and (parts.bias, parts.slope, parts.shift) == (whole.bias, whole.slope, whole.shift)

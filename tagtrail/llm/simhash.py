@@ -45,19 +45,21 @@ def shingle_hashes(text: str, shingle: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in pairs]
 
 
-def fingerprint(text: str) -> int:
-    """Bit b is set if it is set in over half of the shingles' hashes; as a signed 64-bit number."""
-    hashes = shingle_hashes(text, SHINGLE)
-    if not hashes:
-        return 0
+def majority_bits(hashes: np.ndarray) -> int:
+    """The number whose bit b is set if it is set in over half of the 64-bit hashes; as a signed 64-bit number, 0 for none."""
     set_bits = np.zeros(64, dtype=np.int64)
-    packed = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    packed = np.ascontiguousarray(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     for part in range(0, len(packed), 8192):  # bits of so many shingles at once
         set_bits += np.unpackbits(packed[part : part + 8192], axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     bits = np.packbits(2 * set_bits > len(hashes), bitorder="little")
     return int(bits.view("<i8")[0])
 
 
+def fingerprint(text: str) -> int:
+    """Bit b is set if it is set in over half of the shingles' hashes; as a signed 64-bit number."""
+    return majority_bits(np.array(shingle_hashes(text, SHINGLE), dtype=np.uint64))
+
+
 def fingerprints(documents: DataFrame, text: str = "text", carry=("doc_id",)) -> DataFrame:
     """``fingerprint`` (64 bits as a bigint) of every row."""
     return map_texts(documents, lambda texts, part: {"fingerprint": [fingerprint(t) for t in texts]}, "fingerprint bigint", text, carry)
@@ -77,11 +79,20 @@ def _mask(start: int, length: int, segments: int) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
+def _chain_starts(prints: DataFrame, equal: int, segments: int, *carry: str) -> DataFrame:
+    """(fingerprint, carried columns, start, key) for each start of a chain; the key is the first ``equal`` segments from there on."""
+    starts = F.array(*[F.struct(F.lit(s).alias("start"), F.col("fingerprint").bitwiseAND(F.lit(_mask(s, equal, segments))).alias("key")) for s in range(segments)])
+    return prints.select("fingerprint", *carry, F.explode(starts).alias("k")).select("fingerprint", *carry, "k.start", "k.key")
+
+
+def _equal_segments(distance: int, segments: int) -> int:
+    return max(l for l in range(segments + 1) if l * distance < segments)
+
+
 def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """Pairs (a, b), a < b, of different fingerprints of the column ``fingerprint`` with at most ``distance`` differing bits."""
-    equal = max(l for l in range(segments + 1) if l * distance < segments)
-    starts = F.array(*[F.struct(F.lit(s).alias("start"), F.col("fingerprint").bitwiseAND(F.lit(_mask(s, equal, segments))).alias("key")) for s in range(segments)])
-    keyed = prints.select("fingerprint", F.explode(starts).alias("k")).select("fingerprint", "k.start", "k.key")
+    equal = _equal_segments(distance, segments)
+    keyed = _chain_starts(prints, equal, segments)
     a, b = keyed.withColumnRenamed("fingerprint", "a"), keyed.withColumnRenamed("fingerprint", "b")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     # Many near copies may share a key: their rows are dealt over tasks on one side.
@@ -89,6 +100,21 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
     return pairs.where(F.bit_count(differ) <= distance).select("a", "b").distinct()
 
 
+def star_links(prints: DataFrame, node: str = "node", distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes whose fingerprints are equal or near, of each chain start only those with its smallest fingerprint.
+
+    As many rows as there are keys at most, however many near copies share one. Nodes that are near each other and not near that
+    one are left out, so this is for where a link is checked and those others are found in another way; see ``links``.
+    """
+    equal = _equal_segments(distance, segments)
+    keyed = staged(_chain_starts(prints.select("fingerprint", F.col(node).alias("node")), equal, segments, "node"), "chains")
+    least = keyed.groupBy("start", "key").agg(F.min(F.struct("fingerprint", "node")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = split_join(keyed, least, ["start", "key"], "inner", spread=["node"]).where(F.col("node") != F.col("least.node"))
+    differ = F.col("fingerprint").bitwiseXOR(F.col("least.fingerprint"))
+    near = met.where(_viable(differ, equal, distance, segments) & (F.bit_count(differ) <= distance))
+    return near.select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b")).distinct()
+
+
 def _viable(differ: Column, equal: int, distance: int, segments: int) -> Column:
     """The chain that starts at the pair's key keeps within its budget at each length beyond the equal ones."""
     checks = F.lit(False)

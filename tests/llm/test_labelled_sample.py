@@ -32,3 +32,16 @@ def test_fit_in_parts_equals_fit_at_once(monkeypatch):
         monkeypatch.setattr(quality_rules, "FIT_ENTRIES", entries)
         parts = quality_rules.fit_rows(*sample, 10)
         assert np.array_equal(parts.weights, whole.weights) and (parts.bias, parts.slope, parts.shift) == (whole.bias, whole.slope, whole.shift)
+
+
+def test_fit_brings_no_bags_to_the_driver(spark, monkeypatch):
+    """The sample is fitted in a task: the driver gets one row of weights, whatever the texts hold, and the same model."""
+    docs = spark.createDataFrame([(k, f"{'good fine' if k % 2 else 'bad poor'} words {k} " * 9, "en", "s", k) for k in range(60)], data.DOCUMENTS)
+    marks = data.labels(spark, [(k, k % 2, 0) for k in range(60)])
+    sample = texts.labelled_sample(docs, marks, "quality", 50)
+    got = texts.map_texts(sample, quality_rules.sparse_rows, "at array<int>, value array<float>", carry=["doc_id", "label", "part"]).toArrow().sort_by("doc_id")
+    want = quality_rules.fit_rows(*texts.flat_rows(got), np.array(got["label"], dtype=float), np.array(got["part"]), 20)
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: 1 / 0)
+    model = quality_rules.fit(docs, marks, 50, 20)
+    assert model.known and np.array_equal(model.weights, want.weights) and (model.bias, model.slope, model.shift) == (want.bias, want.slope, want.shift)
+    assert not quality_rules.fit(docs, data.labels(spark, []), 50).known

@@ -27,6 +27,8 @@ CORPUS_SLICE = 50_000
 SCORE_DIGITS = 9
 #: Chunks that are scored at once.
 SCORED_ROWS = 1024
+#: Bytes of texts that an encoder's worker holds as Python strings at once.
+ENCODE_BYTES = 1 << 20
 
 #: Rows of the first block of a look-up with a limit, and how much larger each next block is.
 FIRST_ROWS, GROWTH = 200_000, 8
@@ -125,7 +127,10 @@ def top_k_chunks(
     corpus = corpus.where(F.col("embedding").isNotNull()).select("chunk_id", "doc_id", "embedding")
     questions = questions.select("question_id", F.col("embedding").cast("array<double>").alias("embedding"))
     few = small_or_none(questions, block)
-    return ranked(_scan(questions, corpus, few, k) if few is not None else _grid(questions, corpus, k, block, corpus_slice), k)
+    if few is not None:
+        return ranked(_scan(questions, corpus, few, k), k)
+    # Both are read twice, and vectors may be made by an encoder.
+    return ranked(_grid(staged(questions, "questions"), staged(corpus, "corpus"), k, block, corpus_slice), k)
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -233,7 +238,7 @@ def encode_chunks(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder or _set_up(name, factory)
-        for rows in (part for whole in batches for part in by_bytes(whole, "text")):
+        for rows in (part for whole in batches for part in by_bytes(whole, "text", ENCODE_BYTES)):
             texts = pd.Series(rows.column("text").to_pylist(), dtype=object)
             if not len(texts):
                 continue
@@ -249,6 +254,8 @@ def encode_chunks(
             own = np.empty_like(vectors, dtype=np.float32)
             own[order] = vectors / np.where(length == 0, 1.0, length)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, own.shape[1]), pa.int32()), pa.array(own.ravel()))
+            # What Arrow keeps for later use adds up over the workers of an executor, which stand side by side.
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([*(c for c, n in zip(rows.columns, rows.schema.names) if n != "text"), lists], names=schema.names)
 
     return source.mapInArrow(run, schema)

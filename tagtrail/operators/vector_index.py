@@ -36,6 +36,8 @@ MAX_CELLS = 4096
 ROUNDS = 8
 PROBES = 4
 SIGMAS = 1.6
+#: Distances from centroids, and scores, that a worker holds at once.
+HELD_DISTANCES = 1 << 19
 #: What rounding of scores may hide.
 _SLACK = 1e-6
 
@@ -45,6 +47,12 @@ def _distances(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (centroids**2).sum(axis=1)[None, :] - 2 * (vectors @ centroids.T)
 
 
+def _parts(vectors: np.ndarray, centroids: int) -> Iterator[np.ndarray]:
+    """So many vectors at a time that their distances from all centroids stay small."""
+    step = max(1, HELD_DISTANCES // max(1, centroids))
+    return (vectors[k : k + step] for k in range(0, len(vectors), step))
+
+
 def fit_centroids(vectors: DataFrame, key: str, cells: int, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, seed: int = 17) -> np.ndarray:
     """At most ``cells`` centroids, from a bounded sample; fewer if the sample has fewer different vectors."""
     order = F.xxhash64(F.lit(seed), key)
@@ -55,7 +63,7 @@ def fit_centroids(vectors: DataFrame, key: str, cells: int, sample_rows: int = S
     _, first = np.unique(points, axis=0, return_index=True)
     centroids = points[np.sort(first)[:cells]]
     for _ in range(rounds):
-        nearest = np.concatenate([_distances(points[k : k + 2048], centroids).argmin(axis=1) for k in range(0, len(points), 2048)])
+        nearest = np.concatenate([_distances(part, centroids).argmin(axis=1) for part in _parts(points, len(centroids))])
         counts = np.bincount(nearest, minlength=len(centroids))
         sums = np.zeros_like(centroids)
         np.add.at(sums, nearest, points)
@@ -71,8 +79,7 @@ def assigned(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells, distances = [np.zeros(0, dtype=np.int32)], [np.zeros(0)]
-            for k in range(0, batch.num_rows, 2048):
-                own = matrix_of(batch.slice(k, 2048))
+            for own in _parts(matrix_of(batch), len(shared.value)):
                 cell = _distances(own, shared.value).argmin(axis=1)
                 cells.append(cell.astype(np.int32))
                 distances.append(np.linalg.norm(own - shared.value[cell], axis=1))
@@ -92,14 +99,14 @@ def write_index(
     ``cells`` is the square root of the number of vectors by default, MAX_CELLS at most.
     """
     spark = vectors.sparkSession
-    known = vectors.where(F.col("embedding").isNotNull())
+    # The vectors, which an encoder may have to make, are made once; counting and fitting need no metadata.
+    known = own = staged(vectors.where(F.col("embedding").isNotNull()), "vectors")
     if metadata is not None:
         gaps = index_mismatch(known, metadata, key).first()
         if gaps["without_metadata"] or gaps["without_vector"]:
             raise ValueError(f"{gaps['without_metadata']} vectors without metadata, {gaps['without_vector']} metadata rows without a vector")
         known = known.join(metadata, key)
-    n = known.count()
-    centroids = fit_centroids(known, key, min(MAX_CELLS, max(1, cells or round(n**0.5))), sample_rows)
+    centroids = fit_centroids(own, key, min(MAX_CELLS, max(1, cells or round(own.count()**0.5))), sample_rows)
     # Rebalancing joins small cells to one task and cuts large ones into several.
     placed = assigned(known, centroids).hint("rebalance", "cell")
     placed.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
@@ -234,8 +241,12 @@ def _scan_cells(visits: DataFrame, corpus: DataFrame, few: list, k: int) -> Data
         for batch in batches:
             cells = batch.column("cell").to_numpy(zero_copy_only=False)
             for cell in np.unique(cells).tolist():
-                part = batch if cells[0] == cells[-1] == cell and (cells == cell).all() else batch.take(pa.array(np.flatnonzero(cells == cell)))
-                found.add(matrix[askers[cell]] @ matrix_of(part).T, part, askers[cell])
+                asked = askers[cell]
+                part = batch if (cells == cell).all() else batch.take(pa.array(np.flatnonzero(cells == cell)))
+                step = max(k + 1, HELD_DISTANCES // len(asked))
+                for start in range(0, part.num_rows, step):
+                    own = part.slice(start, step)
+                    found.add(matrix[asked] @ matrix_of(own).T, own, asked)
         out = found.best(names, kind)
         if out is not None:
             yield from out.combine_chunks().to_batches()

@@ -112,3 +112,22 @@ def test_top_k_keeps_ties_by_id(spark):
     corpus = frame(spark, np.tile(points(1), (40, 1))).repartition(3)
     got = retrieval.top_k_chunks(asked(spark, points(2)), corpus, 5).collect()
     assert {(r["question_id"], r["rank"], r["chunk_id"]) for r in got} == {(q, k + 1, f"c{k:05d}") for q in (0, 1) for k in range(5)}
+
+
+def test_vectors_are_encoded_once(spark, tmp_path):
+    """Writing an index and scanning in blocks read the vectors several times; the encoder sees each text once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def encoder(texts):
+        seen.add(len(texts))
+        return np.array([[1.0, len(t), ord(t[0])] for t in texts])
+
+    rows = [(f"c{k:03d}", k, f"{'abcdef'[k % 6]} text {k}" * (1 + k % 5)) for k in range(90)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id bigint, text string")
+    vectors = retrieval.encode_chunks(chunks, encoder, keep=["doc_id"])
+    vector_index.write_index(vectors, str(tmp_path / "index"), metadata=chunks.select("chunk_id", "text"), cells=5)
+    assert seen.value == 90
+    questions = spark.createDataFrame([(k, [1.0, float(k), 97.0]) for k in range(9)], "question_id bigint, embedding array<double>")
+    blocks = retrieval.top_k_chunks(questions, vectors, 4, block=4, corpus_slice=20)
+    assert blocks.count() == 36 and seen.value == 180
+    assert sorted(blocks.collect()) == sorted(retrieval.top_k_chunks(questions, vectors, 4).collect())

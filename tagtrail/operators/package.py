@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagtrail.sources.files import binary_files, file_digests
+from tagtrail.sources.files import binary_files, file_digests, with_sha256
 
 # Parts a package must have, and the rules that evidence carries.
 REQUIRED_ARTIFACTS = [
@@ -25,12 +25,12 @@ EVIDENCE_POLICY = [
 
 def package_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Every file of a written package with its artifact (first folder), size and SHA-256."""
-    files = binary_files(spark, path, "part-*")
+    files = with_sha256(binary_files(spark, path, "part-*"))
     root = path.rstrip("/").rsplit("/", 1)[-1]
     inside = F.substring_index("path", f"{root}/", -1)
     return files.select(
         F.substring_index(inside, "/", 1).alias("artifact"), inside.alias("package_path"),
-        F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"),
+        F.col("length").alias("size_bytes"), "sha256",
     )
 
 

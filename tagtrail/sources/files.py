@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tagtrail.functions.ids import document_id
+from tagtrail.functions.sha256 import Sha256
 from tagtrail.functions.text import normalize_lines
-from tagtrail.session import staged
+from tagtrail.session import one_split_order, staged
 
 # Keys an event file may keep its list under.
 EVENT_KEYS = ["events", "event_candidates", "candidates", "items"]
@@ -17,6 +21,11 @@ EVENT_KEYS = ["events", "event_candidates", "candidates", "items"]
 #: Bytes of files whose pages a parser holds at once.
 PARSE_BYTES = 8 << 20
 
+#: Files of more bytes than this are hashed split by split, and so many of them at once.
+WHOLE_BYTES, HASHED_FILES = 128 << 20, 48
+#: Endings that make Spark's readers of lines decompress a file, and the mark that they leave out at its start.
+PACKED, BOM = re.compile(r"\.(deflate|gz|bz2|snappy|lz4|zst|zstd|lzo|passthrough)$", re.IGNORECASE), b"\xef\xbb\xbf"
+
 
 def binary_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Files under ``path`` as ``path, file_name, length, content``."""
@@ -28,9 +37,108 @@ def binary_files(spark: SparkSession, path: str, pattern: str | None = None) ->
     )
 
 
+@dataclass
+class Hashed:
+    """A file of which the first ``taken`` bytes are in ``state``; ``begun`` if a line was."""
+
+    path: str
+    length: int
+    state: bytes
+    taken: int = 0
+    begun: bool = False
+
+
+def _take_up(nth: int, at: Hashed) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hashes the lines of a split, each with the line feed before it, on top of what lies before the split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, taken, begun = Sha256(at.state), at.taken, at.begun
+        for batch in batches:
+            lines = batch.column("line")
+            if not len(lines):
+                continue
+            _, offsets, data = lines.buffers()
+            ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(lines.type) else np.int32)
+            # The first line of a file has no line feed before it.
+            first, last = int(ends[lines.offset]) + (not begun), int(ends[lines.offset + len(lines)])
+            found.update(data.address + first, last - first)
+            taken, begun = taken + last - first, True
+        yield pa.RecordBatch.from_pydict(
+            {"nth": pa.array([nth], pa.int32()), "taken": pa.array([taken], pa.int64()), "begun": [begun], "state": [found.state]}
+        )
+
+    return run
+
+
+def _literal(path: str) -> str:
+    """A path in which no character stands for others."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _hash_in_splits(spark: SparkSession, files: list[Hashed]) -> None:
+    """Brings each file to its end: a job per split, in which each file has one task that goes on from the state before.
+
+    A file is read as lines, since these can be read in splits; lines are bytes here, whatever they hold. Only the states
+    come back, some hundred bytes a file.
+    """
+    sc, line = spark.sparkContext, F.concat(F.lit(b"\n"), F.col("value").cast("binary")).alias("line")
+    with one_split_order(spark):
+        lines = [spark.read.text(_literal(f.path), lineSep="\n").select(line) for f in files]
+        splits = [own.rdd.getNumPartitions() for own in lines]
+        for r in range(max(splits)):
+            left = [nth for nth, n in enumerate(splits) if r < n]
+            parts = [lines[nth].mapInArrow(_take_up(nth, files[nth]), "nth int, taken long, begun boolean, state binary").rdd for nth in left]
+            starts = np.cumsum([0, *(splits[nth] for nth in left)])[:-1]
+            for row in sc.runJob(sc.union(parts), list, [int(start) + r for start in starts]):
+                files[row.nth].taken, files[row.nth].begun, files[row.nth].state = row.taken, row.begun, bytes(row.state)
+
+
+def split_digests(spark: SparkSession, sized: Sequence[tuple[str, int]], at_once: int = HASHED_FILES) -> list[tuple[str, str]]:
+    """(path, SHA-256) of files ``(path, bytes)`` of any size, of which no task reads more than a split."""
+    sized, out = sorted(sized, key=lambda f: -f[1]), []
+    for first in range(0, len(sized), at_once):
+        waiting = [Hashed(path, length, Sha256().state) for path, length in sized[first : first + at_once]]
+        _hash_in_splits(spark, waiting)
+        short = [f for f in waiting if f.length - f.taken in (len(BOM), len(BOM) + 1)]
+        for f in short:
+            # Readers leave out such a mark: once more, from behind it.
+            f.state, f.taken, f.begun = _with(Sha256(), BOM).state, len(BOM), False
+        if short:
+            _hash_in_splits(spark, short)
+        for f in waiting:
+            if f.length - f.taken not in (0, 1):
+                raise OSError(f"{f.path}: {f.taken} of {f.length} bytes could be read")
+            # What is left is the line feed at the end.
+            out.append((f.path, _with(Sha256(f.state), b"\n" * (f.length - f.taken)).hexdigest()))
+    return out
+
+
+def _with(found: Sha256, more: bytes) -> Sha256:
+    found.update(pa.py_buffer(more).address, len(more))
+    return found
+
+
+def with_sha256(files: DataFrame, whole: int = WHOLE_BYTES) -> DataFrame:
+    """``files`` with ``sha256`` in the place of ``content``; more than ``whole`` bytes are hashed split by split.
+
+    Only compressed files by their name are read whole whatever their size, as readers of lines would decompress them.
+    """
+    spark = files.sparkSession
+    small = files.where(F.col("length") <= whole).withColumn("sha256", F.sha2("content", 256)).drop("content")
+    large = [(f.path, f.length) for f in files.where(F.col("length") > whole).select("path", "length").collect()]
+    if not large:
+        return small
+    digests = split_digests(spark, [f for f in large if not PACKED.search(f[0])])
+    found = spark.createDataFrame(digests, "path string, sha256 string")
+    for path, _ in large:
+        if PACKED.search(path):
+            found = found.unionByName(binary_files(spark, _literal(path)).select("path", F.sha2("content", 256).alias("sha256")))
+    return small.unionByName(files.where(F.col("length") > whole).drop("content").join(found, "path"))
+
+
 def file_digests(files: DataFrame) -> DataFrame:
     """SHA-256 and size of each file."""
-    return files.select("file_name", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+    return with_sha256(files).select("file_name", "sha256", F.col("length").alias("size_bytes"))
 
 
 def split_parser(mark: str) -> Callable[[bytes], list[str]]:

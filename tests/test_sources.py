@@ -134,6 +134,35 @@ def test_digests_and_manifest_are_those_of_the_files(spark, tmp_path):
     assert {(r["sha256"], r["size_bytes"]) for r in rows} == {(hashlib.sha256(t.encode()).hexdigest(), 3) for t in ("one", "two")}
 
 
+def test_a_large_file_is_hashed_split_by_split(spark, tmp_path):
+    import gzip
+    import hashlib
+    import random
+
+    draw = random.Random(3)
+    held = {
+        "any.parquet": draw.randbytes(5000), "any bytes [1].parquet": draw.randbytes(3001) + b"\n", "mark.json": b"\xef\xbb\xbf" + b"a\r\nb\n" * 100,
+        "mark2.json": b"\xef\xbb\xbf\xef\xbb\xbf" + b"x" * 300, "feeds.json": b"\n" * 700, "one.json": b"x" * 2000, "packed.json.gz": gzip.compress(draw.randbytes(900)),
+        "begins.json": b"\n\nab" * 90 + b"\n\n", "small.json": b"s", "exact.json": (b"y" * 99 + b"\n") * 8,
+    }
+    for name, content in held.items():
+        (tmp_path / name).write_bytes(content)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        one = spark.read.text(f"{tmp_path}/any.parquet", lineSep="\n")
+        assert one.rdd.getNumPartitions() == 17
+        sliced = files.with_sha256(files.binary_files(spark, str(tmp_path)), whole=200)
+        got = {r["file_name"]: (r["sha256"], r["length"]) for r in sliced.collect()}
+        assert got == {name: (hashlib.sha256(content).hexdigest(), len(content)) for name, content in held.items()}
+        few = files.split_digests(spark, [(f"{tmp_path}/{n}", len(held[n])) for n in ("one.json", "any.parquet", "feeds.json")], at_once=2)
+        assert {os.path.basename(p): d for p, d in few} == {n: got[n][0] for n in ("one.json", "any.parquet", "feeds.json")}
+        with pytest.raises(OSError, match="of 4990 bytes"):
+            files.split_digests(spark, [(f"{tmp_path}/any.parquet", 4990)])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_a_graph_is_written_compressed_on_demand(spark, tmp_path):
     from tagtrail.sources import sinks
 

@@ -168,7 +168,7 @@ def join_mention_edges(spark, d):
   from chunks c""")
 def join_chunk_links(spark, d):
     chunks = staged(b.chunks(spark, d), "chunks")
-    links = documents.chunk_links(chunks, documents.mentions(chunks, b.tag_dictionary(spark, d)))
+    links = documents.linked_chunks(chunks, b.tag_dictionary(spark, d))
     tags = F.array_join(F.array_sort(F.transform("matched_sensor_tags", F.lower)), ",")
     return links.select("chunk_id", "document_id", "file_name", "page", tags.alias("tags"))
 

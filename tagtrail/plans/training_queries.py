@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tagtrail.functions import citations as c
 from tagtrail.functions.ids import hash_bucket, pair_key
 from tagtrail.operators import evaluation as ev, knowledge as kg, package, training as tr, vector_index
-from tagtrail.operators.documents import chunk_links, mentions
+from tagtrail.operators.documents import linked_chunks
 from tagtrail.plans import bindings as b, knowledge_queries as k
 from tagtrail.plans.registry import query
 from tagtrail.plans.series_queries import rounded
@@ -52,7 +52,7 @@ def staged_chunks(spark, d):
 
 
 def links(spark, d, chunks):
-    return chunk_links(chunks, mentions(chunks, b.tag_dictionary(spark, d)))
+    return linked_chunks(chunks, b.tag_dictionary(spark, d))
 
 
 def flat(df):

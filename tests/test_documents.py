@@ -95,6 +95,34 @@ def test_mentions_by_hand(spark):
     assert run(documents.phrase_mentions, phrases) == by_tag | more
 
 
+@pytest.mark.parametrize("ids", ["own", "shared", "null"])
+def test_links_made_where_the_chunk_stands_are_those_of_the_join(spark, monkeypatch, tmp_path, ids):
+    rng = random.Random(5)
+    words = ["a", "A", "b-c", "B-C", "d.e", "D.E", "f_", "", " ", "é", "ßA", "\n", "\x85", "x", "75TI1", "İ", "K", "a\U0001f600a"]
+    texts = [None, "", " ", "a", "A", " a", "a ", ",,a,,"] + [
+        "".join(rng.choice(words) + rng.choice([" ", ",", "", " \u2003"]) for _ in range(rng.randint(1, 60))) for _ in range(1300)
+    ]
+    name = {"own": lambda i: f"c{i}", "shared": lambda i: f"c{i // 3}", "null": lambda i: None if i in (20, 21) else f"c{i}"}[ids]
+    rows = [(name(i), "d", "f", i, x) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "chunk_id string, document_id string, file_name string, page long, text string").write.parquet(f"{tmp_path}/chunks")
+    chunks = spark.read.parquet(f"{tmp_path}/chunks")
+
+    def seen(links, found):
+        """Rows that share an id may have two spellings of a tag at one place, of which either may be taken."""
+        if ids == "shared":
+            return sorted((r.chunk_id, r.page, sorted(map(str.lower, r.matched_sensor_tags))) for r in links.collect()), sorted((r.chunk_id, r.tag, r.place) for r in found.collect())
+        return sorted(map(str, links.collect())), sorted(map(str, found.collect()))
+
+    for known in (["a", "B-c", "D.e", "F_", "75ti1", "é", "k", "a b", "", None, "A"], ["a b"], []):
+        tags = spark.createDataFrame([(t,) for t in known], "tag string")
+        quick = documents.linked_chunks(chunks, tags)
+        assert ids != "own" or "Exchange" not in quick._jdf.queryExecution().executedPlan().toString()
+        got = seen(quick, documents.mentions(chunks, tags))
+        monkeypatch.setattr(documents, "BROADCAST_ROWS", -1)
+        assert got == seen(documents.linked_chunks(chunks, tags), documents.mentions(chunks, tags))
+        monkeypatch.undo()
+
+
 def test_nearest_chunks_both_ways(spark):
     rng = np.random.default_rng(1)
     q = rng.normal(size=(7, 8))

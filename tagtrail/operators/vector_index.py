@@ -9,8 +9,12 @@ A search first visits, for each question, the ``probes`` cells whose centroids a
 there. A second pass visits every other cell that may hold a better vector. As q.v = q.c + q.(v - c), no vector of a cell
 scores above q.c + |q| * radius; with ``exact`` the cells whose bound is below that k-th score are left out, and the result
 is that of a scan of everything, whatever the vectors are. Else the bound takes |q| * radius * ``sigmas`` / sqrt(dims)
-instead: so far a difference of length radius reaches along q if its direction has nothing to do with q. Recall is
-measured, not assumed: see ``recall``. ``sigmas`` None visits the nearest cells only.
+instead: so far a difference of length radius reaches along q if its direction has nothing to do with q. ``sigmas`` None
+visits the nearest cells only.
+
+Recall is measured, not assumed: see ``recall``. The more vectors there are, the further out are the best ones of a cell, so
+one value of ``sigmas`` finds less in a larger index; ``fitted_sigmas`` takes it from the exact hits of a bounded sample of
+the questions.
 
 Few questions travel to all tasks, and only the folders of visited cells are read, in place. Questions beyond ``block``
 meet slices of cells of bounded size, so that neither a cell that holds a third of all vectors nor a cell that every
@@ -20,6 +24,7 @@ question visits is one task.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,6 +41,8 @@ MAX_CELLS = 4096
 ROUNDS = 8
 PROBES = 4
 SIGMAS = 1.6
+#: So many questions are answered exactly to fit ``sigmas``, and the part of their hits that is to be found.
+TRIAL_QUESTIONS, TRIAL_RECALL = 64, 0.95
 #: Distances from centroids, and scores, that a worker holds at once.
 HELD_DISTANCES = 1 << 19
 #: What rounding of scores may hide.
@@ -181,6 +188,35 @@ def search(
     return ranked(first.drop("rank").unionByName(more), k)
 
 
+def fitted_sigmas(
+    index: Index, questions: DataFrame, k: int, probes: int = PROBES, wanted: float = TRIAL_RECALL, trial: int = TRIAL_QUESTIONS, seed: int = 17
+) -> float:
+    """The least ``sigmas``, SIGMAS at least, by which ``search`` finds the part ``wanted`` of the exact hits of some questions.
+
+    ``trial`` questions, taken by the order of a hash of their ids, are searched exactly. A hit outside the nearest cells is
+    found once the bound of its cell reaches the k-th score of these, which tells the ``sigmas`` that it takes.
+    """
+    order = F.xxhash64(F.lit(seed), "question_id")
+    asked = staged(questions.select("question_id", "embedding").orderBy(order, "question_id").limit(trial), "trial")
+    first = search(index, asked, k, probes, sigmas=None)
+    floors = first.where(F.col("rank") == k).select("question_id", F.col("score").alias("floor"))
+    exact = staged(search(index, asked, k, probes, exact=True), "truth")
+    wide = exact.join(first.select("question_id", "chunk_id", F.lit(True).alias("near")), ["question_id", "chunk_id"], "left")
+    wide = wide.join(floors, "question_id", "left").join(asked, "question_id")
+    cells = index.rows().select(F.col(index.key).alias("chunk_id"), "cell")
+    hits = cells.join(F.broadcast(wide), "chunk_id").select("near", "floor", "cell", F.col("embedding").cast("array<double>").alias("embedding")).toArrow()
+    if not hits.num_rows:
+        return SIGMAS
+    vectors, place = matrix_of(hits), np.searchsorted(index.numbers, hits.column("cell").to_numpy())
+    ahead = hits.column("floor").to_numpy() - _SLACK - (vectors * index.centroids[place]).sum(axis=1)
+    reach = np.linalg.norm(vectors, axis=1) * index.radii[place] / vectors.shape[1] ** 0.5
+    takes = np.divide(ahead, reach, out=np.zeros(len(ahead)), where=reach > 0)
+    # Where fewer than k hits were near, every cell is visited.
+    takes[hits.column("near").is_valid().to_numpy() | np.isnan(ahead)] = 0.0
+    enough = np.sort(takes)[max(0, math.ceil(wanted * len(takes)) - 1)]
+    return float(min(max(SIGMAS, enough * (1 + 1e-9)), max(SIGMAS, vectors.shape[1] ** 0.5)))
+
+
 def visited_cells(index: Index, vectors: np.ndarray, floors: np.ndarray, probes: int, reach: float | None) -> list[np.ndarray]:
     """Per question the places of the cells to visit: the nearest ones, or, with the part of the radius that counts, those
     others whose bound reaches the floor."""

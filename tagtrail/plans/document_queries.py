@@ -224,7 +224,8 @@ def topk_index_recall(spark, d):
     """How much of the exact result a search of few cells finds."""
     index, questions = chunk_index(spark, d), staged(b.question_vectors(spark, d), "questions")
     truth = retrieval.top_k_chunks(questions, index.rows().select("chunk_id", "doc_id", "embedding"), 8)
-    told = vector_index.recall(vector_index.search(index, questions, 8), truth)
+    found = vector_index.search(index, questions, 8, sigmas=vector_index.fitted_sigmas(index, questions, 8))
+    told = vector_index.recall(found, truth)
     return told.select("questions", "wanted", (F.col("hit") * 10 >= F.col("wanted") * 9).alias("nine_in_ten"))
 
 

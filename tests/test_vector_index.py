@@ -131,3 +131,17 @@ def test_vectors_are_encoded_once(spark, tmp_path):
     blocks = retrieval.top_k_chunks(questions, vectors, 4, block=4, corpus_slice=20)
     assert blocks.count() == 36 and seen.value == 180
     assert sorted(blocks.collect()) == sorted(retrieval.top_k_chunks(questions, vectors, 4).collect())
+
+
+def test_sigmas_are_fitted_where_the_default_finds_too_little(spark):
+    """Vectors without any cells of their own: the best ones stand far out in each cell, beyond the default bound."""
+    rng = np.random.default_rng(8)
+    cloud = lambda n: (v := rng.normal(size=(n, 8))) / np.linalg.norm(v, axis=1, keepdims=True)
+    path, corpus, questions = scratch_path(spark, "index"), frame(spark, cloud(6000)), asked(spark, cloud(90))
+    vector_index.write_index(corpus, path, cells=24)
+    index = vector_index.open_index(spark, path)
+    truth = retrieval.top_k_chunks(questions, corpus, 8)
+    fitted = vector_index.fitted_sigmas(index, questions, 8, probes=1, trial=30)
+    got = {s: vector_index.recall(vector_index.search(index, questions, 8, probes=1, sigmas=s), truth).first()["recall"] for s in (vector_index.SIGMAS, fitted)}
+    assert got[vector_index.SIGMAS] < 0.9 <= got[fitted] and fitted < 8**0.5
+    assert vector_index.fitted_sigmas(index, questions.limit(0), 8) == vector_index.SIGMAS

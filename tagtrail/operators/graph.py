@@ -156,22 +156,36 @@ def merged_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Of several the one with the greatest properties, compared as sorted JSON, stays. Edges are shuffled once, by their source,
     so that those of one source stand together; the ends that are no nodes are looked up among the different ends.
     """
-    edges = staged(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()), "edges")
+    edges, counted, parts = _known_edges(edges, nodes)
+    hot = hot_hashes(counted, F.xxhash64("src"), shuffle_width(edges.sparkSession))
+    dealt = F.pmod(F.xxhash64("type", "dst"), F.lit(parts)).cast("int")
+    # A constant would fall out of the grouping, which then would ask for a shuffle of its own.
+    keys = ["src", "_deal"] if hot else ["src"]
+    spread = edges.withColumn("_deal", F.when(F.xxhash64("src").isin(list(hot)), dealt).otherwise(0)) if hot else edges
+    merged = spread.repartition(parts, *keys).groupBy(*keys, "type", "dst")
+    return merged.agg(F.max_by("properties", _sorted_json("properties")).alias("properties")).select("src", "type", "dst", "properties")
+
+
+def exported_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``export_edges`` of ``merged_edges`` in ranges of the element id, so that merging and order take one shuffle together."""
+    known, _, parts = _known_edges(edges.withColumn("properties", _sorted_json("properties")), nodes)
+    named = known.select(edge_id(F.col("src"), F.col("type"), F.col("dst")).alias("element_id"), "src", "type", "dst", "properties")
+    merged = named.repartitionByRange(parts, "element_id").groupBy("element_id", "src", "type", "dst").agg(F.max("properties").alias("properties"))
+    return merged.select("element_id", F.col("src").alias("start_element_id"), F.col("dst").alias("end_element_id"), "type", "properties")
+
+
+def _known_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Edges whose two ends are among ``nodes``, all edges with two ends as a written table, and partitions to merge them in."""
+    edges = counted = staged(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()), "edges")
     ids = staged(nodes.select(F.col("id").alias("end")).distinct(), "ids")
     ends = edges.select(F.col("src").alias("end")).distinct().unionByName(edges.select(F.col("dst").alias("end")).distinct()).distinct()
     unknown = staged(ends.join(ids, "end", "left_anti"), "unknown")
     few, rows = unknown.count() <= BROADCAST_ROWS, edges.count()
-    counted = edges
     # Most edges may lead to one class or sensor: the rows of such an end are dealt over tasks.
     for end, other in (("src", "dst"), ("dst", "src")):
         own = unknown.withColumnRenamed("end", end)
         edges = edges.join(F.broadcast(own), end, "left_anti") if few else split_join(edges, own, [end], "left_anti", spread=[other, "type"], counted=counted)
-    parts = max(shuffle_width(edges.sparkSession), rows // MERGE_ROWS)
-    hot = hot_hashes(counted, F.xxhash64("src"), shuffle_width(edges.sparkSession))
-    dealt = F.pmod(F.xxhash64("type", "dst"), F.lit(parts)).cast("int")
-    spread = edges.withColumn("_deal", F.when(F.xxhash64("src").isin(list(hot)), dealt).otherwise(0) if hot else F.lit(0))
-    merged = spread.repartition(parts, "src", "_deal").groupBy("src", "_deal", "type", "dst")
-    return merged.agg(F.max_by("properties", _sorted_json("properties")).alias("properties")).select("src", "type", "dst", "properties")
+    return edges, counted, max(shuffle_width(edges.sparkSession), rows // MERGE_ROWS)
 
 
 def graph_edges(relations: DataFrame, detected_by: DataFrame, mentions: DataFrame, source_id: str) -> DataFrame:

@@ -535,7 +535,7 @@ def sink_upsert(spark, d):
     return keyed_table.read_table(spark, path)
 
 
-def whole_graph(spark, d):
+def whole_graph(spark, d, merge=graph.merged_edges):
     ents, events = staged(entities(spark, d), "entities"), b.detected(spark, d)
     rels = kg.structural_relations(ents)
     resolved = kg.resolve_event_sensors(events, ents).where("unresolved is null")
@@ -548,7 +548,7 @@ def whole_graph(spark, d):
     # Relations come twice and once more with a target that nobody knows: the graph has each edge once.
     faulty = rels.unionByName(rels).unionByName(rels.withColumn("target", F.concat(F.lit("ghost "), "target")))
     edges = graph.graph_edges(faulty, resolved.select("event_id", "entity_id"), links, SOURCE)
-    return nodes, graph.merged_edges(edges, nodes)
+    return nodes, merge(edges, nodes)
 
 
 b.SQL["all_nodes"] = """select id, 'Entity' as label from ents union all select distinct target, 'Class' from rels
@@ -576,7 +576,7 @@ def kg_graph(spark, d):
   cast(null as varchar) as start_element_id, cast(null as varchar) as end_element_id from all_nodes union all
   select 'edge', concat(src, '|', type, '|', dst), type, src, dst from all_edges""")
 def sink_graph_export(spark, d):
-    nodes, edges = whole_graph(spark, d)
+    nodes, edges = whole_graph(spark, d, graph.exported_edges)
     at = sinks.scratch_path(spark, "graph")
     sinks.write_graph(nodes, edges, at, "gzip")
     schema = "element_id string, labels array<string>, type string, start_element_id string, end_element_id string, properties string"

@@ -35,9 +35,13 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, compression: str = "none") -> None:
-    """``nodes`` and ``edges`` as JSON lines; files in order of their names are in order of the element id."""
+    """``nodes`` and ``edges`` as JSON lines; files in order of their names are in order of the element id.
+
+    Edges that ``graph.exported_edges`` has made stand in that order and are written without another shuffle.
+    """
     write_jsonl(graph.export_nodes(nodes).orderBy("element_id"), f"{path}/nodes", compression=compression)
-    write_jsonl(graph.export_edges(edges).orderBy("element_id"), f"{path}/edges", compression=compression)
+    exported = edges if "element_id" in edges.columns else graph.export_edges(edges)
+    write_jsonl(exported.orderBy("element_id"), f"{path}/edges", compression=compression)
 
 
 def write_splits(split: DataFrame, path: str) -> None:

@@ -127,6 +127,39 @@ def test_edges_are_shuffled_once_by_source_and_a_hot_source_is_dealt(spark):
     assert sorted((r.src, r.dst, r.properties["k"]) for r in found.collect()) == sorted((*e, v) for e, v in want.items())
 
 
+def edge_table(spark):
+    """Edges of many sources, none of them hot, each twice and some to an end that is no node, with nodes whose ids begin alike."""
+    nodes = spark.range(400).select(F.concat(F.lit("n"), "id").alias("id"))
+    ends = spark.range(400).select("id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")).select(
+        F.concat(F.lit("n"), "id").alias("src"), F.lit("T").alias("type"), F.concat(F.lit("n"), (F.col("id") * 7 + F.col("k")) % 405).alias("dst"), "k"
+    )
+    twice = ends.select("src", "type", "dst", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("v"))
+    return twice.select("src", "type", "dst", F.create_map(F.lit("k"), "v").alias("properties")), nodes
+
+
+def test_edges_without_a_hot_source_are_shuffled_once_too(spark):
+    found = graph.merged_edges(*edge_table(spark))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert found.count() == found.where("properties['k'] = 'b'").count() > 2000
+
+
+def test_exported_edges_are_merged_and_put_in_order_by_one_shuffle(spark, tmp_path):
+    import json
+
+    from tagtrail.sources import sinks
+
+    edges, nodes = edge_table(spark)
+    found = graph.exported_edges(edges, nodes)
+    plan = found.orderBy("element_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan
+    want = graph.export_edges(graph.merged_edges(edges, nodes))
+    assert found.columns == want.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    sinks.write_graph(nodes.selectExpr("id", "array('Entity') as labels", "map('name', id) as properties"), found, f"{tmp_path}/graph")
+    names = sorted(p for p in (tmp_path / "graph" / "edges").iterdir() if p.name.startswith("part-"))
+    got = [json.loads(line)["element_id"] for p in names for line in p.open()]
+    assert len(names) > 1 and got == sorted(got) and len(got) == want.count()
+
+
 def test_mentioned_entities_are_the_edges_of_mentions_with_columns_of_the_chunk(spark):
     from tagtrail.operators import documents
 
